@@ -14,10 +14,11 @@ from layerframe.operators.lookup import lookup_join
 def inventory_counts(items: DataFrame, by: Keys, path: str = "path") -> DataFrame:
     """Per group the number of files and the first and last path.
 
-    Groups without files have no row.
+    A row without a path stands for an empty folder and counts no file; groups
+    without rows are left out.
     """
     return items.groupBy(*key_list(by)).agg(
-        F.count("*").alias("n_files"),
+        F.count(path).alias("n_files"),
         F.min(path).alias("first_path"),
         F.max(path).alias("last_path"),
     )
@@ -42,20 +43,19 @@ def inventory(
     """
     by = key_list(by)
     shown = F.col(path) if prefix is None else strip_prefix(F.col(path), F.col(prefix))
-    rows = items.select(
-        *by, shown.alias(path), *([] if content is None else [F.col(content)])
-    )
-    counts = items.groupBy(*by).agg(F.count("*").alias("n_files"))
+    others = [shown.alias(path), *([] if content is None else [F.col(content)])]
+    # Structs compare NULL fields as equal, so a group of NULLs finds its count.
+    group = F.struct(*by).alias("__group")
+    counts = items.groupBy(*by).agg(F.count(path).alias("n_files"))
     listed = lookup_join(
-        rows.withColumns({f"__{k}": F.col(k) for k in by}),
-        counts.withColumnsRenamed({k: f"__{k}" for k in by}),
-        [f"__{k}" for k in by],
-        "left",
+        items.select(*by, *others, group),
+        counts.select(group, "n_files"),
+        "__group",
         salts=salts,
         salt_by=[*by, path],
     )
-    order = [*rows.columns[: len(by)], "n_files", *rows.columns[len(by) :]]
-    return listed.select(*order).orderBy(*by, path)
+    tail = [path] if content is None else [path, content]
+    return listed.select(*by, "n_files", *tail).orderBy(*by, path)
 
 
 def json_keys(
