@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerframe.functions.maps import last_wins, overlay_maps
 
-_OBJECT = "map<string,variant>"
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 _JSON_SPACE = " \t\n\r"
 
@@ -17,74 +16,92 @@ def render_doc(*cols: Column | str) -> Column:
     return F.to_json(F.struct(*cols), _KEEP_NULLS)
 
 
-def parse_object(text: Column) -> Column:
-    """Top level of a JSON object as a map whose values keep their JSON type.
+def object_keys(text: Column) -> Column:
+    """Distinct keys of a JSON object; NULL for anything else."""
+    return F.array_distinct(F.json_object_keys(text))
+
+
+def with_object(df: DataFrame, name: str, text: Column) -> DataFrame:
+    """Add the top level of a JSON object as a map from key to variant.
 
     NULL for anything that is not an object. Of a repeated key the last one
-    counts, of several documents in a row the first.
+    counts, of several documents in a row the first. An object further inside
+    that repeats a key makes the whole text count as broken.
     """
-    return last_wins(F.from_json(text, _OBJECT))
+    # In two steps, so that each text is parsed once.
+    return df.withColumn(name, F.from_json(text, "map<string,variant>")).withColumn(
+        name, last_wins(F.col(name))
+    )
 
 
-def object_keys(text: Column, field: str | None = None) -> Column:
-    """Distinct keys of a JSON object, or of the object in its ``field``.
+def with_member(df: DataFrame, name: str, text: Column, field: str) -> DataFrame:
+    """Add the text of one member of a JSON object, NULL if it has none."""
+    return with_object(df, name, text).withColumn(name, _member(F.col(name), field))
 
-    NULL where there is no object.
-    """
-    return F.array_distinct(F.json_object_keys(_member_text(text, field)))
 
-
-def overlay_json(base: Column, extra: Column, field: str | None = None) -> Column:
+def overlay_json(
+    df: DataFrame,
+    base: Column,
+    extra: Column,
+    field: str | None = None,
+    doc: str = "doc",
+    status: str = "status",
+) -> DataFrame:
     """Overlay the keys of JSON object ``extra`` on those of ``base``.
 
     With ``field``, the objects in that field of the two documents are
-    overlaid and the rest of ``base`` is kept. The result is a struct of
+    overlaid and the rest of ``base`` is kept. Adds two columns:
 
     * ``doc``: the merged text, or the base document alone if there is
-      nothing to merge or ``extra`` is broken; NULL if ``base`` is no object
+      nothing to merge or ``extra`` is broken; NULL if ``base`` is no object.
+      Objects inside come out with sorted keys
     * ``status``: ``absent`` (NULL extra), ``empty`` (blank text, ``null`` or
       ``false``, or such a field), ``merged``, or ``invalid`` (a warning)
     """
-    base_doc = parse_object(base)
-    extra_doc = parse_object(extra)
+    work = df.withColumns({"__base_text": base, "__extra_text": extra})
+    work = with_object(work, "__base", F.col("__base_text"))
+    work = with_object(work, "__extra", F.col("__extra_text"))
+    base_doc, extra_text = F.col("__base"), F.col("__extra_text")
     if field is None:
-        additions = extra_doc
-        nothing = _is_nothing(extra)
+        additions = F.col("__extra")
+        nothing = _is_nothing(extra_text)
         merged = overlay_maps(base_doc, additions)
+        mergeable = additions.isNotNull()
     else:
-        # get_json_object is not used here: it cannot tell a field that is
-        # absent from one that is broken.
-        member = F.to_json(F.try_element_at(extra_doc, F.lit(field)))
-        additions = parse_object(member)
-        nothing = _is_bare(extra, "null") | (
-            extra_doc.isNotNull() & F.coalesce(_is_nothing(member), F.lit(True))
+        members = {
+            "__old_text": _member(base_doc, field),
+            "__new_text": _member(F.col("__extra"), field),
+        }
+        work = work.withColumns(members)
+        work = with_object(work, "__old", F.col("__old_text"))
+        work = with_object(work, "__new", F.col("__new_text"))
+        old, additions = F.col("__old"), F.col("__new")
+        nothing = _is_bare(extra_text, "null") | (
+            F.col("__extra").isNotNull()
+            & F.coalesce(_is_nothing(F.col("__new_text")), F.lit(True))
         )
-        inner = F.to_json(
-            overlay_maps(
-                parse_object(F.to_json(F.try_element_at(base_doc, F.lit(field)))),
-                additions,
-            ),
-            _KEEP_NULLS,
+        work = work.withColumn(
+            "__inner", F.to_json(overlay_maps(old, additions), _KEEP_NULLS)
         )
-        merged = overlay_maps(
-            base_doc, F.create_map(F.lit(field), F.try_parse_json(inner))
+        inner = F.create_map(F.lit(field), F.parse_json("__inner"))
+        merged = overlay_maps(base_doc, inner)
+        mergeable = additions.isNotNull() & (
+            old.isNotNull() | F.coalesce(F.col("__old_text") == "null", F.lit(True))
         )
-    status = (
-        F.when(extra.isNull(), "absent")
+    outcome = (
+        F.when(extra_text.isNull(), "absent")
         .when(nothing, "empty")
-        .when(additions.isNull(), "invalid")
-        .otherwise("merged")
-    )
-    doc = F.to_json(F.when(status == "merged", merged).otherwise(base_doc), _KEEP_NULLS)
-    return F.struct(
-        F.when(base_doc.isNotNull(), doc).alias("doc"), status.alias("status")
+        .when(mergeable, "merged")
+        .otherwise("invalid")
     )
+    work = work.withColumn("__status", outcome)
+    result = F.when(F.col("__status") == "merged", merged).otherwise(base_doc)
+    text = F.when(base_doc.isNotNull(), F.to_json(result, _KEEP_NULLS))
+    return work.select(*df.columns, text.alias(doc), F.col("__status").alias(status))
 
 
-def _member_text(text: Column, field: str | None) -> Column:
-    if field is None:
-        return text
-    return F.to_json(F.try_element_at(parse_object(text), F.lit(field)))
+def _member(document: Column, field: str) -> Column:
+    return F.to_json(F.try_element_at(document, F.lit(field)))
 
 
 def _is_bare(text: Column, *words: str) -> Column:

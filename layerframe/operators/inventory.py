@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerframe.functions.documents import object_keys
+from layerframe.functions.documents import object_keys, with_member
 from layerframe.functions.refs import strip_prefix
 from layerframe.operators.keys import Keys, key_list
 from layerframe.operators.lookup import lookup_join
@@ -73,7 +73,11 @@ def json_keys(
     Broken text and other JSON values give no rows. ``by`` keeps columns.
     """
     by = key_list(by)
-    keys = df.select(*by, F.explode(object_keys(F.col(document), field)).alias(key))
+    text = F.col(document)
+    if field is not None:
+        df = with_member(df.select(*by, document), "__member", text, field)
+        text = F.col("__member")
+    keys = df.select(*by, F.explode(object_keys(text)).alias(key))
     if distinct:
         keys = keys.distinct()
     return keys.orderBy(*by, key) if ordered else keys

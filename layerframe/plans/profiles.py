@@ -122,19 +122,16 @@ def server_docs(registry: DataFrame, extras: DataFrame) -> DataFrame:
     shows as ``invalid``.
     """
     own = extras.select("profile", F.col("content").alias("__extra"))
-    merged = overlay_json(
-        gateway_doc(F.col("gateway_id")), F.col("__extra"), fixed.SERVERS_FIELD
-    )
-    return (
-        registry.where("gateway_id IS NOT NULL")
-        .join(require_unique(own, "profile", "extras"), "profile", "left")
-        .select("profile", merged.alias("merged"))
-        .select(
-            "profile",
-            F.col("merged.doc").alias("content"),
-            F.col("merged.status").alias("status"),
-        )
+    with_extras = registry.where("gateway_id IS NOT NULL").join(
+        require_unique(own, "profile", "extras"), "profile", "left"
     )
+    return overlay_json(
+        with_extras,
+        gateway_doc(F.col("gateway_id")),
+        F.col("__extra"),
+        fixed.SERVERS_FIELD,
+        doc="content",
+    ).select("profile", "content", "status")
 
 
 def sync_servers(items: DataFrame, registry: DataFrame, extras: DataFrame) -> DataFrame:

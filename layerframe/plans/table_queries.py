@@ -182,8 +182,7 @@ def overlay_event_documents(table: Tables) -> DataFrame:
         .when(kind == "view", props)
     )
     base = render_doc(F.lit("base").alias("k"), F.col("user_id").alias("user"))
-    merged = table("events").select("event_id", overlay_json(base, extra).alias("m"))
-    return merged.select("event_id", "m.status", "m.doc")
+    return overlay_json(table("events"), base, extra).select("event_id", "status", "doc")
 
 
 @query("""
@@ -625,6 +624,11 @@ _GATEWAY_SQL = """
 """
 
 
+_SORTED_GATEWAY_SQL = """
+    '{"mcpServers":{"MCP_DOCKER":{"args":["mcp","gateway","run","--profile","'
+"""
+
+
 @query(f"""
     WITH {_REGISTRY_SQL}
     SELECT profile, item,
@@ -658,9 +662,10 @@ def create_customer_profiles(table: Tables) -> DataFrame:
                 WHEN seg = 'BUILDING' THEN 'empty' ELSE 'merged' END AS status,
            CASE seg WHEN 'FURNITURE' THEN
                          '{{"mcpServers":{{"MCP_DOCKER":{{"nation":' || nat || '}}}}}}'
-                    WHEN 'HOUSEHOLD' THEN {_GATEWAY_SQL} || gateway_id
-                         || '"]}},"remote":{{"url":"http://' || profile || '/"}}}}}}'
-                    ELSE {_GATEWAY_SQL} || gateway_id || '"]}}}}}}' END AS content
+                    WHEN 'HOUSEHOLD' THEN {_SORTED_GATEWAY_SQL} || gateway_id
+                         || '"],"command":"docker"}},"remote":{{"url":"http://' || profile || '/"}}}}}}'
+                    ELSE {_SORTED_GATEWAY_SQL} || gateway_id || '"],"command":"docker"}}}}}}'
+                    END AS content
     FROM (SELECT r.*, c_mktsegment AS seg, c_nationkey AS nat,
                  CASE WHEN c_mktsegment <> 'MACHINERY' THEN 1 END AS doc
           FROM registry r JOIN customer c USING (c_custkey))

@@ -1,0 +1,170 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from layerframe import (
+    json_keys,
+    normalize_ref,
+    object_keys,
+    overlay_json,
+    overlay_maps,
+    owned_by_prefix,
+    render_doc,
+    strip_prefix,
+)
+from layerframe.functions.documents import with_object
+
+BASE = '{"a": 1, "b": {"x": 1, "y": 2}}'
+
+TOP_LEVEL = [
+    (None, "absent", {"a": 1, "b": {"x": 1, "y": 2}}),
+    ("", "empty", {"a": 1, "b": {"x": 1, "y": 2}}),
+    (" \n\t ", "empty", {"a": 1, "b": {"x": 1, "y": 2}}),
+    ("null", "empty", {"a": 1, "b": {"x": 1, "y": 2}}),
+    ("false", "empty", {"a": 1, "b": {"x": 1, "y": 2}}),
+    ("{}", "merged", {"a": 1, "b": {"x": 1, "y": 2}}),
+    ('{"b": {"z": 3}}', "merged", {"a": 1, "b": {"z": 3}}),
+    ('{"b": null}', "merged", {"a": 1, "b": None}),
+    ('{"c": "3", "d": [1, "x"]}', "merged", {"a": 1, "b": {"x": 1, "y": 2}, "c": "3", "d": [1, "x"]}),
+    ('{"c": 1, "a": 5, "c": 2}', "merged", {"a": 5, "b": {"x": 1, "y": 2}, "c": 2}),
+    ('{"c": 1} {"c": 2}', "merged", {"a": 1, "b": {"x": 1, "y": 2}, "c": 1}),
+    ('{"c": ', "invalid", {"a": 1, "b": {"x": 1, "y": 2}}),
+    ("[1]", "invalid", {"a": 1, "b": {"x": 1, "y": 2}}),
+    ("3", "invalid", {"a": 1, "b": {"x": 1, "y": 2}}),
+    ("true", "invalid", {"a": 1, "b": {"x": 1, "y": 2}}),
+    ('"text"', "invalid", {"a": 1, "b": {"x": 1, "y": 2}}),
+]
+
+
+def merge(spark, cases, field=None):
+    df = spark.createDataFrame(cases, "id int, base string, extra string")
+    got = overlay_json(df, F.col("base"), F.col("extra"), field)
+    assert got.columns == ["id", "base", "extra", "doc", "status"]
+    return {
+        r.id: (r.status, None if r.doc is None else json.loads(r.doc)) for r in got.collect()
+    }
+
+
+def test_overlay_of_documents(spark):
+    cases = [(i, BASE, extra) for i, (extra, _, _) in enumerate(TOP_LEVEL)]
+    got = merge(spark, cases)
+    for i, (_, status, doc) in enumerate(TOP_LEVEL):
+        assert got[i] == (status, doc), cases[i]
+
+
+def test_base_that_is_no_object_gives_no_document(spark):
+    got = merge(spark, [(0, None, '{"a": 1}'), (1, "[]", '{"a": 1}'), (2, "{", None)])
+    assert [got[i][1] for i in range(3)] == [None] * 3
+
+
+GATEWAY = '{"servers": {"gw": {"command": "run"}}, "version": 2}'
+PLAIN = {"servers": {"gw": {"command": "run"}}, "version": 2}
+IN_FIELD = [
+    (None, "absent", PLAIN),
+    ("", "empty", PLAIN),
+    ("null", "empty", PLAIN),
+    ("{}", "empty", PLAIN),
+    ('{"servers": null}', "empty", PLAIN),
+    ('{"servers": false}', "empty", PLAIN),
+    ('{"servers": {}}', "merged", PLAIN),
+    ('{"other": {"x": 1}}', "empty", PLAIN),
+    ('{"servers": {"web": {"url": "u"}}, "version": 9}', "merged",
+     {"servers": {"gw": {"command": "run"}, "web": {"url": "u"}}, "version": 2}),
+    ('{"servers": {"gw": {"url": "u"}}}', "merged",
+     {"servers": {"gw": {"url": "u"}}, "version": 2}),
+    ('{"servers": {"gw": null}}', "merged", {"servers": {"gw": None}, "version": 2}),
+    ('{"servers": []}', "invalid", PLAIN),
+    ('{"servers": "x"}', "invalid", PLAIN),
+    ('{"servers": {', "invalid", PLAIN),
+    ("false", "invalid", PLAIN),
+    ("[]", "invalid", PLAIN),
+]
+
+
+def test_overlay_in_a_field(spark):
+    got = merge(
+        spark, [(i, GATEWAY, extra) for i, (extra, _, _) in enumerate(IN_FIELD)], "servers"
+    )
+    for i, (extra, status, doc) in enumerate(IN_FIELD):
+        assert got[i] == (status, doc), extra
+
+
+def test_overlay_in_a_field_of_odd_bases(spark):
+    extra = '{"servers": {"web": 1}}'
+    got = merge(
+        spark,
+        [(0, '{"v": 1}', extra), (1, '{"servers": null}', extra), (2, '{"servers": 3}', extra)],
+        "servers",
+    )
+    assert got[0] == ("merged", {"v": 1, "servers": {"web": 1}})
+    assert got[1] == ("merged", {"servers": {"web": 1}})
+    assert got[2] == ("invalid", {"servers": 3})
+
+
+def test_last_of_many_repeated_keys_in_first_position_order(spark):
+    text = "{" + ", ".join(f'"k{i % 7}": {i}' for i in range(50)) + "}"
+    df = spark.createDataFrame([(text,)], "t string")
+    got = with_object(df, "m", F.col("t")).select(F.to_json("m")).first()[0]
+    assert json.loads(got) == json.loads(text)
+
+
+def test_overlay_maps(spark):
+    df = spark.createDataFrame(
+        [
+            (1, {"a": 1, "b": 2}, {"b": None, "c": 3}),
+            (2, None, {"a": 1}),
+            (3, {"a": 1}, None),
+            (4, None, None),
+            (5, {}, {}),
+        ],
+        "id int, base map<string,int>, extra map<string,int>",
+    )
+    got = df.select("id", overlay_maps(F.col("base"), F.col("extra")).alias("m"))
+    result = {r.id: r.m for r in got.collect()}
+    assert result[1] == {"a": 1, "b": None, "c": 3}
+    assert result[2] == {"a": 1} and result[3] == {"a": 1}
+    assert not result[4] and result[5] == {}
+
+
+def test_keys(spark):
+    df = spark.createDataFrame(
+        [(1, '{"b": 1, "a": 2, "b": 3}'), (2, '{"a": {"z": 1}}'), (3, "[1]"), (4, "{"), (5, None)],
+        "id int, t string",
+    )
+    assert [r.key for r in json_keys(df, "t", ordered=True).collect()] == ["a", "b"]
+    per_row = json_keys(df, "t", by="id", ordered=True).collect()
+    assert [tuple(r) for r in per_row] == [(1, "a"), (1, "b"), (2, "a")]
+    assert [r.key for r in json_keys(df, "t", field="a").collect()] == ["z"]
+    assert df.select(object_keys(F.col("t"))).where("id = 3").first()[0] is None
+
+
+def test_render_escapes_and_keeps_nulls(spark):
+    df = spark.createDataFrame([('q"uo\\te\n', None)], "name string, x int")
+    text = df.select(render_doc("name", "x", F.array(F.lit("run"), "name").alias("args"))).first()[0]
+    assert json.loads(text) == {"name": 'q"uo\\te\n', "x": None, "args": ["run", 'q"uo\\te\n']}
+
+
+@pytest.mark.parametrize(
+    "ref,expected",
+    [
+        ("ghcr.io/acme/srv:latest", "docker://ghcr.io/acme/srv:latest"),
+        ("catalog://mcp/github", "catalog://mcp/github"),
+        ("", "docker://"),
+        (None, None),
+    ],
+)
+def test_normalize_ref(spark, ref, expected):
+    df = spark.createDataFrame([(ref,)], "r string")
+    assert df.select(normalize_ref(F.col("r"), "docker://")).first()[0] == expected
+
+
+def test_prefixes(spark):
+    df = spark.createDataFrame(
+        [("/p/x/a",), ("/p/xy/a",), ("/p/x",), (None,)], "link string"
+    )
+    for root in ["/p/x", "/p/x/"]:
+        owned = [r[0] for r in df.select(owned_by_prefix(F.col("link"), root)).collect()]
+        assert owned == [True, False, False, False]
+    cut = [r[0] for r in df.select(strip_prefix(F.col("link"), F.lit("/p/x"))).collect()]
+    assert cut == ["a", "/p/xy/a", "/p/x", None]
