@@ -18,8 +18,10 @@ def load_items(
 
     ``path`` is relative to the profile, so a file directly in the profile has
     ``path = item``. ``profiles`` reads only those folders. ``with_content``
-    adds the UTF-8 text; without it no file is opened, only listed. Names
-    starting with ``.`` or ``_`` and empty folders are not seen.
+    adds the UTF-8 text; without it no file is opened, only listed.
+
+    Spark's listing passes over names starting with ``.`` or ``_``, empty
+    files and empty folders. Filling the defaults brings blanks back.
     """
     base = _qualified(spark, root)
     folders = [base] if profiles is None else [f"{base}/{name}" for name in profiles]

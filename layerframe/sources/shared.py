@@ -13,10 +13,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where it names none, as in a local test, is a folder made and set.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="layerframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="layerframe-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

@@ -1,0 +1,105 @@
+import random
+from pathlib import Path
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from layerframe import capture, dereference
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def follow(edges, start, max_hops):
+    at, hops = start, 0
+    while at in edges:
+        at, hops = edges[at], hops + 1
+        if hops > max_hops:
+            return (start, None, None, "loop")
+    return (start, at, hops, "resolved")
+
+
+@pytest.mark.parametrize("max_hops", [1, 3, 4, 40])
+def test_dereference_against_plain_python(spark, max_hops):
+    rng = random.Random(max_hops)
+    edges = {f"n{i}": f"n{rng.randrange(80)}" for i in range(0, 60)}
+    edges |= {f"c{i}": f"c{i + 1}" for i in range(45)}  # a long chain
+    edges |= {f"h{i}": "hub" for i in range(40)}  # many links to one file
+    edges |= {"self": "self", "x": "y", "y": "x", "into": "x", "null": None}
+    links = spark.createDataFrame(list(edges.items()), "src string, dst string")
+    got = dereference(links, max_hops=max_hops)
+    assert rows(got) == sorted((follow(edges, s, max_hops) for s in edges), key=repr)
+
+
+def test_dereference_rejects_two_targets(spark):
+    links = spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string")
+    with pytest.raises(PySparkException, match="links"):
+        dereference(links)
+
+
+def test_dereference_of_nothing(spark):
+    links = spark.createDataFrame([], "src string, dst string")
+    assert dereference(links).isEmpty()
+
+
+def test_dereference_uses_the_shared_folder(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("layerframe-links-*"))
+    got = dereference(links)
+    (made,) = set(shared.glob("layerframe-links-*")) - before
+    assert sorted(d.name for d in made.iterdir()) == ["0", "1"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FileScan" in plan
+
+
+def test_capture(spark):
+    targets = spark.createDataFrame(
+        [
+            ("p", "settings", "/w/settings"),
+            ("p", "notes", "/w/notes"),
+            ("p", "hooks", "/w/hooks"),
+            ("p", "loop", "/w/loop"),
+            ("q", "settings", "/v/settings"),
+        ],
+        "scope string, item string, path string",
+    )
+    links = spark.createDataFrame(
+        [
+            ("/w/settings", "/mid"),
+            ("/mid", "/real/settings"),
+            ("/w/hooks", "/gone"),
+            ("/w/loop", "/w/loop"),
+            ("/v/settings", "/real/empty"),
+        ],
+        "src string, dst string",
+    )
+    content = spark.createDataFrame(
+        [("/real/settings", "S"), ("/w/notes", "N"), ("/real/empty", None), ("/other", "O")],
+        "path string, content string",
+    )
+    args = {"entity": "scope", "item": "item"}
+    got = capture(
+        targets,
+        links,
+        content,
+        items=["settings", "notes", "hooks"],
+        defaults={"content": F.concat(F.lit("blank "), "item")},
+        **args,
+    ).select("scope", "item", "content", "hops", "filled")
+    assert rows(got) == sorted(
+        [
+            ("p", "settings", "S", 2, False),
+            ("p", "notes", "N", 0, False),
+            ("p", "hooks", "blank hooks", None, True),
+            ("q", "settings", None, 1, False),
+            ("q", "notes", "blank notes", None, True),
+            ("q", "hooks", "blank hooks", None, True),
+        ],
+        key=repr,
+    )
+    assert len(rows(capture(targets, links, content, **args))) == 3
+    later = content.withColumn("content", F.lit("changed"))
+    assert rows(capture(targets, links, later, **args)) != rows(got)

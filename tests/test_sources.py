@@ -1,0 +1,96 @@
+from pathlib import Path
+from types import SimpleNamespace
+
+import pytest
+from pyspark.errors import AnalysisException
+
+from layerframe import load_items, save_new
+from layerframe.sources.shared import new_shared_path, shared_dir, written_table
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "pro files"
+    files = {
+        "one/mcp.json": "{}\n",
+        "one/notes.md": "",
+        "one/skills/my skill/SKILL.md": "Do stuff\n",
+        "one/skills/b/x.md": "ü",
+        "two/settings.json": '{"a": 1}',
+        "stray.txt": "not in a profile",
+        "two/.hidden": "unseen",
+    }
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text, encoding="utf-8")
+    (root / "two" / "hooks").mkdir()
+    return root
+
+
+EXPECTED = [
+    ("one", "mcp.json", "mcp.json", 3),
+    ("one", "skills", "skills/b/x.md", 2),
+    ("one", "skills", "skills/my skill/SKILL.md", 9),
+    ("two", "settings.json", "settings.json", 8),
+]
+
+
+def test_load_items(spark, tree):
+    for root in [str(tree), str(tree) + "/", f"file:{tree}"]:
+        got = load_items(spark, root)
+        assert got.columns == ["profile", "item", "path", "n_bytes"]
+        assert sorted(tuple(r) for r in got.collect()) == EXPECTED
+
+
+def test_load_some_profiles_with_content(spark, tree):
+    got = load_items(spark, str(tree), profiles=["one"], with_content=True)
+    texts = {r.path: r.content for r in got.collect()}
+    assert texts == {
+        "mcp.json": "{}\n",
+        "skills/b/x.md": "ü",
+        "skills/my skill/SKILL.md": "Do stuff\n",
+    }
+
+
+def test_content_is_not_read_unless_asked_for(spark, tree):
+    plan = load_items(spark, str(tree))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan
+
+
+def test_load_sees_later_additions(spark, tree):
+    before = load_items(spark, str(tree)).count()
+    (tree / "two" / "hooks" / "late.sh").write_text("x")
+    assert load_items(spark, str(tree)).count() == before + 1
+
+
+def test_save_new_is_exclusive(spark, tmp_path):
+    df = spark.range(3)
+    path = str(tmp_path / "made")
+    save_new(df, path)
+    with pytest.raises(AnalysisException, match="already exists"):
+        save_new(df, path)
+    assert spark.read.parquet(path).count() == 3
+    save_new(df.selectExpr("id", "id % 2 AS p"), str(tmp_path / "parts"), partition_by=["p"])
+    assert (tmp_path / "parts" / "p=0").is_dir()
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert new_shared_path(spark, "x") != new_shared_path(spark, "x")
+
+
+def test_shared_folder_is_made_only_where_none_is_named():
+    context = SimpleNamespace(folder=None)
+    context.getCheckpointDir = lambda: context.folder
+    context.setCheckpointDir = lambda folder: setattr(context, "folder", folder)
+    bare = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: default), sparkContext=context
+    )
+    made = shared_dir(bare)
+    assert Path(made).is_dir() and shared_dir(bare) == made
+
+
+def test_written_table(spark):
+    path = new_shared_path(spark, "t")
+    table = written_table(spark.range(5), path)
+    assert table.count() == 5 and table.columns == ["id"]
