@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from layerframe.functions.maps import last_wins, overlay_maps
 
+_OBJECT = T.MapType(T.StringType(), T.VariantType())
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 _JSON_SPACE = " \t\n\r"
 
@@ -29,14 +31,16 @@ def with_object(df: DataFrame, name: str, text: Column) -> DataFrame:
     that repeats a key makes the whole text count as broken.
     """
     # In two steps, so that each text is parsed once.
-    return df.withColumn(name, F.from_json(text, "map<string,variant>")).withColumn(
+    return df.withColumn(name, F.from_json(text, _OBJECT)).withColumn(
         name, last_wins(F.col(name))
     )
 
 
 def with_member(df: DataFrame, name: str, text: Column, field: str) -> DataFrame:
-    """Add the text of one member of a JSON object, NULL if it has none."""
-    return with_object(df, name, text).withColumn(name, _member(F.col(name), field))
+    """Add the object in a ``field`` of a JSON object, as :func:`with_object`."""
+    return df.withColumn(
+        name, F.from_json(text, T.StructType().add(field, _OBJECT))[field]
+    ).withColumn(name, last_wins(F.col(name)))
 
 
 def overlay_json(
@@ -60,34 +64,29 @@ def overlay_json(
     """
     work = df.withColumns({"__base_text": base, "__extra_text": extra})
     work = with_object(work, "__base", F.col("__base_text"))
-    work = with_object(work, "__extra", F.col("__extra_text"))
     base_doc, extra_text = F.col("__base"), F.col("__extra_text")
     if field is None:
-        additions = F.col("__extra")
-        nothing = _is_nothing(extra_text)
-        merged = overlay_maps(base_doc, additions)
-        mergeable = additions.isNotNull()
+        work = with_object(work, "__new", extra_text)
+        nothing = _is_bare(extra_text, "null", "false")
+        mergeable = F.col("__new").isNotNull()
+        merged = overlay_maps(base_doc, F.col("__new"))
     else:
-        members = {
-            "__old_text": _member(base_doc, field),
-            "__new_text": _member(F.col("__extra"), field),
-        }
-        work = work.withColumns(members)
-        work = with_object(work, "__old", F.col("__old_text"))
-        work = with_object(work, "__new", F.col("__new_text"))
-        old, additions = F.col("__old"), F.col("__new")
-        nothing = _is_bare(extra_text, "null") | (
-            F.col("__extra").isNotNull()
-            & F.coalesce(_is_nothing(F.col("__new_text")), F.lit(True))
-        )
-        work = work.withColumn(
-            "__inner", F.to_json(overlay_maps(old, additions), _KEEP_NULLS)
+        work = with_member(work, "__new", extra_text, field)
+        member = F.try_element_at(base_doc, F.lit(field))
+        work = work.withColumns(
+            {
+                "__old": F.try_variant_get(member, "$", _OBJECT.simpleString()),
+                "__old_blank": member.isNull() | F.is_variant_null(member),
+                "__is_object": F.json_object_keys(extra_text).isNotNull(),
+            }
         )
-        inner = F.create_map(F.lit(field), F.parse_json("__inner"))
-        merged = overlay_maps(base_doc, inner)
-        mergeable = additions.isNotNull() & (
-            old.isNotNull() | F.coalesce(F.col("__old_text") == "null", F.lit(True))
+        old, new, is_object = F.col("__old"), F.col("__new"), F.col("__is_object")
+        nothing = _is_bare(extra_text, "null") | (
+            is_object & new.isNull() & _lacks_member(extra_text, field)
         )
+        mergeable = is_object & new.isNotNull() & (old.isNotNull() | F.col("__old_blank"))
+        inner = F.to_variant_object(overlay_maps(old, new))
+        merged = overlay_maps(base_doc, F.create_map(F.lit(field), inner))
     outcome = (
         F.when(extra_text.isNull(), "absent")
         .when(nothing, "empty")
@@ -100,13 +99,11 @@ def overlay_json(
     return work.select(*df.columns, text.alias(doc), F.col("__status").alias(status))
 
 
-def _member(document: Column, field: str) -> Column:
-    return F.to_json(F.try_element_at(document, F.lit(field)))
-
-
 def _is_bare(text: Column, *words: str) -> Column:
     return F.btrim(text, F.lit(_JSON_SPACE)).isin("", *words)
 
 
-def _is_nothing(text: Column) -> Column:
-    return _is_bare(text, "null", "false")
+def _lacks_member(text: Column, field: str) -> Column:
+    as_boolean = F.from_json(text, T.StructType().add(field, T.BooleanType()))[field]
+    is_false = F.coalesce(~as_boolean, F.lit(False))
+    return F.get_json_object(text, f"$['{field}']").isNull() | is_false

@@ -10,17 +10,17 @@ def overlay_maps(base: Column, extra: Column) -> Column:
     """All keys of both maps; where a key is in both, the value of ``extra``.
 
     Presence of the key decides, so a NULL value on the right replaces the
-    left value. A NULL map counts as a map without keys. Values are taken
-    whole and never merged inside.
+    left value. A NULL map counts as a map without keys; two of them give
+    NULL. Values are taken whole and never merged inside.
     """
-    base, extra = _or_empty(base, extra), _or_empty(extra, base)
-    return F.map_zip_with(
+    # A struct around each right-hand value tells "NULL" from "no such key".
+    boxed = F.transform_values(extra, lambda key, value: F.struct(value.alias("value")))
+    merged = F.map_zip_with(
         base,
-        extra,
-        lambda key, left, right: F.when(
-            F.map_contains_key(extra, key), right
-        ).otherwise(left),
+        boxed,
+        lambda key, left, right: F.when(right.isNotNull(), right["value"]).otherwise(left),
     )
+    return F.when(extra.isNull(), base).when(base.isNull(), extra).otherwise(merged)
 
 
 def last_wins(entries: Column) -> Column:
@@ -47,8 +47,3 @@ def last_wins(entries: Column) -> Column:
         F.size(keys) > F.size(F.array_distinct(keys)), deduplicated
     ).otherwise(entries)
 
-
-def _or_empty(column: Column, other: Column) -> Column:
-    # An untyped empty map would not unify with the value type, so an empty
-    # map of the right type is cut out of whichever side there is.
-    return F.coalesce(column, F.map_filter(other, lambda key, value: F.lit(False)))

@@ -73,11 +73,12 @@ def json_keys(
     Broken text and other JSON values give no rows. ``by`` keeps columns.
     """
     by = key_list(by)
-    text = F.col(document)
+    found = object_keys(F.col(document))
     if field is not None:
-        df = with_member(df.select(*by, document), "__member", text, field)
-        text = F.col("__member")
-    keys = df.select(*by, F.explode(object_keys(text)).alias(key))
+        whole = found.isNotNull()
+        df = with_member(df, "__member", F.col(document), field)
+        found = F.when(whole, F.map_keys("__member"))
+    keys = df.select(*by, F.explode(found).alias(key))
     if distinct:
         keys = keys.distinct()
     return keys.orderBy(*by, key) if ordered else keys

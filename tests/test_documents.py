@@ -77,6 +77,10 @@ IN_FIELD = [
     ('{"servers": []}', "invalid", PLAIN),
     ('{"servers": "x"}', "invalid", PLAIN),
     ('{"servers": {', "invalid", PLAIN),
+    ('{"servers": {"web": 1}, "x": ', "invalid", PLAIN),
+    ('{"servers": "false"}', "invalid", PLAIN),
+    ('{"servers": {"web": 1, "web": 2}}', "merged",
+     {"servers": {"gw": {"command": "run"}, "web": 2}, "version": 2}),
     ("false", "invalid", PLAIN),
     ("[]", "invalid", PLAIN),
 ]
