@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from layerframe.sources.shared import new_shared_path, written_table
+
 Keys = str | Sequence[str]
 
 
@@ -67,23 +69,28 @@ def pair_rows(
     the table has no row for the key; a field ``here`` keeps a row without
     other columns apart from no row at all.
 
-    By default both tables are shuffled once on the keys and merged. With
-    ``small_right`` the left table is not shuffled as long as Spark finds the
-    right one below its broadcast threshold; beyond it Spark falls back to
-    shuffled joins with the same result. ``check`` rejects repeated or NULL
-    keys: on both sides, or with ``small_right`` on the right only, because
-    checking the left would shuffle it.
+    By default both tables are shuffled once on the keys and merged.
+
+    With ``small_right`` the right table is first written to the shared
+    folder, so that its size is known when the joins are planned. Below
+    Spark's broadcast threshold the left table is then not shuffled at all;
+    above it the joins are shuffled and the result is the same.
+
+    ``check`` rejects repeated or NULL keys: on both sides, or with
+    ``small_right`` on the right only, because checking the left would
+    shuffle it.
     """
     keys = key_list(keys)
-    right_keys = right.select(*keys)
     if check:
         right = require_unique(right, keys, "right side")
         if not small_right:
             left = require_unique(left, keys, "left side")
+    if small_right:
+        right = written_table(right, new_shared_path(right.sparkSession, "side"))
     lefts, rights = _packed(left, keys, "left"), _packed(right, keys, "right")
     if not small_right:
         return lefts.join(rights, keys, "full")
-    matched = left.select(*keys).join(right_keys, keys, "left_semi")
+    matched = left.select(*keys).join(right.select(*keys), keys, "left_semi")
     right_only = rights.join(matched, keys, "left_anti")
     return lefts.join(rights, keys, "left").unionByName(
         right_only.withColumn("left", F.lit(None).cast(lefts.schema["left"].dataType))

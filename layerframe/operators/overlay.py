@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from layerframe.operators.keys import (
     Keys,
@@ -60,6 +61,7 @@ def fill_defaults(
     entity: Keys,
     item: str,
     defaults: Mapping[str, Any],
+    held: DataFrame | None = None,
     check: bool = True,
 ) -> DataFrame:
     """``present`` and a default row for every required item an entity lacks.
@@ -67,7 +69,9 @@ def fill_defaults(
     ``defaults`` gives the other columns of a filled row, as values or as
     Columns over the entity's columns and ``item``; columns not named become
     NULL. Rows that exist are passed on untouched whatever they hold, and
-    ``filled`` tells the two apart.
+    ``filled`` tells the two apart. What is there is read off ``held``, by
+    default ``present`` itself: give the (entity, item) pairs where they are
+    cheaper to get than ``present``.
 
     Usually the required items are few. Then every entity is joined once to
     the set of required items it has, and only what is absent is spelled out;
@@ -75,17 +79,18 @@ def fill_defaults(
     goes through a partitioned grid instead.
     """
     entity = key_list(entity)
+    held = present if held is None else held
     if check:
         entities = require_unique(entities, entity, "entities")
     if isinstance(items, DataFrame):
         item_rows = items.select(item).where(F.col(item).isNotNull()).distinct()
         head = item_rows.take(BOUND_ITEMS + 1)
         if len(head) > BOUND_ITEMS:
-            absent = _absent_from_grid(present, entities, item_rows, entity, item)
+            absent = _absent_from_grid(held, entities, item_rows, entity, item)
         else:
-            absent = _absent_items(present, entities, [r[0] for r in head], entity, item)
+            absent = _absent_items(held, entities, [r[0] for r in head], entity, item)
     else:
-        absent = _absent_items(present, entities, list(items), entity, item)
+        absent = _absent_items(held, entities, list(items), entity, item)
     filled = absent.select(
         *[
             _default(c, entity, item, defaults).cast(present.schema[c].dataType).alias(c)
@@ -106,24 +111,26 @@ def _default(
 
 
 def _absent_items(
-    present: DataFrame,
+    held: DataFrame,
     entities: DataFrame,
     items: list[Any],
     entity: list[str],
     item: str,
 ) -> DataFrame:
-    item_type = present.schema[item].dataType
-    required = F.array(*[F.lit(i) for i in items]).cast(f"array<{item_type.simpleString()}>")
+    item_type = held.schema[item].dataType
+    array_type = T.ArrayType(item_type)
+    required = F.array(*[F.lit(i) for i in items]).cast(array_type)
     # collect_set is combined before the shuffle and holds at most the
     # required items, however many rows an entity has.
     owned = (
-        present.where(F.col(item).isin(items))
+        held.where(F.col(item).isin(items))
         .groupBy(*entity)
         .agg(F.collect_set(item).alias("__owned"))
     )
     # left in `entities`, an item column would hide the exploded one
     bare = entities.drop(item)
-    absent = F.array_except(required, F.coalesce("__owned", F.array().cast(f"array<{item_type.simpleString()}>")))
+    nothing = F.array().cast(array_type)
+    absent = F.array_except(required, F.coalesce("__owned", nothing))
     return (
         bare.join(owned, entity, "left")
         .withColumn(item, F.explode(absent))
@@ -132,7 +139,7 @@ def _absent_items(
 
 
 def _absent_from_grid(
-    present: DataFrame,
+    held: DataFrame,
     entities: DataFrame,
     items: DataFrame,
     entity: list[str],
@@ -151,4 +158,4 @@ def _absent_from_grid(
         "__b", F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")
     ).withColumn("__a", every_block)
     grid = rows.join(columns, ["__a", "__b"]).drop("__a", "__b")
-    return grid.join(present.select(*entity, item), [*entity, item], "left_anti")
+    return grid.join(held.select(*entity, item), [*entity, item], "left_anti")

@@ -30,9 +30,10 @@ def dereference(
     the target is for the caller to look up.
 
     Each round lets every open link jump to where its own target points, which
-    doubles the distance: ``log2(max_hops)`` rounds at most, and one for the
-    usual tables of direct links. Rounds go through written tables, so the
-    plan stays short and a lost executor costs no earlier round.
+    doubles the distance: ``log2(max_hops)`` rounds at most, and none for the
+    usual tables of direct links. A round writes only the links it moved.
+    Rounds go through written tables, so the plan stays short and a lost
+    executor costs no earlier round.
     """
     edges = links.select(F.col(src).alias("src"), F.col(dst).alias("target"))
     if check:
@@ -45,11 +46,14 @@ def dereference(
         F.coalesce("__more", F.lit(False)).alias("open"),
     )
     root = new_shared_path(links.sparkSession, "links")
-    state = written_table(first, f"{root}/0")
+    latest = written_table(first, f"{root}/0")
+    state, closed = latest, latest.where("NOT open")
     reach, rounds = 1, 0
-    while reach < max_hops and not state.where("open").isEmpty():
+    while reach < max_hops and not latest.where("open").isEmpty():
         reach, rounds = reach * 2, rounds + 1
-        state = written_table(_jump(state), f"{root}/{rounds}")
+        latest = written_table(_jump(latest, state), f"{root}/{rounds}")
+        state = closed.unionByName(latest)
+        closed = closed.unionByName(latest.where("NOT open"))
     looped = F.col("open") | (F.col("hops") > max_hops)
     return state.select(
         F.col("src").alias(src),
@@ -59,15 +63,15 @@ def dereference(
     )
 
 
-def _jump(state: DataFrame) -> DataFrame:
+def _jump(latest: DataFrame, state: DataFrame) -> DataFrame:
     onward = state.select(
         F.col("src").alias("target"),
         F.col("target").alias("__target"),
         F.col("hops").alias("__hops"),
         F.col("open").alias("__open"),
     )
-    moved = (
-        state.where("open")
+    return (
+        latest.where("open")
         .join(onward, "target")
         .select(
             "src",
@@ -76,7 +80,6 @@ def _jump(state: DataFrame) -> DataFrame:
             F.col("__open").alias("open"),
         )
     )
-    return state.where("NOT open").unionByName(moved)
 
 
 def capture(
@@ -109,9 +112,21 @@ def capture(
         F.coalesce("target", F.when(F.col("status").isNull(), F.col("src"))).alias(path),
         F.coalesce("hops", F.lit(0)).alias("hops"),
     )
+    # The contents are wide and joined only once, for the result; what is
+    # absent is worked out from the narrow rows written here.
+    here = written_table(
+        here.join(content.select(path), path, "left_semi"),
+        new_shared_path(targets.sparkSession, "capture"),
+    )
     copied = here.join(content, path).drop(path)
     if entities is None:
         entities = targets.select(*entity).distinct()
     return fill_defaults(
-        copied, entities, items, entity=entity, item=item, defaults=defaults or {}
+        copied,
+        entities,
+        items,
+        entity=entity,
+        item=item,
+        defaults=defaults or {},
+        held=here,
     )

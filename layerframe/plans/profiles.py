@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from layerframe.functions.documents import overlay_json, render_doc
 from layerframe.functions.refs import normalize_ref
 from layerframe.operators.inventory import inventory_counts
-from layerframe.operators.keys import Keys, require_unique
+from layerframe.operators.keys import Keys, require_known, require_unique
 from layerframe.operators.lookup import (
     alias_lookup,
     canonical_name,
@@ -29,7 +29,7 @@ from layerframe.operators.lookup import (
     lookup_join,
     mark_active,
 )
-from layerframe.operators.managed import managed_remove, switch_owner
+from layerframe.operators.managed import managed_apply, managed_remove
 from layerframe.operators.overlay import fill_defaults, overlay_rows
 from layerframe.operators.snapshot import capture
 from layerframe.operators.state import active_state
@@ -169,19 +169,14 @@ def activate(targets: DataFrame, requests: DataFrame, registry: DataFrame) -> Da
     """Targets after switching every requested scope, with an ``outcome`` each.
 
     An unknown profile fails the job. What the old profile had linked in such
-    a scope goes away first; targets that belong to no profile stay and show
-    as ``conflict``.
+    a scope is replaced; targets that belong to no profile stay and show as
+    ``conflict``.
     """
-    incoming = requested_targets(requests)
-    return switch_owner(
-        targets,
-        incoming,
-        ["scope", "target"],
-        _owned(),
-        scope=incoming,
-        scope_keys=["scope", "target"],
-        registry=registry.select(F.col("profile").alias("owner")),
-    )
+    known = require_known(requests, registry, "profile", "profile")
+    # Every request wants all targets of the map, so writing them over replaces
+    # just what clearing the scope first would have removed.
+    incoming = requested_targets(known)
+    return managed_apply(targets, incoming, ["scope", "target"], _owned())
 
 
 def deactivate(targets: DataFrame, scopes: DataFrame, log: DataFrame, order: Keys) -> DataFrame:

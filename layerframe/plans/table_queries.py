@@ -757,9 +757,10 @@ _LOG_ORDER = ["o_orderdate", "o_orderkey"]
     SELECT scope, target,
            CASE WHEN c.target IS NULL THEN w.value ELSE c.value END AS value,
            CASE WHEN c.target IS NULL THEN w.owner ELSE c.owner END AS owner,
-           CASE WHEN w.target IS NULL THEN 'kept' WHEN c.target IS NULL THEN 'inserted'
-                ELSE 'conflict' END AS outcome
+           CASE WHEN w.target IS NULL THEN 'kept' WHEN c.target IS NOT NULL THEN 'conflict'
+                WHEN t.target IS NOT NULL THEN 'replaced' ELSE 'inserted' END AS outcome
     FROM cleared c FULL JOIN wanted w USING (scope, target)
+    LEFT JOIN targets t USING (scope, target)
 """)
 def activate_customer_profiles(table: Tables) -> DataFrame:
     requests = profiles.current_profiles(_activation_log(table), _LOG_ORDER)

@@ -90,8 +90,9 @@ def test_where_reaches_both_scans(spark, layers, tmp_path):
     assert rows(got) == [(2, None, 9.0, "overridden")]
     got = overlay_rows(a, b, "k", small_extra=True).where("k = 2")
     plan = got._jdf.queryExecution().executedPlan().toString()
-    # all but the key-only read of the small side
+    # all but a key-only read of the small side
     assert plan.count("EqualTo(k,2)") == plan.count("FileScan parquet") - 1 == 4
+    assert "Exchange hashpartitioning" not in plan
 
 
 def test_merge_shuffles_each_side_once(spark, layers, tmp_path):
