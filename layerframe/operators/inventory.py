@@ -9,6 +9,7 @@ from layerframe.functions.documents import object_keys, with_member
 from layerframe.functions.refs import strip_prefix
 from layerframe.operators.keys import Keys, key_list
 from layerframe.operators.lookup import lookup_join
+from layerframe.sources.shared import new_shared_path, written_table
 
 
 def inventory_counts(items: DataFrame, by: Keys, path: str = "path") -> DataFrame:
@@ -36,7 +37,9 @@ def inventory(
     """Listing: a row per file with its group's ``n_files``, sorted.
 
     The listing stays in rows, so that no group has to fit into one value or
-    one task: the sort is by range over group *and* path. ``prefix`` names a
+    one task: the sort is by range over group *and* path. The counts, a row
+    per group, are written to the shared folder first; as their size is known
+    then, the files need not be shuffled to get them. ``prefix`` names a
     column whose text is cut off the front of the path. Contents may hold
     secrets and are left out unless ``content`` names their column. Order is
     binary.
@@ -47,9 +50,12 @@ def inventory(
     # Structs compare NULL fields as equal, so a group of NULLs finds its count.
     group = F.struct(*by).alias("__group")
     counts = items.groupBy(*by).agg(F.count(path).alias("n_files"))
+    counts = written_table(
+        counts.select(group, "n_files"), new_shared_path(items.sparkSession, "counts")
+    )
     listed = lookup_join(
         items.select(*by, *others, group),
-        counts.select(group, "n_files"),
+        counts,
         "__group",
         salts=salts,
         salt_by=[*by, path],

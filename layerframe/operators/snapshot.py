@@ -119,7 +119,8 @@ def capture(
         new_shared_path(targets.sparkSession, "capture"),
     )
     copied = here.join(content, path).drop(path)
-    if entities is None:
+    given = entities is not None
+    if not given:
         entities = targets.select(*entity).distinct()
     return fill_defaults(
         copied,
@@ -129,4 +130,5 @@ def capture(
         item=item,
         defaults=defaults or {},
         held=here,
+        check=given,
     )

@@ -547,7 +547,7 @@ def dereference_turns(table: Tables) -> DataFrame:
     )
     SELECT custkey, item, content, hops, false AS filled FROM found
     UNION ALL
-    SELECT c_custkey, i.item, 'no ' || i.item, NULL, true
+    SELECT c_custkey, i.item, 'no ' || i.item, -1, true
     FROM customer CROSS JOIN (VALUES ('nation'), ('region'), ('segment'), ('notes')) i (item)
     WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.custkey = c_custkey AND f.item = i.item)
 """)
@@ -595,7 +595,7 @@ def capture_customers(table: Tables) -> DataFrame:
         entity="custkey",
         item="item",
         items=["nation", "region", "segment", "notes"],
-        defaults={"content": F.concat(F.lit("no "), "item")},
+        defaults={"content": F.concat(F.lit("no "), "item"), "hops": -1},
     ).select("custkey", "item", "content", "hops", "filled")
 
 
