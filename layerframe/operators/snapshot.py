@@ -27,7 +27,8 @@ def dereference(
 
     ``status`` is ``resolved``, or ``loop`` for a cycle or a chain of more
     than ``max_hops`` links, which has no target. Whether anything exists at
-    the target is for the caller to look up.
+    the target is for the caller to look up. A name with two links is an
+    error, a link without a name is ignored.
 
     Each round lets every open link jump to where its own target points, which
     doubles the distance: ``log2(max_hops)`` rounds at most, and none for the
@@ -36,9 +37,12 @@ def dereference(
     executor costs no earlier round.
     """
     edges = links.select(F.col(src).alias("src"), F.col(dst).alias("target"))
-    if check:
-        edges = require_unique(edges, "src", "links")
+    edges = edges.where(F.col("src").isNotNull())
     sources = edges.select(F.col("src").alias("target"), F.lit(True).alias("__more"))
+    if check:
+        # Checked on this side only: it sees every link and is shuffled on the
+        # name in any case.
+        sources = require_unique(sources, "target", "links")
     first = edges.join(sources, "target", "left").select(
         "src",
         "target",

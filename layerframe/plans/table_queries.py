@@ -629,19 +629,23 @@ _SORTED_GATEWAY_SQL = """
 """
 
 
+_BLANK_SQL = """
+    CASE item WHEN 'mcp.json' THEN '{' || chr(10) || '  "mcpServers": {}' || chr(10) || '}' || chr(10)
+         WHEN 'settings.json' THEN '{' || chr(10) || '  "permissions": {' || chr(10)
+             || '    "allow": [],' || chr(10) || '    "deny": []' || chr(10) || '  }'
+             || chr(10) || '}' || chr(10)
+         WHEN 'settings.local.json' THEN '{}' || chr(10)
+         WHEN 'CLAUDE.md' THEN '' WHEN 'CLAUDE.local.md' THEN '' END
+"""
+
+
 @query(f"""
     WITH {_REGISTRY_SQL}
     SELECT profile, item,
            CASE WHEN item LIKE '%.json' OR item LIKE '%.md' THEN item END AS path,
            CASE WHEN item = 'mcp.json' AND gateway_id IS NOT NULL
                     THEN {_GATEWAY_SQL} || gateway_id || '"]}}}}}}'
-                WHEN item = 'mcp.json' THEN '{{' || chr(10) || '  "mcpServers": {{}}' || chr(10)
-                    || '}}' || chr(10)
-                WHEN item = 'settings.json' THEN '{{' || chr(10) || '  "permissions": {{' || chr(10)
-                    || '    "allow": [],' || chr(10) || '    "deny": []' || chr(10) || '  }}'
-                    || chr(10) || '}}' || chr(10)
-                WHEN item LIKE '%.json' THEN '{{}}' || chr(10)
-                WHEN item LIKE '%.md' THEN '' END AS content
+                ELSE {_BLANK_SQL} END AS content
     FROM registry CROSS JOIN (VALUES {_ITEM_VALUES_SQL}) i (item, target)
     WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
 """)
@@ -655,8 +659,7 @@ def create_customer_profiles(table: Tables) -> DataFrame:
     return profiles.create_profiles(names, existing)[0]
 
 
-@query(f"""
-    WITH {_REGISTRY_SQL}
+_SERVERS_SQL = f"""
     SELECT profile,
            CASE WHEN doc IS NULL THEN 'absent' WHEN seg = 'AUTOMOBILE' THEN 'invalid'
                 WHEN seg = 'BUILDING' THEN 'empty' ELSE 'merged' END AS status,
@@ -670,9 +673,11 @@ def create_customer_profiles(table: Tables) -> DataFrame:
                  CASE WHEN c_mktsegment <> 'MACHINERY' THEN 1 END AS doc
           FROM registry r JOIN customer c USING (c_custkey))
     WHERE gateway_id IS NOT NULL
-""")
-def merge_customer_servers(table: Tables) -> DataFrame:
-    """Gateway documents with extras of every kind, depending on the segment."""
+"""
+
+
+def _customer_extras(table: Tables) -> DataFrame:
+    """Extra servers of every kind, depending on the segment."""
     segment = F.col("c_mktsegment")
     remote = F.struct(F.concat(F.lit("http://"), "c_name", F.lit("/")).alias("url"))
     extra = (
@@ -691,12 +696,75 @@ def merge_customer_servers(table: Tables) -> DataFrame:
             render_doc(F.struct(remote.alias("remote")).alias(fixed.SERVERS_FIELD)),
         )
     )
-    extras = table("customer").select(F.col("c_name").alias("profile"), extra.alias("content"))
-    return profiles.server_docs(_customer_registry(table), extras).select(
-        "profile", "status", "content"
+    return table("customer").select(
+        F.col("c_name").alias("profile"), extra.alias("content")
+    )
+
+
+@query(f"WITH {_REGISTRY_SQL} {_SERVERS_SQL}")
+def merge_customer_servers(table: Tables) -> DataFrame:
+    registry, extras = _customer_registry(table), _customer_extras(table)
+    return profiles.server_docs(registry, extras).select("profile", "status", "content")
+
+
+def _part_items(table: Tables) -> DataFrame:
+    name = F.array(*[F.lit(i) for i in profiles.ITEMS])
+    return (
+        table("lineitem")
+        .groupBy(
+            F.concat(F.lit("part-"), "l_partkey").alias("profile"),
+            F.get(name, F.col("l_linenumber") - 1).alias("item"),
+        )
+        .agg(
+            F.max("l_orderkey").cast("string").alias("path"),
+            F.max("l_returnflag").alias("content"),
+        )
     )
 
 
+_PART_ITEMS_SQL = f"""
+    items AS (SELECT item, target, row_number() OVER () AS n
+              FROM (VALUES {_ITEM_VALUES_SQL}) v (item, target)),
+    present AS (
+        SELECT 'part-' || l_partkey AS profile, item, max(l_orderkey)::VARCHAR AS path,
+               max(l_returnflag) AS content
+        FROM lineitem JOIN items ON n = l_linenumber GROUP BY 1, 2
+    )
+"""
+
+
+@query(f"""
+    WITH {_PART_ITEMS_SQL}
+    SELECT profile, item, path, content, false AS filled FROM present
+    UNION ALL
+    SELECT profile, item,
+           CASE WHEN item LIKE '%.json' OR item LIKE '%.md' THEN item END,
+           {_BLANK_SQL}, true
+    FROM (SELECT 'part-' || p_partkey AS profile FROM part) CROSS JOIN items
+    WHERE (profile, item) NOT IN (SELECT profile, item FROM present)
+""")
+def complete_part_items(table: Tables) -> DataFrame:
+    registry = table("part").select(F.concat(F.lit("part-"), "p_partkey").alias("profile"))
+    return profiles.complete_items(_part_items(table), registry)
+
+
+@query(f"""
+    WITH {_REGISTRY_SQL}, {_PART_ITEMS_SQL}, docs AS ({_SERVERS_SQL}), base AS (
+        SELECT c_name AS profile, i.item, i.item AS path, 'old' AS content
+        FROM customer CROSS JOIN items i WHERE i.item LIKE '%.json'
+    )
+    SELECT profile, b.item, b.path, coalesce(d.content, b.content) AS content
+    FROM base b LEFT JOIN (SELECT *, 'mcp.json' AS item FROM docs) d USING (profile, item)
+""")
+def sync_customer_servers(table: Tables) -> DataFrame:
+    files = [F.lit(i) for i in profiles.ITEMS if i.endswith(".json")]
+    items = table("customer").select(
+        F.col("c_name").alias("profile"), F.explode(F.array(*files)).alias("item")
+    )
+    items = items.withColumns({"path": F.col("item"), "content": F.lit("old")})
+    return profiles.sync_servers(items, _customer_registry(table), _customer_extras(table))
+
+
 def _customer_targets(table: Tables) -> DataFrame:
     """Per customer: a foreign target, linked ones, and one outside the map."""
     status = F.col("o_orderstatus")
@@ -768,6 +836,19 @@ def activate_customer_profiles(table: Tables) -> DataFrame:
     return profiles.activate(_customer_targets(table), requests, registry)
 
 
+@query(f"""
+    WITH {_TARGETS_SQL}
+    SELECT n.scope, n.profile, coalesce(n.profile = log.profile, false) AS is_active
+    FROM (SELECT DISTINCT o_custkey AS scope, o_orderpriority AS profile FROM orders) n
+    JOIN log USING (scope)
+""")
+def list_customer_profiles(table: Tables) -> DataFrame:
+    names = table("orders").select(
+        F.col("o_custkey").alias("scope"), F.col("o_orderpriority").alias("profile")
+    )
+    return profiles.list_profiles(names.distinct(), _activation_log(table), _LOG_ORDER)
+
+
 @query(f"""
     WITH {_TARGETS_SQL}
     SELECT t.scope, t.target, t.value, t.owner FROM targets t JOIN log l USING (scope)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,78 @@ def test_prefixes(spark):
         assert owned == [True, False, False, False]
     cut = [r[0] for r in df.select(strip_prefix(F.col("link"), F.lit("/p/x"))).collect()]
     assert cut == ["a", "/p/xy/a", "/p/x", None]
+
+
+def random_value(rng, depth=0):
+    kind = rng.randrange(8 if depth < 3 else 6)
+    if kind == 0:
+        return None
+    if kind == 1:
+        return rng.random() < 0.5
+    if kind == 2:
+        return rng.randrange(-(10**12), 10**12)
+    if kind == 3:
+        return rng.randrange(1000) / 8
+    if kind in (4, 5):
+        return "".join(rng.choice('ab"\\/{}[]:, \n\tüé€😀3') for _ in range(rng.randrange(6)))
+    if kind == 6:
+        return [random_value(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return random_object(rng, depth + 1)
+
+
+def random_object(rng, depth=0):
+    return {rng.choice("abcdefg"): random_value(rng, depth) for _ in range(rng.randrange(5))}
+
+
+def expected_overlay(base, text, field):
+    """The rule on one pair of documents, in plain Python."""
+    if text is None:
+        return "absent", base
+    if not text.strip():
+        return "empty", base
+    try:
+        extra = json.loads(text)
+    except ValueError:
+        return "invalid", base
+    if field is not None:
+        if extra is None:
+            return "empty", base
+        if not isinstance(extra, dict):
+            return "invalid", base
+        extra = extra.get(field)
+    if extra is None or extra is False:
+        return "empty", base
+    if not isinstance(extra, dict):
+        return "invalid", base
+    if field is None:
+        return "merged", {**base, **extra}
+    old = base.get(field)
+    if old is None:
+        old = {}
+    if not isinstance(old, dict):
+        return "invalid", base
+    return "merged", {**base, field: {**old, **extra}}
+
+
+@pytest.mark.parametrize("field", [None, "a"])
+def test_overlay_of_random_documents(spark, field):
+    rng = random.Random(7)
+    cases = []
+    for i in range(600):
+        base = random_object(rng)
+        extra = random_object(rng) if rng.random() < 0.8 else random_value(rng)
+        if isinstance(extra, dict) and rng.random() < 0.5:
+            extra["a"] = random_object(rng)
+        if rng.random() < 0.5:
+            base["a"] = random_object(rng)
+        text = json.dumps(extra, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2]))
+        if rng.random() < 0.15:
+            text = text[: rng.randrange(len(text) + 1)]
+        cases.append((i, json.dumps(base), None if rng.random() < 0.05 else text))
+    got = merge(spark, cases, field)
+    seen = set()
+    for i, base, text in cases:
+        expected = expected_overlay(json.loads(base), text, field)
+        assert got[i] == expected, (base, text)
+        seen.add(expected[0])
+    assert seen == {"absent", "empty", "invalid", "merged"}
