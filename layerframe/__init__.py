@@ -12,7 +12,7 @@ from layerframe.functions.documents import (
 from layerframe.functions.maps import overlay_maps
 from layerframe.functions.refs import normalize_ref, owned_by_prefix, strip_prefix
 from layerframe.operators.inventory import inventory, inventory_counts, json_keys
-from layerframe.operators.keys import pair_rows, require_known, require_unique
+from layerframe.operators.keys import pair_rows, repeated_keys, require_known, require_unique
 from layerframe.operators.lookup import (
     alias_lookup,
     exists_guard,
@@ -56,6 +56,7 @@ __all__ = [
     "pair_rows",
     "removable",
     "render_doc",
+    "repeated_keys",
     "require_known",
     "require_unique",
     "save_new",

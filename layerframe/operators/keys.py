@@ -28,7 +28,8 @@ def require_unique(df: DataFrame, keys: Keys, what: str = "rows") -> DataFrame:
 
     The check is a row number in the hash partitioning and sort order that a
     shuffled join on the same keys needs anyway, so before such a join it adds
-    neither an exchange nor a second scan.
+    neither an exchange nor a second scan. For a table that may hold a single
+    key very many times, ask :func:`repeated_keys` first.
     """
     keys = key_list(keys)
     in_key = Window.partitionBy(*keys).orderBy(*keys)
@@ -42,6 +43,15 @@ def require_unique(df: DataFrame, keys: Keys, what: str = "rows") -> DataFrame:
     )
 
 
+def repeated_keys(df: DataFrame, keys: Keys) -> DataFrame:
+    """The keys that occur more than once, with ``n`` rows each.
+
+    Counted before the shuffle, so a key with very many rows does no harm.
+    Worth a look before trusting a table with ``check=False``.
+    """
+    return df.groupBy(*key_list(keys)).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def require_known(df: DataFrame, registry: DataFrame, on: Keys, what: str = "name") -> DataFrame:
     """``df`` itself, failing while it runs if a row's ``on`` is not registered."""
     on = key_list(on)
@@ -63,11 +73,12 @@ def pair_rows(
     small_right: bool = False,
     check: bool = True,
 ) -> DataFrame:
-    """One row per key of either table: the keys, ``left`` and ``right``.
+    """One row per key of either table.
 
-    ``left`` and ``right`` are structs of the other columns and NULL where
-    the table has no row for the key; a field ``here`` keeps a row without
-    other columns apart from no row at all.
+    Holds the keys, the other columns of the two tables as ``left_<name>`` and
+    ``right_<name>``, and flags ``in_left`` and ``in_right`` that tell a row of
+    NULLs from no row. The columns stay apart, rather than in two structs, so
+    that those not asked for are never read.
 
     By default both tables are shuffled once on the keys and merged.
 
@@ -87,20 +98,30 @@ def pair_rows(
             left = require_unique(left, keys, "left side")
     if small_right:
         right = written_table(right, new_shared_path(right.sparkSession, "side"))
-    lefts, rights = _packed(left, keys, "left"), _packed(right, keys, "right")
+    lefts, rights = _marked(left, keys, "left"), _marked(right, keys, "right")
     if not small_right:
-        return lefts.join(rights, keys, "full")
-    matched = left.select(*keys).join(right.select(*keys), keys, "left_semi")
-    right_only = rights.join(matched, keys, "left_anti")
-    return lefts.join(rights, keys, "left").unionByName(
-        right_only.withColumn("left", F.lit(None).cast(lefts.schema["left"].dataType))
+        paired = lefts.join(rights, keys, "full")
+    else:
+        matched = left.select(*keys).join(right.select(*keys), keys, "left_semi")
+        paired = lefts.join(rights, keys, "left").unionByName(
+            rights.join(matched, keys, "left_anti"), allowMissingColumns=True
+        )
+    return paired.withColumns(
+        {flag: F.coalesce(flag, F.lit(False)) for flag in ("in_left", "in_right")}
     )
 
 
-def _packed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    payload = [c for c in df.columns if c not in keys]
-    row = F.struct(F.lit(True).alias("here"), *[F.col(c) for c in payload])
-    return df.select(*keys, row.alias(name))
+def _marked(df: DataFrame, keys: list[str], side: str) -> DataFrame:
+    payload = [F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in keys]
+    return df.select(*keys, *payload, F.lit(True).alias(f"in_{side}"))
+
+
+def pick(column: str, keys: list[str], from_right: Column) -> Column:
+    """A column of paired rows, taken from the right side where so told."""
+    if column in keys:
+        return F.col(column)
+    right, left = F.col(f"right_{column}"), F.col(f"left_{column}")
+    return F.when(from_right, right).otherwise(left).alias(column)
 
 
 def common_schema(a: DataFrame, b: DataFrame) -> T.StructType:

@@ -53,14 +53,17 @@ def mark_active(
     active: str,
     flag: str = "is_active",
     salts: int = 1,
+    check: bool = True,
 ) -> DataFrame:
     """All ``names`` with a flag: is ``name`` the ``active`` value of its scope?
 
-    ``state`` has one row per scope ``on``; a scope without one has no active
-    name.
+    ``state`` has one row per scope ``on``, which ``check`` enforces; a scope
+    without one has no active name.
     """
     on = key_list(on)
     current = state.select(*on, F.col(active).alias("__active"))
+    if check:
+        current = require_unique(current, on, "state")
     joined = lookup_join(names, current, on, "left", salts=salts)
     is_active = F.coalesce(F.col(name) == F.col("__active"), F.lit(False))
     return joined.select(*names.columns, is_active.alias(flag))

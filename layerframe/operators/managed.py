@@ -12,6 +12,7 @@ from layerframe.operators.keys import (
     common_schema,
     key_list,
     pair_rows,
+    pick,
     require_known,
 )
 
@@ -46,20 +47,14 @@ def managed_apply(
     if where is not None:
         current, incoming = current.where(where), incoming.where(where)
     paired = pair_rows(current, incoming, keys, small_right=small_incoming, check=check)
-    held, came = F.col("left").isNotNull(), F.col("right").isNotNull()
     outcome = (
-        F.when(~came, "kept")
-        .when(~held, "inserted")
-        .when(F.col("left.__owned"), "replaced")
+        F.when(~F.col("in_right"), "kept")
+        .when(~F.col("in_left"), "inserted")
+        .when(F.col("left___owned"), "replaced")
         .otherwise("conflict")
     )
     take_new = outcome.isin("inserted", "replaced")
-    columns = [
-        F.col(c)
-        if c in keys
-        else F.when(take_new, F.col("right")[c]).otherwise(F.col("left")[c]).alias(c)
-        for c in schema.names
-    ]
+    columns = [pick(c, keys, take_new) for c in schema.names]
     return paired.select(*columns, outcome.alias("outcome"))
 
 
@@ -116,6 +111,7 @@ def _by_scope(
     current: DataFrame, scope: DataFrame, keys: Keys, is_owned: Column, how: str
 ) -> DataFrame:
     keys = key_list(keys)
-    names = scope.select(*[F.col(k).alias(f"__scope_{k}") for k in keys])
+    # Distinct, because a foreign row would be tried against every repetition.
+    names = scope.select(*[F.col(k).alias(f"__scope_{k}") for k in keys]).distinct()
     same = all_of([F.col(k) == F.col(f"__scope_{k}") for k in keys])
     return current.join(names, same & _settled(is_owned), how)

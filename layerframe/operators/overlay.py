@@ -15,6 +15,7 @@ from layerframe.operators.keys import (
     common_schema,
     key_list,
     pair_rows,
+    pick,
     require_unique,
 )
 
@@ -44,12 +45,11 @@ def overlay_rows(
     if where is not None:
         base, extra = base.where(where), extra.where(where)
     paired = pair_rows(base, extra, keys, small_right=small_extra, check=check)
-    in_base, in_extra = F.col("left").isNotNull(), F.col("right").isNotNull()
-    row = F.when(in_extra, F.col("right")).otherwise(F.col("left"))
+    in_base, in_extra = F.col("in_left"), F.col("in_right")
     origin = (
         F.when(in_base & in_extra, "overridden").when(in_extra, "added").otherwise("base")
     )
-    columns = [F.col(c) if c in keys else row[c].alias(c) for c in schema.names]
+    columns = [pick(c, keys, in_extra) for c in schema.names]
     return paired.select(*columns, origin.alias("origin"))
 
 

@@ -201,7 +201,7 @@ def current_profiles(log: DataFrame, order: Keys) -> DataFrame:
 def list_profiles(names: DataFrame, log: DataFrame, order: Keys) -> DataFrame:
     """``names`` (scope, profile) with ``is_active``."""
     state = current_profiles(log, order)
-    return mark_active(names, state, "scope", "profile", "profile")
+    return mark_active(names, state, "scope", "profile", "profile", check=False)
 
 
 def show_profiles(items: DataFrame, registry: DataFrame) -> DataFrame:

@@ -55,7 +55,10 @@ def test_mark_active(spark, salts):
     assert rows(got) == sorted(
         [("s", "a", False), ("s", "b", True), ("t", "a", False), ("u", None, False)], key=repr
     )
-    assert {r.is_active for r in mark_active(names, state.limit(0), "scope", "name", "value").collect()} == {False}
+    none_active = mark_active(names, state.limit(0), "scope", "name", "value")
+    assert {r.is_active for r in none_active.collect()} == {False}
+    with pytest.raises(PySparkException, match="state"):
+        mark_active(names, state.union(state), "scope", "name", "value").collect()
 
 
 @pytest.mark.parametrize("salts", [1, 4])

@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from layerframe import fill_defaults, overlay_rows, require_unique
+from layerframe import fill_defaults, overlay_rows, repeated_keys, require_unique
 from layerframe.operators import overlay as overlay_module
 
 
@@ -95,6 +95,22 @@ def test_where_reaches_both_scans(spark, layers, tmp_path):
     assert "Exchange hashpartitioning" not in plan
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_columns_not_asked_for_are_not_read(spark, layers, tmp_path, small):
+    layers[0].write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    got = overlay_rows(base, layers[1], "k", small_extra=small).select("k", "v")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "k:int,v:string,x" not in plan and "k:int,v:string" in plan
+
+
+def test_repeated_keys(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "k int")
+    assert rows(repeated_keys(df, "k")) == [(1, 2), (None, 2)]
+    plan = repeated_keys(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan
+
+
 def test_merge_shuffles_each_side_once(spark, layers, tmp_path):
     paths = []
     for i, table in enumerate(layers):
