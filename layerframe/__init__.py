@@ -29,7 +29,7 @@ from layerframe.operators.managed import (
 from layerframe.operators.overlay import fill_defaults, overlay_rows
 from layerframe.operators.snapshot import capture, dereference
 from layerframe.operators.state import active_state
-from layerframe.sources.corpus import load_items
+from layerframe.sources.corpus import list_items, load_items
 from layerframe.sources.sinks import save_new
 
 __all__ = [
@@ -42,6 +42,7 @@ __all__ = [
     "inventory",
     "inventory_counts",
     "json_keys",
+    "list_items",
     "load_items",
     "lookup_join",
     "managed_apply",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ def load_items(
     adds the UTF-8 text; without it no file is opened, only listed.
 
     Spark's listing passes over names starting with ``.`` or ``_``, empty
-    files and empty folders. Filling the defaults brings blanks back.
+    files and empty folders; :func:`list_items` sees those too.
     """
     base = _qualified(spark, root)
     folders = [base] if profiles is None else [f"{base}/{name}" for name in profiles]
@@ -42,6 +45,71 @@ def load_items(
     return files.where(F.contains("inside", F.lit("/"))).select(*columns)
 
 
+def list_items(profiles: DataFrame, root: str) -> DataFrame:
+    """Everything below the folders of ``profiles``, blanks included.
+
+    Same columns as :func:`load_items` without contents; an empty item folder
+    is a row with a NULL ``path``, a profile without a folder gives none. The
+    tasks do the listing, first of the profiles, then of every item folder on
+    its own, so a large profile is spread. ``root`` must be a path or URI that
+    Arrow can open on every executor.
+    """
+
+    # Hadoop's spellings of schemes, in the form Arrow knows.
+    uri = re.sub("^s3[an]://", "s3://", re.sub("^file:/+", "file:///", root))
+
+    def list_profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for profile in batch["profile"]:
+                yield pd.DataFrame(
+                    [
+                        (profile, entry.base_name, entry.type == fs.FileType.Directory, entry.size)
+                        for entry in _children(store, f"{base}/{profile}")
+                    ],
+                    columns=["profile", "item", "is_folder", "n_bytes"],
+                )
+
+    def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for profile, item in zip(batch["profile"], batch["item"]):
+                for found in _walk(store, f"{base}/{profile}", item):
+                    yield found.assign(profile=profile, item=item)
+
+    items = profiles.select("profile").mapInPandas(
+        list_profiles, "profile string, item string, is_folder boolean, n_bytes long"
+    )
+    columns = "profile string, item string, path string, n_bytes long"
+    files = items.where("NOT is_folder").selectExpr("profile", "item", "item AS path", "n_bytes")
+    inside = (
+        items.where("is_folder")
+        .select("profile", "item")
+        .repartition("profile", "item")
+        .mapInPandas(list_folders, columns)
+    )
+    return files.unionByName(inside)
+
+
+def _children(store: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
+    return store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+
+
+def _walk(store: fs.FileSystem, profile: str, item: str) -> Iterator[pd.DataFrame]:
+    # One folder at a time, so memory is bounded by the largest single folder.
+    folders, empty = [item], True
+    while folders:
+        folder = folders.pop()
+        entries = _children(store, f"{profile}/{folder}")
+        folders += [f"{folder}/{e.base_name}" for e in entries if e.type == fs.FileType.Directory]
+        files = [(f"{folder}/{e.base_name}", e.size) for e in entries if e.type == fs.FileType.File]
+        if files:
+            empty = False
+            yield pd.DataFrame(files, columns=["path", "n_bytes"])
+    if empty:
+        yield pd.DataFrame({"path": [None], "n_bytes": [0]})
+
+
 def _qualified(spark: SparkSession, root: str) -> str:
     # File rows carry fully qualified paths; the root has to look the same.
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

@@ -4,7 +4,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.errors import AnalysisException
 
-from layerframe import load_items, save_new
+from layerframe import list_items, load_items, save_new
 from layerframe.sources.shared import new_shared_path, shared_dir, written_table
 
 
@@ -42,6 +42,23 @@ def test_load_items(spark, tree):
         assert sorted(tuple(r) for r in got.collect()) == EXPECTED
 
 
+def test_list_items_sees_blanks(spark, tree):
+    names = spark.createDataFrame([("one",), ("two",), ("three",)], "profile string")
+    expected = sorted(
+        [
+            *EXPECTED,
+            ("one", "notes.md", "notes.md", 0),
+            ("two", ".hidden", ".hidden", 6),
+            ("two", "hooks", None, 0),
+        ],
+        key=repr,
+    )
+    for root in [str(tree), tree.as_uri(), "file:" + tree.as_uri()[7:]]:
+        got = list_items(names, root)
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == expected
+    assert list_items(names.limit(0), str(tree)).isEmpty()
+
+
 def test_load_some_profiles_with_content(spark, tree):
     got = load_items(spark, str(tree), profiles=["one"], with_content=True)
     texts = {r.path: r.content for r in got.collect()}
