@@ -135,16 +135,22 @@ def server_docs(registry: DataFrame, extras: DataFrame) -> DataFrame:
 
 
 def sync_servers(items: DataFrame, registry: DataFrame, extras: DataFrame) -> DataFrame:
-    """``items`` with the generated server documents written over the old ones."""
+    """``items`` with the generated server documents written over the old ones.
+
+    Only the rows that hold server documents are joined; the rest, with all the
+    large contents, is passed on as it is.
+    """
     docs = server_docs(registry, extras).select(
         "profile",
         F.lit("mcp.json").alias("item"),
         F.lit("mcp.json").alias("path"),
         "content",
     )
-    return overlay_rows(
-        items, docs, ["profile", "item", "path"], check=False
-    ).drop("origin")
+    is_servers = F.col("item").eqNullSafe("mcp.json")
+    servers = overlay_rows(
+        items.where(is_servers), docs, ["profile", "item", "path"], check=False
+    )
+    return items.where(~is_servers).unionByName(servers.drop("origin"))
 
 
 def requested_targets(requests: DataFrame) -> DataFrame:
@@ -165,18 +171,30 @@ def requested_targets(requests: DataFrame) -> DataFrame:
     )
 
 
-def activate(targets: DataFrame, requests: DataFrame, registry: DataFrame) -> DataFrame:
+def activate(
+    targets: DataFrame,
+    requests: DataFrame,
+    registry: DataFrame,
+    small_requests: bool = False,
+) -> DataFrame:
     """Targets after switching every requested scope, with an ``outcome`` each.
 
     An unknown profile fails the job. What the old profile had linked in such
     a scope is replaced; targets that belong to no profile stay and show as
-    ``conflict``.
+    ``conflict``. With ``small_requests`` a large table of targets need not be
+    shuffled to switch a few scopes.
     """
     known = require_known(requests, registry, "profile", "profile")
     # Every request wants all targets of the map, so writing them over replaces
     # just what clearing the scope first would have removed.
     incoming = requested_targets(known)
-    return managed_apply(targets, incoming, ["scope", "target"], _owned())
+    return managed_apply(
+        targets,
+        incoming,
+        ["scope", "target"],
+        _owned(),
+        small_incoming=small_requests,
+    )
 
 
 def deactivate(targets: DataFrame, scopes: DataFrame, log: DataFrame, order: Keys) -> DataFrame:

@@ -119,6 +119,9 @@ def test_activate_leaves_foreign_targets(spark, registry):
     assert got[".mcp.json"].outcome == got[".claude/settings.json"].outcome == "conflict"
     assert got[".mcp.json"].value == "real" and got[".mcp.json"].owner is None
     assert got["README"].outcome == "kept" and got["CLAUDE.md"].outcome == "inserted"
+    assert rows(p.activate(held, use, registry, small_requests=True)) == rows(
+        p.activate(held, use, registry)
+    )
     after = p.activate(held, use, registry).drop("outcome")
     log = spark.createDataFrame([("w", "test", 1)], LOG)
     scopes = spark.createDataFrame([("w",)], "scope string")

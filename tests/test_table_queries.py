@@ -42,6 +42,14 @@ def test_query_matches_sql(spark, duck, name):
     assert actual == expected
 
 
+@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+def test_plan_has_no_pairing_of_everything_and_no_python(spark, name):
+    got = spark_entry.queries()[name](spark, SF_DIR)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas"):
+        assert bad not in plan
+
+
 def test_entry_runs(spark):
     got = spark_entry.entry(spark)
     assert got.columns == ["partkey", "price", "origin"]
