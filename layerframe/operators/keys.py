@@ -34,8 +34,7 @@ def require_unique(df: DataFrame, keys: Keys, what: str = "rows") -> DataFrame:
     keys = key_list(keys)
     in_key = Window.partitionBy(*keys).orderBy(*keys)
     good = (F.col("__nth") == 1) & all_of([F.col(k).isNotNull() for k in keys])
-    shown = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
-    message = F.concat(F.lit(f"{what}: key is NULL or repeated: "), shown)
+    message = F.concat(F.lit(f"{what}: key is NULL or repeated: "), _shown(keys))
     return (
         df.withColumn("__nth", F.row_number().over(in_key))
         .where(F.when(good, True).otherwise(F.raise_error(message).cast("boolean")))
@@ -53,18 +52,32 @@ def repeated_keys(df: DataFrame, keys: Keys) -> DataFrame:
 
 
 def require_known(df: DataFrame, registry: DataFrame, on: Keys, what: str = "name") -> DataFrame:
-    """``df`` itself, failing while it runs if a row's ``on`` is not registered."""
+    """``df`` itself, failing while it runs if a row's ``on`` is not registered.
+
+    Very many rows may have the same name, so names are not joined but grouped,
+    which is combined before the shuffle. The answer reaches the rows as a
+    scalar, and they stay where they are.
+    """
     on = key_list(on)
-    known = registry.select(*on).distinct().withColumn("__known", F.lit(True))
-    shown = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in on])
-    message = F.concat(F.lit(f"{what} not found: "), shown)
-    return (
-        df.join(known, on, "left")
-        .where(F.when(F.col("__known"), True).otherwise(F.raise_error(message).cast("boolean")))
-        .select(*df.columns)
+    names = df.select(*on, F.lit(False).alias("__known"))
+    known = registry.select(*on, F.lit(True).alias("__known"))
+    known = known.where(all_of([F.col(k).isNotNull() for k in on]))
+    grouped = names.unionByName(known).groupBy(*on).agg(F.bool_or("__known").alias("__known"))
+    unknown = grouped.where("NOT __known")
+    first_unknown = unknown.agg(F.min(_shown(on))).scalar()
+    message = F.concat(F.lit(f"{what} not found: "), first_unknown)
+    return df.where(
+        F.when(first_unknown.isNull(), True).otherwise(
+            F.raise_error(message).cast("boolean")
+        )
     )
 
 
+def _shown(keys: list[str]) -> Column:
+    texts = [F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys]
+    return F.concat_ws(", ", *texts)
+
+
 def pair_rows(
     left: DataFrame,
     right: DataFrame,
