@@ -103,7 +103,8 @@ def alias_lookup(
     """Rows with the canonical name of their alias, and rows without one.
 
     A mapping becomes an expression and needs no join. A table of aliases has
-    the columns ``on`` and ``canonical``, with each alias once.
+    the columns ``on`` and ``canonical``, with each alias once. To fail on an
+    unknown alias instead, pass ``df`` through ``require_known``.
     """
     named = with_canonical(df, aliases, on, canonical, salts)
     return (

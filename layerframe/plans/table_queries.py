@@ -176,7 +176,7 @@ def overlay_event_maps(table: Tables) -> DataFrame:
 def overlay_event_documents(table: Tables) -> DataFrame:
     kind, props = F.col("event_type"), F.col("props")
     extra = (
-        F.when(kind == "error", F.left(props, F.lit(5)))
+        F.when(kind == "error", F.rtrim(props, F.lit("}")))
         .when(kind == "click", F.concat(F.lit("["), props, F.lit("]")))
         .when(kind == "signup", F.lit('{"joined": true}'))
         .when(kind == "view", props)
