@@ -30,7 +30,7 @@ from layerframe.operators.overlay import fill_defaults, overlay_rows
 from layerframe.operators.snapshot import capture, dereference
 from layerframe.operators.state import active_state
 from layerframe.sources.corpus import list_items, load_items
-from layerframe.sources.sinks import save_new
+from layerframe.sources.sinks import save_new, save_new_table
 
 __all__ = [
     "active_state",
@@ -61,6 +61,7 @@ __all__ = [
     "require_known",
     "require_unique",
     "save_new",
+    "save_new_table",
     "strip_prefix",
     "switch_owner",
     "tag_known",

@@ -144,18 +144,25 @@ def _absent_from_grid(
     items: DataFrame,
     entity: list[str],
     item: str,
-    blocks: int = 32,
+    entity_blocks: int = 512,
+    item_blocks: int = 16,
 ) -> DataFrame:
     # Entities and items are hashed into blocks and each pair of blocks is one
-    # join key, so the grid spreads over blocks * blocks tasks.
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # join key, so the grid spreads over all tasks. The few items are repeated
+    # more often than the many entities.
+    def block(keys: list[str], blocks: int) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
     rows = (
         entities.drop(item)
-        .withColumn("__a", F.pmod(F.xxhash64(*entity), F.lit(blocks)).cast("int"))
-        .withColumn("__b", every_block)
+        .withColumn("__a", block(entity, entity_blocks))
+        .withColumn("__b", every(item_blocks))
+    )
+    columns = items.withColumn("__b", block([item], item_blocks)).withColumn(
+        "__a", every(entity_blocks)
     )
-    columns = items.withColumn(
-        "__b", F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")
-    ).withColumn("__a", every_block)
     grid = rows.join(columns, ["__a", "__b"]).drop("__a", "__b")
     return grid.join(held.select(*entity, item), [*entity, item], "left_anti")

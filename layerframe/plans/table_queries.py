@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +49,7 @@ def query(sql: str | None = None) -> Callable:
 
     def register(build: Callable[[Tables], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(partial(_table, spark, sf_dir))
+            return build(cache(partial(_table, spark, sf_dir)))
 
         QUERIES[build.__name__] = run
         if sql is not None:

@@ -4,7 +4,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.errors import AnalysisException
 
-from layerframe import list_items, load_items, save_new
+from layerframe import list_items, load_items, overlay_rows, save_new, save_new_table
 from layerframe.sources.shared import new_shared_path, shared_dir, written_table
 
 
@@ -91,6 +91,24 @@ def test_save_new_is_exclusive(spark, tmp_path):
     assert (tmp_path / "parts" / "p=0").is_dir()
 
 
+def test_tables_laid_out_by_key_are_paired_without_a_shuffle(spark):
+    base = spark.range(100).selectExpr("id AS k", "concat('v', id) AS v")
+    extra = spark.range(50, 150).selectExpr("id AS k", "'new' AS v")
+    try:
+        save_new_table(base, "laid_out_base", "k", 4)
+        save_new_table(extra, "laid_out_extra", "k", 4)
+        with pytest.raises(AnalysisException, match="already exists"):
+            save_new_table(extra, "laid_out_extra", "k", 4)
+        got = overlay_rows(spark.table("laid_out_base"), spark.table("laid_out_extra"), "k")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "FullOuter" in plan
+        counts = {r.origin: r["count"] for r in got.groupBy("origin").count().collect()}
+        assert counts == {"base": 50, "overridden": 50, "added": 50}
+    finally:
+        for name in ("laid_out_base", "laid_out_extra"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert new_shared_path(spark, "x") != new_shared_path(spark, "x")
