@@ -84,9 +84,9 @@ def exists_guard(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose ``on`` is registered, and the others."""
     on = key_list(on)
-    names = registry.select(*on)
-    if salts > 1:
-        names = names.distinct()
+    # Distinct first: a name repeated very often in the registry would end up
+    # in one task, and that side of the join cannot be split.
+    names = registry.select(*on).distinct()
     return (
         lookup_join(df, names, on, "left_semi", salts=salts),
         lookup_join(df, names, on, "left_anti", salts=salts),

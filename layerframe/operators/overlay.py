@@ -165,4 +165,5 @@ def _absent_from_grid(
         "__a", every(entity_blocks)
     )
     grid = rows.join(columns, ["__a", "__b"]).drop("__a", "__b")
-    return grid.join(held.select(*entity, item), [*entity, item], "left_anti")
+    pairs = held.select(*entity, item).distinct()
+    return grid.join(pairs, [*entity, item], "left_anti")

@@ -119,7 +119,7 @@ def capture(
     # The contents are wide and joined only once, for the result; what is
     # absent is worked out from the narrow rows written here.
     here = written_table(
-        here.join(content.select(path), path, "left_semi"),
+        here.join(content.select(path).distinct(), path, "left_semi"),
         new_shared_path(targets.sparkSession, "capture"),
     )
     copied = here.join(content, path).drop(path)
