@@ -42,6 +42,19 @@ def require_unique(df: DataFrame, keys: Keys, what: str = "rows") -> DataFrame:
     )
 
 
+def spread_key(rows: DataFrame, table: DataFrame, on: Keys) -> Column:
+    """A hash of ``on`` that is the same on both sides, for use as one more key.
+
+    A join on it cannot ride on the partitioning that an aggregate or a check
+    has left on ``table``, and gets exchanges of its own. Only above those does
+    adaptive execution split the rows of a hot key.
+    """
+    on = key_list(on)
+    # equal keys of different types hash differently, so the types come first
+    schema = common_schema(rows.select(*on), table.select(*on))
+    return F.xxhash64(*[F.col(f.name).cast(f.dataType) for f in schema])
+
+
 def repeated_keys(df: DataFrame, keys: Keys) -> DataFrame:
     """The keys that occur more than once, with ``n`` rows each.
 

@@ -4,8 +4,10 @@ Many rows may share one key here. Spark broadcasts the looked-up table only
 when it measures below the broadcast threshold; beyond it the join is
 shuffled, and adaptive execution splits a hot key's rows over several tasks
 (the many-row side is always the left one, which it may split for inner,
-left, semi and anti joins). Where adaptive execution is off, ``salts`` does
-the splitting.
+left, semi and anti joins). It does so only right above the join's own
+exchanges, so the joins here never ride on the partitioning of an earlier
+aggregate or check. Where adaptive execution is off, ``salts`` does the
+splitting.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerframe.operators.keys import Keys, key_list, require_unique
+from layerframe.operators.keys import Keys, key_list, require_unique, spread_key
 
 
 def lookup_join(
@@ -35,7 +37,12 @@ def lookup_join(
     """
     on = key_list(on)
     if salts <= 1:
-        return rows.join(table, on, how)
+        spread = spread_key(rows, table, on)
+        return (
+            rows.withColumn("__spread", spread)
+            .join(table.withColumn("__spread", spread), [*on, "__spread"], how)
+            .drop("__spread")
+        )
     by = rows.columns if salt_by is None else key_list(salt_by)
     salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
     salted = rows.withColumn("__salt", salt)

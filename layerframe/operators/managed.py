@@ -14,6 +14,7 @@ from layerframe.operators.keys import (
     pair_rows,
     pick,
     require_known,
+    spread_key,
 )
 
 
@@ -112,6 +113,14 @@ def _by_scope(
 ) -> DataFrame:
     keys = key_list(keys)
     # Distinct, because a foreign row would be tried against every repetition.
-    names = scope.select(*[F.col(k).alias(f"__scope_{k}") for k in keys]).distinct()
+    names = scope.select(*keys).distinct()
+    spread = spread_key(current, names, keys)
+    keys = [*keys, "__spread"]
+    names = names.withColumn("__spread", spread)
+    names = names.select(*[F.col(k).alias(f"__scope_{k}") for k in keys])
     same = all_of([F.col(k) == F.col(f"__scope_{k}") for k in keys])
-    return current.join(names, same & _settled(is_owned), how)
+    return (
+        current.withColumn("__spread", spread)
+        .join(names, same & _settled(is_owned), how)
+        .drop("__spread")
+    )

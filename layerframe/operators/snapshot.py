@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerframe.operators.keys import Keys, key_list, require_unique
+from layerframe.operators.lookup import lookup_join
 from layerframe.operators.overlay import fill_defaults
 from layerframe.sources.shared import new_shared_path, written_table
 
@@ -43,7 +44,7 @@ def dereference(
         # Checked on this side only: it sees every link and is shuffled on the
         # name in any case.
         sources = require_unique(sources, "target", "links")
-    first = edges.join(sources, "target", "left").select(
+    first = lookup_join(edges, sources, "target").select(
         "src",
         "target",
         F.lit(1).alias("hops"),
@@ -119,10 +120,10 @@ def capture(
     # The contents are wide and joined only once, for the result; what is
     # absent is worked out from the narrow rows written here.
     here = written_table(
-        here.join(content.select(path).distinct(), path, "left_semi"),
+        lookup_join(here, content.select(path).distinct(), path, "left_semi"),
         new_shared_path(targets.sparkSession, "capture"),
     )
-    copied = here.join(content, path).drop(path)
+    copied = lookup_join(here, content, path, "inner").drop(path)
     given = entities is not None
     if not given:
         entities = targets.select(*entity).distinct()

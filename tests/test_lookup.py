@@ -9,6 +9,7 @@ from layerframe import (
     inventory,
     inventory_counts,
     lookup_join,
+    managed_remove,
     mark_active,
     require_known,
     tag_known,
@@ -130,8 +131,9 @@ def test_inventory(spark, salts):
     assert inventory(items, "profile", content="content").columns[-1] == "content"
 
 
-def test_hot_key_is_split_at_run_time(spark):
-    """A third of all rows share a key; the shuffled join splits them."""
+@pytest.fixture
+def small_limits(spark):
+    """Settings under which small tables behave like large ones."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -142,25 +144,71 @@ def test_hot_key_is_split_at_run_time(spark):
         "spark.sql.shuffle.partitions": "16",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        many = spark.range(0, 60_000, numPartitions=8).selectExpr(
-            "IF(id % 3 = 0, 0, id) AS k", "uuid() AS payload", "id"
-        )
-        table = spark.range(0, 30_000).selectExpr("id AS k", "id * 2 AS v")
-        for how in ["left", "left_semi", "left_anti", "inner"]:
-            joined = lookup_join(many, table, "k", how)
-            n = len(joined.collect())
-            assert n == {"left": 60_000, "left_anti": 20_000}.get(how, 40_000)
-            plan = joined._jdf.queryExecution().executedPlan().toString()
-            assert "skew=true" in plan, how
-        salted = lookup_join(many, table, "k", "left", salts=8, salt_by="id")
-        assert salted.count() == 60_000
-        spread = (
-            salted.where("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
-        )
-        assert spread > 1
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.fixture
+def many(spark):
+    """60,000 rows, a third of them with the key 0."""
+    return spark.range(0, 60_000, numPartitions=8).selectExpr(
+        "IF(id % 3 = 0, 0, id) AS k", "uuid() AS payload", "id"
+    )
+
+
+@pytest.fixture
+def table(spark):
+    # repartitioned, because a plain range counts as partitioned by its id
+    rows = spark.range(0, 30_000).repartition(4)
+    return rows.selectExpr("id AS k", "CAST(id AS STRING) AS v")
+
+
+def run_and_explain(df):
+    n = len(df.collect())
+    return n, df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti", "inner"])
+def test_hot_key_is_split_at_run_time(small_limits, many, table, how):
+    n, plan = run_and_explain(lookup_join(many, table, "k", how))
+    assert n == {"left": 60_000, "left_anti": 20_000}.get(how, 40_000)
+    assert "skew=true" in plan
+
+
+@pytest.mark.parametrize("form", ["tag", "found", "missing", "alias", "active", "listing", "remove"])
+def test_operators_split_hot_keys(spark, small_limits, many, table, form):
+    log = table.selectExpr("k", "v", "k AS ts")
+    build = {
+        "tag": lambda: tag_known(many, table, "k"),
+        "found": lambda: exists_guard(many, table.union(table), "k")[0],
+        "missing": lambda: exists_guard(many, table, "k")[1],
+        "alias": lambda: alias_lookup(many, table, "k", "v")[0],
+        "active": lambda: mark_active(
+            many, active_state(log, "k", "v", "ts"), "k", "payload", "v"
+        ),
+        "remove": lambda: managed_remove(many, table.union(table), "k", F.lit(True)),
+        "listing": lambda: inventory(many, "k", path="payload"),
+    }[form]
+    expected = {"found": 40_000, "alias": 40_000, "missing": 20_000, "remove": 20_000}.get(form, 60_000)
+    n, plan = run_and_explain(build())
+    assert n == expected and "skew=true" in plan
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "decimal(12,2)", "double"])
+@pytest.mark.parametrize("salts", [1, 3])
+def test_keys_of_different_types_meet(spark, kind, salts):
+    left = spark.range(6).selectExpr(f"CAST(id AS {kind}) AS k", "id")
+    right = spark.range(3, 9).selectExpr("CAST(id AS int) AS k", "'x' AS v")
+    assert lookup_join(left, right, "k", "inner", salts=salts).count() == 3
+    assert exists_guard(left, right, "k", salts=salts)[1].count() == 3
+    assert managed_remove(left, right, "k", F.lit(True)).count() == 3
+
+
+def test_salts_spread_a_hot_key(small_limits, many, table):
+    salted = lookup_join(many, table, "k", "left", salts=8, salt_by="id")
+    assert salted.count() == 60_000
+    used = salted.where("k = 0").select(F.spark_partition_id().alias("p")).distinct()
+    assert used.count() > 1
