@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, token_counts
+from . import byte_bpe, chat_format, mixing, token_counts
 from .common import code_points, read_table, text_or_empty
 
 
@@ -95,10 +95,51 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents to the weights of their sources."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_OP8_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, CASE WHEN source IS NULL THEN 'z' ELSE 'a' || source END AS source,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           md5('mix' || coalesce(doc_id::VARCHAR, '')) AS hash
+    FROM documents
+), sizes AS (
+    SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+    SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source) - 1) % 3 + 1] AS weight,
+           source_size * 3.0::DOUBLE AS cap
+    FROM sizes
+), levels AS (
+    SELECT *, (sum(source_size) OVER () - (sum(cap) OVER filling - cap))
+              / (sum(weight) OVER () - (sum(weight) OVER filling - weight)) AS level
+    FROM weighed
+    WINDOW filling AS (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), targets AS (
+    SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM levels
+), placed AS (
+    SELECT s.doc_id, s.size, t.source_size, t.target,
+           CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+           ('0x' || substr(md5('mix' || s.source), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS offset_,
+           row_number() OVER (PARTITION BY s.source
+               ORDER BY lpad(length(bin(s.size))::VARCHAR, 2, '0') || rpad(substr(bin(s.size), 2, 3), 3, '0'),
+                        substr(s.hash, 1, 2), s.hash, s.size, s.doc_id NULLS FIRST) AS place
+    FROM sized s JOIN targets t USING (source)
+)
+SELECT doc_id, size, source_size, target,
+       ((floor(offset_ + rate * place) - floor(offset_ + rate * (place - 1))) * size)::BIGINT AS taken
+FROM placed
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLES = {"op1_chat_formatting": _OP1_SQL}
+ORACLES = {"op1_chat_formatting": _OP1_SQL, "op8_mixing": _OP8_SQL}
