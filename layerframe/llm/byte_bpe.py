@@ -16,21 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, slices, text_or_empty
+from .common import slices
 from .pieces import PieceEncoder, byte_characters
 
-ENCODED = T.StructType(
-    [
-        T.StructField("ids", T.ArrayType(T.IntegerType(), False), False),
-        T.StructField("starts", T.ArrayType(T.IntegerType(), False), False),
-    ]
-)
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -49,7 +41,8 @@ def encoder_of_ranks(ranks: dict[bytes, int], pattern: str) -> PieceEncoder:
         if token[:i] in ranks and token[i:] in ranks
     ]
     vocabulary = {shown[token]: rank for token, rank in ranks.items()}
-    return PieceEncoder(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True), pattern)
+    model = models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True)
+    return PieceEncoder(model, vocabulary, pattern)
 
 
 @lru_cache(maxsize=4)
@@ -68,70 +61,91 @@ def _cached_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
-def encode(text: Column | str, path: str, pattern: str) -> Column:
-    """Token ids of a whole text, and the character where each token starts.
-
-    Null counts as empty and gives no tokens. Strings that look like special
-    tokens are ordinary text. Tokens that share a character start at the same
-    one. ``path`` names a rank file that every executor can open.
+def encode_documents(
+    docs: DataFrame, path: str, pattern: str, offsets: bool = True, decoded: bool = False
+) -> DataFrame:
+    """``docs`` with the tokens of its whole texts.
+
+    Added are ``token_ids`` (little-endian unsigned 32-bit integers, the form of
+    token files; ``unpacked`` makes an array of them), with ``offsets``
+    ``token_starts`` (the same form: the character where each token starts; tokens
+    that share a character start at the same one), and with ``decoded`` the
+    ``decoded`` bytes of the ids. Columns of these names are replaced. Null texts
+    count as empty and have no tokens; strings that look like special tokens are
+    ordinary text. ``path`` names a rank file that every executor can open. Rows
+    are handed on in batches of bounded size, so memory does not grow with the
+    table; a row needs some times its text.
     """
+    added = ["token_ids"] + ["token_starts"] * offsets + ["decoded"] * decoded
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    schema = T.StructType(kept.schema.fields + [T.StructField(c, T.BinaryType(), False) for c in added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, table = _cached_encoder(path, pattern), _cached_bytes(path)
+        for batch in batches:
+            texts = batch.column("text")
+            for first, part in slices(texts):
+                columns: list[list[bytes]] = [[] for _ in added]
+                for text in part:
+                    packed = encoder.packed(text)
+                    ids = np.frombuffer(packed, "<u4")
+                    made = [packed]
+                    if offsets:
+                        made.append(encoder.starts(text, ids).astype("<u4").tobytes())
+                    if decoded:
+                        made.append(token_bytes(ids, table))
+                    for column, value in zip(columns, made, strict=True):
+                        column.append(value)
+                own = batch.slice(first, len(part))
+                yield pa.RecordBatch.from_arrays(
+                    [*own.columns, *(pa.array(c, pa.binary()) for c in columns)],
+                    [*batch.schema.names, *added],
+                )
+
+    return kept.mapInArrow(run, schema)
+
+
+def unpacked(ids: Column | str) -> Column:
+    """An array of the numbers that little-endian 32-bit bytes hold."""
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    digits = F.hex(ids)
+    n = (F.length(digits) / 8).cast("int")
 
-    @F.arrow_udf(ENCODED)
-    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _cached_encoder(path, pattern)
-        for texts in batches:
-            ids, starts = [], []
-            for part in slices(texts):
-                for own_ids, own_starts in encoder.encode(part):
-                    ids.append(own_ids)
-                    starts.append(own_starts)
-            yield pa.StructArray.from_arrays(
-                [list_array(ids, pa.int32()), list_array(starts, pa.int32())], ["ids", "starts"]
-            )
+    def number(i: Column) -> Column:
+        own = F.substring(digits, i * 8 + 1, F.lit(8))
+        turned = F.concat(*[F.substring(own, k, 2) for k in (7, 5, 3, 1)])
+        return F.conv(turned, 16, 10).cast("long")
 
-    return encoded(text_or_empty(text))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), number)).otherwise(
+        F.array().cast("array<bigint>")
+    )
 
 
 def token_bytes(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
     """The bytes of a row of tokens, one after the other."""
     data, first, lengths = table
+    ids = ids.astype(np.int64)
     sizes = lengths[ids]
     begins = np.cumsum(sizes) - sizes
     return data[np.arange(int(sizes.sum())) + np.repeat(first[ids] - begins, sizes)].tobytes()
 
 
 def decode(ids: Column | str, path: str) -> Column:
-    """The bytes that a row of token ids stands for; null gives no bytes.
+    """The bytes that packed token ids stand for; null gives no bytes.
 
-    Bytes, because a cut row of ids may end within a character:
+    Bytes, because a cut row of ids may begin or end within a character:
     ``decode_text`` makes text of them.
     """
 
     @F.arrow_udf(T.BinaryType())
-    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def decoded(packed: pa.Array) -> pa.Array:
         table = _cached_bytes(path)
-        for lists in batches:
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            at = lists.offsets.to_numpy()
-            whole = [token_bytes(flat[at[i] : at[i + 1]], table) for i in range(len(lists))]
-            yield pa.array(whole, pa.binary())
+        whole = [token_bytes(np.frombuffer(p.as_py() or b"", "<u4"), table) for p in packed]
+        return pa.array(whole, pa.binary())
 
-    ids = F.col(ids) if isinstance(ids, str) else ids
-    return decoded(F.coalesce(ids, F.array().cast("array<int>")))
+    return decoded(ids)
 
 
 def decode_text(data: Column) -> Column:
     """Text of decoded bytes; what is no character becomes U+FFFD."""
     return F.decode(data, F.lit("UTF-8"))
-
-
-def pack_u32(ids: Column | str) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf(T.BinaryType())
-    def packed(lists: pa.Array) -> pa.Array:
-        flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-        at = lists.offsets.to_numpy()
-        return pa.array([flat[at[i] : at[i + 1]].tobytes() for i in range(len(lists))], pa.binary())
-
-    return packed(ids)

@@ -83,7 +83,7 @@ def _cached_encoder(path: str) -> PieceEncoder:
     plain = encoder_of_json(path)
     first = max(plain.special.values(), default=0) + 1
     special = {name: first + i for i, name in enumerate((OPEN, CLOSE, END))}
-    return PieceEncoder(plain.model, PATTERN, special)
+    return PieceEncoder(plain.model, plain.vocabulary, PATTERN, special)
 
 
 def format_conversations(rows: DataFrame, path: str, learned: str = "assistant") -> DataFrame:
@@ -113,7 +113,7 @@ def format_conversations(rows: DataFrame, path: str, learned: str = "assistant")
             for conversation in conversations:
                 own = [(t["role"], t["text"]) for t in conversation.as_py()]
                 text, spans = render(own, learned)
-                ((ids, starts),) = encoder.encode([text])
+                ids, starts = encoder.encode(text)
                 tokens = token_spans(starts, spans)
                 for column, value in zip(
                     columns,

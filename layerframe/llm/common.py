@@ -30,19 +30,22 @@ def code_points(text: Column) -> Column:
     return F.length(text).cast("long")
 
 
-def slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[list[str]]:
-    """Texts of an Arrow array in lists of bounded size; null counts as empty."""
+def slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """Texts of an Arrow array in lists of bounded size, with their first row.
+
+    Null counts as empty.
+    """
     part: list[str] = []
-    size = 0
-    for value in texts:
+    size = first = 0
+    for i, value in enumerate(texts):
         text = value.as_py() or ""
         if part and size + len(text) > most:
-            yield part
-            part, size = [], 0
+            yield first, part
+            part, size, first = [], 0, i
         part.append(text)
         size += len(text)
     if part:
-        yield part
+        yield first, part
 
 
 def list_array(rows: list, kind: pa.DataType) -> pa.ListArray:

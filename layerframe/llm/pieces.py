@@ -1,10 +1,11 @@
 """Byte-level BPE by pieces: each distinct piece of text is encoded once.
 
 A byte-level model merges within the matches of a pattern only, so a piece has
-the same tokens wherever it stands. The pieces of a batch are found with the
+the same tokens wherever it stands. The pieces of a text are found with the
 pattern, the distinct ones, each byte as one printable character, go to the BPE model of
-the ``tokenizers`` library, and the tokens of a text are those of its pieces
-with their offsets brought back to characters and moved.
+the ``tokenizers`` library, and the tokens of a text are those of its pieces.
+Tokens stand for bytes, one after the other, so their offsets are sums of
+lengths, brought back from bytes to characters.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 
 LONG_PIECE = 256
 """Pieces of more characters are not remembered."""
 
-MOST_PIECES = 200_000
+MOST_PIECES = 300_000
 """So many pieces are remembered by a worker before it starts afresh."""
 
 
@@ -65,25 +66,32 @@ def _newer_characters() -> list[tuple[str, str]]:
 class PieceEncoder:
     """Encodes texts with a byte-level model of the ``tokenizers`` library.
 
-    ``special`` maps strings that stand for one token, wherever they occur, to
-    their ids.
+    ``vocabulary`` has the model's tokens, written in byte characters; ``special``
+    maps strings that stand for one token, wherever they occur, to their ids.
+    The pattern has to match every character.
     """
 
-    def __init__(self, model, pattern: str, special: dict[str, int] | None = None):
+    def __init__(self, model, vocabulary: dict[str, int], pattern: str, special: dict[str, int] | None = None):
         import regex
         from tokenizers import Regex, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = model
+        self.vocabulary = vocabulary
+        self.special = special or {}
+        self.lengths = np.zeros(max([*vocabulary.values(), *self.special.values()]) + 1, np.int64)
+        for token, own in vocabulary.items():
+            self.lengths[own] = len(token)
+        for token, own in self.special.items():
+            self.lengths[own] = len(token.encode())
         own = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pieces = regex.compile(own)
         self.library = pre_tokenizers.Split(Regex(pattern), behavior="isolated")
         self.first_newer = min(ord(a) for a, _ in _newer_characters())
         self.newer = re.compile("[" + "".join(map("-".join, _newer_characters())) + "]")
-        self.special = special or {}
         names = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.known: dict[str, tuple[list[int], list[int], int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _may_be_newer(self, text: str) -> bool:
         """A quick test, to leave out the slow one in most texts."""
@@ -92,72 +100,55 @@ class PieceEncoder:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         return bool((points >= self.first_newer).any())
 
-    def _matches(self, text: str) -> tuple[list[str], np.ndarray]:
-        """Matches of the pattern, which has to cover every character."""
+    def _matches(self, text: str) -> list[str]:
         if self._may_be_newer(text) and self.newer.search(text):
             found = [piece for piece, _ in self.library.pre_tokenize_str(text)]
         else:
             found = self.pieces.findall(text)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        if int(sizes.sum()) != len(text):
+        if sum(map(len, found)) != len(text):
             raise ValueError("the pattern does not match every character")
-        return found, np.cumsum(sizes) - sizes
+        return found
 
-    def _split(self, text: str) -> tuple[list[str], np.ndarray]:
-        """Pieces of a text and the character where each starts."""
+    def _split(self, text: str) -> list[str]:
         if self.split is None or not self.split.search(text):
             return self._matches(text)
-        pieces, starts, at = [], [], 0
-        for i, part in enumerate(self.split.split(text)):
-            if i % 2:
-                pieces.append(part)
-                starts.append(np.array([at], np.int64))
-            elif part:
-                found, first = self._matches(part)
-                pieces += found
-                starts.append(first + at)
-            at += len(part)
-        return pieces, np.concatenate(starts) if starts else np.zeros(0, np.int64)
-
-    def _learn(self, pieces: set[str]) -> dict[str, tuple[list[int], list[int], int]]:
-        """Tokens of new pieces; the long ones are returned, not remembered."""
-        long: dict = {}
-        for piece in pieces:
-            if piece in self.special:
-                found = ([self.special[piece]], [0], 1)
-            else:
-                tokens = self.model.tokenize(to_byte_characters(piece))
-                ends = accumulate(len(t.value) for t in tokens)
-                starts = [0, *ends][: len(tokens)]
-                if not piece.isascii():
-                    at = [i for i, c in enumerate(piece) for _ in c.encode()]
-                    starts = [at[b] for b in starts]
-                found = ([t.id for t in tokens], starts, len(tokens))
-            (self.known if len(piece) <= LONG_PIECE else long)[piece] = found
-        return long
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of each text's tokens and the characters where they start."""
-        split = [self._split(text) for text in texts]
-        wanted = set(chain.from_iterable(p for p, _ in split))
-        long: dict = {}
-        missing = wanted - self.known.keys()
+        parts = self.split.split(text)
+        return [p for i, part in enumerate(parts) for p in ([part] if i % 2 else self._matches(part))]
+
+    def _tokens(self, piece: str) -> bytes:
+        if piece in self.special:
+            ids = [self.special[piece]]
+        else:
+            ids = [t.id for t in self.model.tokenize(to_byte_characters(piece))]
+        return np.array(ids, "<u4").tobytes()
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text's tokens as little-endian unsigned 32-bit integers."""
+        pieces = self._split(text)
+        known = self.known
+        missing = set(pieces).difference(known)
         if missing:
-            if len(self.known) + len(missing) > MOST_PIECES:
-                self.known.clear()
-                missing = wanted
-            long = self._learn(missing)
-        out = []
-        for pieces, starts in split:
-            known = self.known
-            tokens = [known.get(p) or long[p] for p in pieces]
-            counts = np.fromiter((t[2] for t in tokens), np.int64, len(tokens))
-            total = int(counts.sum())
-            ids = np.fromiter(chain.from_iterable(t[0] for t in tokens), np.int32, total)
-            inner = np.fromiter(chain.from_iterable(t[1] for t in tokens), np.int64, total)
-            out.append((ids, (inner + np.repeat(starts, counts)).astype(np.int32)))
-        return out
-
-    def count(self, texts: list[str]) -> list[int]:
-        """Numbers of tokens."""
-        return [len(ids) for ids, _ in self.encode(texts)]
+            new = {piece: self._tokens(piece) for piece in missing}
+            if any(len(piece) > LONG_PIECE for piece in new):
+                return b"".join([known.get(p) or new[p] for p in pieces])
+            if len(known) + len(new) > MOST_PIECES:
+                new |= {piece: known[piece] for piece in set(pieces).intersection(known)}
+                known.clear()
+            known |= new
+        return b"".join(map(known.__getitem__, pieces))
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text's tokens and the characters where they start.
+
+        A token that starts within a character starts where the character does.
+        """
+        ids = np.frombuffer(self.packed(text), "<u4")
+        return ids, self.starts(text, ids)
+
+    def starts(self, text: str, ids: np.ndarray) -> np.ndarray:
+        sizes = self.lengths[ids]
+        at = np.cumsum(sizes) - sizes
+        if text.isascii() or not len(ids):
+            return at
+        data = np.frombuffer(text.encode(), np.uint8)
+        return np.cumsum((data & 0xC0) != 0x80)[at] - 1

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, mixing, token_counts
+from . import byte_bpe, chat_format, mixing, quality, token_counts, toxicity
 from .common import code_points, read_table, text_or_empty
+from .learning import fold
 
 
 def _sha256(text: Column) -> Column:
@@ -72,15 +73,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text of the documents."""
     import public_tokenizers
 
-    path = _tokenizer_file("byte_bpe_multi_50k.tiktoken")
-    encoded = read_table(spark, sf_dir, "documents").select(
-        "doc_id", byte_bpe.encode("text", path, public_tokenizers.PATTERN)["ids"].alias("ids")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode_documents(
+        docs, _tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True
     )
     return encoded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(byte_bpe.pack_u32("ids"), 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decode("ids", path), 256).alias("decoded_sha256"),
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
@@ -95,6 +96,36 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text of the documents, learnt from three of four folds."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.train_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    scored = docs.select(
+        "doc_id",
+        F.coalesce(fold("doc_id") == 2, F.lit(False)).alias("held_out"),
+        toxicity.toxicity_score(docs, model).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    """Grades of the labelled rows: 0 poor, 1 usable but toxic, 2 good."""
+    return labels.withColumn(
+        "grade", F.col("quality") * (2 - F.coalesce(F.col("toxic"), F.lit(0)))
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate every text of the documents and select by the chance of grade 1."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = graded(read_table(spark, sf_dir, "labels"))
+    model = quality.train_quality(docs, labels, F.col("grade"))
+    rated = quality.rate(docs, model).select(
+        "doc_id", "expected_grade", "tail_probability", F.col("selected").alias("kept")
+    )
+    return rated.withColumn("held_out", F.coalesce(fold("doc_id") == 2, F.lit(False)))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to the weights of their sources."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -139,7 +170,9 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
 }
 
 ORACLES = {"op1_chat_formatting": _OP1_SQL, "op8_mixing": _OP8_SQL}

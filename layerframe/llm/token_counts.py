@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import text_or_empty
 from .pieces import PieceEncoder
 
 CHUNK = 32_768
@@ -53,7 +53,10 @@ def encoder_of_json(path: str) -> PieceEncoder:
            regex.search(r"\p{White_Space}", t["content"]) for t in added):
         raise ValueError("added tokens that take in or hold white space are not supported")
     special = {t["content"]: t["id"] for t in added}
-    return PieceEncoder(Tokenizer.from_file(path).model, PATTERN, special)
+    tokenizer = Tokenizer.from_file(path)
+    return PieceEncoder(
+        tokenizer.model, tokenizer.get_vocab(with_added_tokens=False), PATTERN, special
+    )
 
 
 @lru_cache(maxsize=2)
@@ -72,18 +75,18 @@ def count_in_chunks(encoder: PieceEncoder, text: str, chunk: int = CHUNK, overla
     """Tokens of a text, of which at most about a chunk is encoded at a time."""
     total, begin = 0, 0
     while True:
-        size, wide = chunk, overlap
+        wide = overlap
         while True:
-            end = begin + size + wide
+            end = begin + chunk + wide
             if end >= len(text):
-                return total + len(encoder.encode([text[begin:]])[0][0])
-            left = encoder.encode([text[begin:end]])[0][1].astype(np.int64) + begin
-            next_begin = begin + size
-            right = encoder.encode([text[next_begin : next_begin + chunk + wide]])[0][1]
-            cut = _common_boundary(text, next_begin + 1, end, left, right.astype(np.int64) + next_begin)
+                return total + len(encoder.packed(text[begin:])) // 4
+            left = encoder.encode(text[begin:end])[1] + begin
+            next_begin = begin + chunk
+            right = encoder.encode(text[next_begin : next_begin + chunk + wide])[1] + next_begin
+            cut = _common_boundary(text, next_begin + 1, end, left, right)
             if cut is not None:
                 break
-            size, wide = size, wide * 2
+            wide *= 2
         total += int(np.searchsorted(left, cut, "left"))
         begin = cut
 
@@ -104,15 +107,12 @@ def count_tokens(
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _cached_encoder(path)
         for texts in batches:
-            counts: list[int] = []
-            for part in slices(texts):
-                short = iter(encoder.count([t for t in part if len(t) <= chunk + overlap]))
-                counts += [
-                    next(short)
-                    if len(t) <= chunk + overlap
-                    else count_in_chunks(encoder, t, chunk, overlap)
-                    for t in part
-                ]
+            counts = [
+                len(encoder.packed(text)) // 4
+                if len(text) <= chunk + overlap
+                else count_in_chunks(encoder, text, chunk, overlap)
+                for text in (t.as_py() for t in texts)
+            ]
             yield pa.array(counts, pa.int64())
 
     return counted(text_or_empty(text))
