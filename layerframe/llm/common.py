@@ -124,3 +124,49 @@ def shingle_hashes(text: str, size: int = 5) -> np.ndarray:
     for i in range(size):
         total = mix64(total * np.uint64(5) + words[i : i + n])
     return np.unique(total)
+
+
+def sorted_groups(
+    batches: Iterator[pa.RecordBatch], keys: list[str]
+) -> Iterator[pa.RecordBatch]:
+    """The rows of each key from batches that are sorted by integer keys.
+
+    Only the group at hand is held, so groups have to be of bounded size.
+    """
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        changed = np.zeros(batch.num_rows, bool)
+        for column in columns:
+            changed[1:] |= column[1:] != column[:-1]
+        first = tuple(c[0] for c in columns)
+        if rest and first != last:
+            yield _joined(rest)
+            rest = []
+        at = 0
+        for end in np.flatnonzero(changed):
+            rest.append(batch.slice(at, end - at))
+            yield _joined(rest)
+            rest, at = [], end
+        rest.append(batch.slice(at))
+        last = tuple(c[-1] for c in columns)
+    if rest:
+        yield _joined(rest)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+
+
+MOST_BROADCAST = 1_000_000
+
+
+def small_side(ids: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table of ids, to be broadcast if it has at most ``most`` rows.
+
+    Beyond that it is joined like any other table, with the same result.
+    """
+    return F.broadcast(ids) if ids.count() <= most else ids

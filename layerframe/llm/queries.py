@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, mixing, quality, token_counts, toxicity
+from . import byte_bpe, chat_format, mixing, ngram_join, quality, token_counts, toxicity
 from .common import code_points, read_table, text_or_empty
 from .learning import fold
 
@@ -166,6 +166,49 @@ FROM placed
 """
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all documents by shared runs of five words."""
+    return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_OP10_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'),
+                               lambda w: w <> '') AS w
+    FROM documents
+), sets AS MATERIALIZED (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+        ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)),
+                                          lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+    FROM words
+), classes AS MATERIALIZED (
+    SELECT list_sort(s) AS s, min(doc_id) AS class_id, count(*) AS copies, len(any_value(s)) AS n
+    FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)
+), shingles AS MATERIALIZED (
+    SELECT class_id, n, copies, unnest(s) AS shingle FROM classes
+), pairs AS MATERIALIZED (
+    SELECT a.class_id AS a, b.class_id AS b, any_value(b.copies) AS copies
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.class_id <> b.class_id
+        AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9
+    GROUP BY a.class_id, b.class_id
+    HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9
+), reach AS (
+    SELECT class_id AS a, class_id AS b FROM classes
+    UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+), groups AS (
+    SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), results AS (
+    SELECT c.s, c.class_id, c.copies - 1 + coalesce((SELECT sum(p.copies) FROM pairs p WHERE p.a = c.class_id), 0) AS n_links,
+           g.component_id
+    FROM classes c JOIN groups g ON g.a = c.class_id
+)
+SELECT d.doc_id, coalesce(r.class_id, d.doc_id) AS class_id, coalesce(r.n_links, 0)::BIGINT AS n_links,
+       coalesce(r.component_id, d.doc_id) AS component_id,
+       coalesce(r.component_id, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN results r ON list_sort(d.s) = r.s
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_byte_bpe": op3_byte_bpe,
@@ -173,6 +216,11 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
+    "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLES = {"op1_chat_formatting": _OP1_SQL, "op8_mixing": _OP8_SQL}
+ORACLES = {
+    "op1_chat_formatting": _OP1_SQL,
+    "op8_mixing": _OP8_SQL,
+    "op10_ngram_join": _OP10_SQL,
+}
