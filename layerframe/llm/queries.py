@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, mixing, ngram_join, quality, token_counts, toxicity
+from . import byte_bpe, chat_format, embedding_dups, mixing, ngram_join, quality, token_counts, toxicity
 from .common import code_points, read_table, text_or_empty
 from .learning import fold
 
@@ -69,6 +69,26 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op2_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings."""
+    return embedding_dups.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+_OP2_SQL = """
+WITH RECURSIVE pairs AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+)
+SELECT a AS vec_id, (SELECT count(*) FROM pairs p WHERE p.a = r.a) AS n_links,
+       min(b) AS component_id, min(b) = a AS kept
+FROM reach r GROUP BY a
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text of the documents."""
     import public_tokenizers
@@ -211,6 +231,7 @@ FROM sets d LEFT JOIN results r ON list_sort(d.s) = r.s
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_embedding_dups": op2_embedding_dups,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
@@ -221,6 +242,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat_formatting": _OP1_SQL,
+    "op2_embedding_dups": _OP2_SQL,
     "op8_mixing": _OP8_SQL,
     "op10_ngram_join": _OP10_SQL,
 }
