@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, embedding_dups, mixing, ngram_join, quality, token_counts, toxicity
+from . import byte_bpe, chat_format, embedding_dups, imatch, mixing, ngram_join, quality, token_counts, toxicity
 from .common import code_points, read_table, text_or_empty
 from .learning import fold
+from .neighbours import with_next_text
 
 
 def _sha256(text: Column) -> Column:
@@ -105,6 +106,36 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text of the documents, of an edited text and the next."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    terms = imatch.lexicon(docs)
+    placed = with_next_text(docs)
+    kept = F.length("text") - F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(
+        F.substring("text", F.lit(1), kept),
+        F.substring("next_text", F.lit(1), F.length("text") - kept),
+    )
+    facts = F.struct(
+        "doc_id", code_points(F.col("text")).alias("n_chars"), _sha256(F.col("edited")).alias("edited_sha256"), "extra"
+    )
+    rows = placed.withColumn("edited", F.when(~F.col("extra"), edited)).select(
+        "bucket", "place", "text", "edited", facts.alias("facts")
+    )
+    marked = imatch.fingerprints(rows, ["bucket", "place"], ["text", "edited"], terms, keep=["facts"])
+    along = Window.partitionBy("bucket").orderBy("place")
+    nexts = marked.withColumn("next_fingerprint", F.lead("text_fingerprint").over(along))
+    return nexts.where("not facts.extra").select(
+        "facts.doc_id",
+        "facts.n_chars",
+        "facts.edited_sha256",
+        F.col("text_fingerprint").alias("fingerprint"),
+        F.col("edited_fingerprint"),
+        imatch.likeness(F.col("text_fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        imatch.likeness(F.col("text_fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count the tokens of every text of the documents."""
     text = text_or_empty("text")
@@ -233,6 +264,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_embedding_dups": op2_embedding_dups,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_imatch": op4_imatch,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
