@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, embedding_dups, imatch, mixing, ngram_join, quality, token_counts, toxicity
+from . import (
+    byte_bpe,
+    chat_format,
+    embedding_dups,
+    imatch,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    token_counts,
+    toxicity,
+)
 from .common import code_points, read_table, text_or_empty
 from .learning import fold
 from .neighbours import with_next_text
@@ -159,6 +170,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_mentions(docs)
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Grades of the labelled rows: 0 poor, 1 usable but toxic, 2 good."""
     return labels.withColumn(
@@ -267,6 +284,7 @@ QUERIES = {
     "op4_imatch": op4_imatch,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
