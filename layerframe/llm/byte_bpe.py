@@ -148,4 +148,4 @@ def decode(ids: Column | str, path: str) -> Column:
 
 def decode_text(data: Column) -> Column:
     """Text of decoded bytes; what is no character becomes U+FFFD."""
-    return F.decode(data, F.lit("UTF-8"))
+    return F.decode(data, "UTF-8")

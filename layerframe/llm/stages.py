@@ -48,5 +48,5 @@ def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return encoded.select(
         "doc_id", "lang", "source", "token_ids", "token_starts",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        F.decode("decoded", F.lit("UTF-8")).alias("decoded_text"),
+        F.decode("decoded", "UTF-8").alias("decoded_text"),
     )

@@ -179,8 +179,8 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator, s
 
 
 def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the best F1's range, kept within 0.2 to 0.8."""
-    grid = np.linspace(0.2, 0.8, 61)
+    """The middle of the best F1's range, kept within 0.3 to 0.8."""
+    grid = np.linspace(0.3, 0.8, 51)
     found = [(scores >= t) for t in grid]
     f1 = np.array([2 * (labels[p] == 1).sum() / max(1, p.sum() + labels.sum()) for p in found])
     best = grid[f1 >= f1.max() - 1e-9]
