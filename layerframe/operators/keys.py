@@ -42,6 +42,17 @@ def require_unique(df: DataFrame, keys: Keys, what: str = "rows") -> DataFrame:
     )
 
 
+def _count_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """``df`` itself, not shuffled, failing while it runs as ``require_unique`` does."""
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    wrong = df.groupBy(*keys).agg(F.count("*").alias("n")).where(missing | (F.col("n") > 1))
+    first_wrong = wrong.agg(F.min(_shown(keys))).scalar()
+    message = F.concat(F.lit(f"{what}: key is NULL or repeated: "), first_wrong)
+    return df.where(
+        F.when(first_wrong.isNull(), True).otherwise(F.raise_error(message).cast("boolean"))
+    )
+
+
 def spread_key(rows: DataFrame, table: DataFrame, on: Keys) -> Column:
     """A hash of ``on`` that is the same on both sides, for use as one more key.
 
@@ -97,7 +108,7 @@ def pair_rows(
     keys: Keys,
     *,
     small_right: bool = False,
-    check: bool = True,
+    check: bool | str = True,
 ) -> DataFrame:
     """One row per key of either table.
 
@@ -113,22 +124,26 @@ def pair_rows(
     Spark's broadcast threshold the left table is then not shuffled at all;
     above it the joins are shuffled and the result is the same.
 
-    ``check`` rejects repeated or NULL keys: on both sides, or with
-    ``small_right`` on the right only, because checking the left would
-    shuffle it.
+    ``check`` rejects repeated or NULL keys on both sides. With ``small_right``
+    the left's keys, and only those, are counted for it, combined before their
+    shuffle; ``check="right"`` saves that for a left table known to be sound.
     """
     keys = key_list(keys)
+    if check not in (True, False, "right"):
+        raise ValueError('check has to be True, False or "right"')
+    narrow = left.select(*keys)
     if check:
         right = require_unique(right, keys, "right side")
-        if not small_right:
-            left = require_unique(left, keys, "left side")
+    if check is True:
+        unique = _count_unique if small_right else require_unique
+        left = unique(left, keys, "left side")
     if small_right:
         right = written_table(right, new_shared_path(right.sparkSession, "side"))
     lefts, rights = _marked(left, keys, "left"), _marked(right, keys, "right")
     if not small_right:
         paired = lefts.join(rights, keys, "full")
     else:
-        matched = left.select(*keys).join(right.select(*keys), keys, "left_semi")
+        matched = narrow.join(right.select(*keys), keys, "left_semi")
         paired = lefts.join(rights, keys, "left").unionByName(
             rights.join(matched, keys, "left_anti"), allowMissingColumns=True
         )

@@ -26,7 +26,7 @@ def managed_apply(
     *,
     where: Column | None = None,
     small_incoming: bool = False,
-    check: bool = True,
+    check: bool | str = True,
 ) -> DataFrame:
     """State after writing ``incoming`` over ``current``, with an ``outcome``.
 
@@ -100,7 +100,10 @@ def switch_owner(
         incoming = require_known(incoming, registry, owner, owner)
     if where is not None:
         current, incoming = current.where(where), incoming.where(where)
-    cleared = managed_remove(current, scope, scope_keys, is_owned)
+    # A scope by whole keys has no hot key, and leaves the partitioning that the
+    # pairing needs; one by part of the keys gets exchanges of its own.
+    spread = set(key_list(scope_keys)) != set(key_list(keys))
+    cleared = _by_scope(current, scope, scope_keys, is_owned, "left_anti", spread=spread)
     return managed_apply(cleared, incoming, keys, is_owned, check=check)
 
 
@@ -109,18 +112,20 @@ def _settled(is_owned: Column) -> Column:
 
 
 def _by_scope(
-    current: DataFrame, scope: DataFrame, keys: Keys, is_owned: Column, how: str
+    current: DataFrame,
+    scope: DataFrame,
+    keys: Keys,
+    is_owned: Column,
+    how: str,
+    spread: bool = True,
 ) -> DataFrame:
     keys = key_list(keys)
     # Distinct, because a foreign row would be tried against every repetition.
     names = scope.select(*keys).distinct()
-    spread = spread_key(current, names, keys)
-    keys = [*keys, "__spread"]
-    names = names.withColumn("__spread", spread)
+    if spread:
+        hashed = spread_key(current, names, keys)
+        keys = [*keys, "__spread"]
+        names, current = names.withColumn("__spread", hashed), current.withColumn("__spread", hashed)
     names = names.select(*[F.col(k).alias(f"__scope_{k}") for k in keys])
     same = all_of([F.col(k) == F.col(f"__scope_{k}") for k in keys])
-    return (
-        current.withColumn("__spread", spread)
-        .join(names, same & _settled(is_owned), how)
-        .drop("__spread")
-    )
+    return current.join(names, same & _settled(is_owned), how).drop("__spread")

@@ -19,8 +19,6 @@ from layerframe.operators.keys import (
     require_unique,
 )
 
-BOUND_ITEMS = 1000
-
 
 def overlay_rows(
     base: DataFrame,
@@ -29,7 +27,7 @@ def overlay_rows(
     *,
     where: Column | None = None,
     small_extra: bool = False,
-    check: bool = True,
+    check: bool | str = True,
 ) -> DataFrame:
     """Rows of both tables; of a key in both, the whole row of ``extra``.
 
@@ -73,22 +71,19 @@ def fill_defaults(
     default ``present`` itself: give the (entity, item) pairs where they are
     cheaper to get than ``present``.
 
-    Usually the required items are few. Then every entity is joined once to
-    the set of required items it has, and only what is absent is spelled out;
-    the full grid never exists. A table of more than ``BOUND_ITEMS`` items
-    goes through a partitioned grid instead.
+    Required items are cast to the type they have in ``held``, NULL and
+    repeated ones left out, before anything else. A list of them, which the
+    program holds anyway, is joined to no one: each entity's set of items is
+    compared with it. A table of items may be of any size: it is cut into blocks
+    by hash, and each entity's items of a block are compared with the block's.
+    Only what is absent is spelled out; the grid never exists as rows.
     """
     entity = key_list(entity)
     held = present if held is None else held
     if check:
         entities = require_unique(entities, entity, "entities")
     if isinstance(items, DataFrame):
-        item_rows = items.select(item).where(F.col(item).isNotNull()).distinct()
-        head = item_rows.take(BOUND_ITEMS + 1)
-        if len(head) > BOUND_ITEMS:
-            absent = _absent_from_grid(held, entities, item_rows, entity, item)
-        else:
-            absent = _absent_items(held, entities, [r[0] for r in head], entity, item)
+        absent = _absent_of_table(held, entities, items, entity, item)
     else:
         absent = _absent_items(held, entities, list(items), entity, item)
     filled = absent.select(
@@ -117,13 +112,12 @@ def _absent_items(
     entity: list[str],
     item: str,
 ) -> DataFrame:
-    item_type = held.schema[item].dataType
-    array_type = T.ArrayType(item_type)
-    required = F.array(*[F.lit(i) for i in items]).cast(array_type)
+    array_type = T.ArrayType(held.schema[item].dataType)
+    required = F.array_compact(F.array(*[F.lit(i) for i in items]).cast(array_type))
     # collect_set is combined before the shuffle and holds at most the
     # required items, however many rows an entity has.
     owned = (
-        held.where(F.col(item).isin(items))
+        held.where(F.array_contains(required, F.col(item)))
         .groupBy(*entity)
         .agg(F.collect_set(item).alias("__owned"))
     )
@@ -138,32 +132,41 @@ def _absent_items(
     )
 
 
-def _absent_from_grid(
+def _absent_of_table(
     held: DataFrame,
     entities: DataFrame,
     items: DataFrame,
     entity: list[str],
     item: str,
-    entity_blocks: int = 512,
-    item_blocks: int = 16,
+    entity_blocks: int = 64,
+    item_blocks: int = 64,
 ) -> DataFrame:
-    # Entities and items are hashed into blocks and each pair of blocks is one
-    # join key, so the grid spreads over all tasks. The few items are repeated
-    # more often than the many entities.
+    # Blocks of items are arrays, repeated for each block of entities, so the
+    # join of entities to arrays has many keys and spreads over all tasks.
     def block(keys: list[str], blocks: int) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")
 
     def every(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
-    rows = (
+    item_type = held.schema[item].dataType
+    nothing = F.array().cast(T.ArrayType(item_type))
+    required = (
+        items.select(F.col(item).cast(item_type).alias(item))
+        .where(F.col(item).isNotNull())
+        .groupBy(block([item], item_blocks).alias("__b"))
+        .agg(F.collect_set(item).alias("__required"))
+        .withColumn("__a", every(entity_blocks))
+    )
+    owned = held.groupBy(*entity, block([item], item_blocks).alias("__b")).agg(
+        F.collect_set(item).alias("__owned")
+    )
+    return (
         entities.drop(item)
         .withColumn("__a", block(entity, entity_blocks))
         .withColumn("__b", every(item_blocks))
+        .join(required, ["__a", "__b"])
+        .join(owned, [*entity, "__b"], "left")
+        .withColumn(item, F.explode(F.array_except("__required", F.coalesce("__owned", nothing))))
+        .drop("__a", "__b", "__required", "__owned")
     )
-    columns = items.withColumn("__b", block([item], item_blocks)).withColumn(
-        "__a", every(entity_blocks)
-    )
-    grid = rows.join(columns, ["__a", "__b"]).drop("__a", "__b")
-    pairs = held.select(*entity, item).distinct()
-    return grid.join(pairs, [*entity, item], "left_anti")

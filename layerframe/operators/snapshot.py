@@ -13,29 +13,29 @@ from layerframe.operators.lookup import lookup_join
 from layerframe.operators.overlay import fill_defaults
 from layerframe.sources.shared import new_shared_path, written_table
 
-# Chains longer than this are treated like loops, as file systems do.
-MAX_HOPS = 40
-
 
 def dereference(
     links: DataFrame,
     src: str = "src",
     dst: str = "dst",
-    max_hops: int = MAX_HOPS,
+    max_hops: int | None = None,
     check: bool = True,
 ) -> DataFrame:
     """Where each link ends: (``src``, ``target``, ``hops``, ``status``).
 
-    ``status`` is ``resolved``, or ``loop`` for a cycle or a chain of more
-    than ``max_hops`` links, which has no target. Whether anything exists at
-    the target is for the caller to look up. A name with two links is an
-    error, a link without a name is ignored.
+    ``status`` is ``resolved``, or ``loop`` for a link that leads into a cycle,
+    which has no target. With ``max_hops`` links that end further away have no
+    target either and are ``too_long``; by default chains may have any length.
+    Whether anything exists at the target is for the caller to look up. A name
+    with two links is an error, a link without a name is ignored.
 
     Each round lets every open link jump to where its own target points, which
-    doubles the distance: ``log2(max_hops)`` rounds at most, and none for the
-    usual tables of direct links. A round writes only the links it moved.
-    Rounds go through written tables, so the plan stays short and a lost
-    executor costs no earlier round.
+    doubles the distance: rounds grow with the logarithm of the longest chain,
+    and usual tables of direct links need none. As long as a chain with an end
+    is open, its next link to close does so in the next round; a round that closes
+    nothing leaves only cycles. A round writes only the links it moved. Rounds go
+    through written tables, so the plan stays short and a lost executor costs
+    no earlier round.
     """
     edges = links.select(F.col(src).alias("src"), F.col(dst).alias("target"))
     edges = edges.where(F.col("src").isNotNull())
@@ -47,24 +47,31 @@ def dereference(
     first = lookup_join(edges, sources, "target").select(
         "src",
         "target",
-        F.lit(1).alias("hops"),
+        F.lit(1).cast("long").alias("hops"),
         F.coalesce("__more", F.lit(False)).alias("open"),
     )
     root = new_shared_path(links.sparkSession, "links")
     latest = written_table(first, f"{root}/0")
     state, closed = latest, latest.where("NOT open")
-    reach, rounds = 1, 0
-    while reach < max_hops and not latest.where("open").isEmpty():
-        reach, rounds = reach * 2, rounds + 1
+    rounds = 0
+    while not latest.where("open").isEmpty():
+        rounds += 1
         latest = written_table(_jump(latest, state), f"{root}/{rounds}")
         state = closed.unionByName(latest)
-        closed = closed.unionByName(latest.where("NOT open"))
-    looped = F.col("open") | (F.col("hops") > max_hops)
+        just_closed = latest.where("NOT open")
+        if just_closed.isEmpty():
+            break
+        closed = closed.unionByName(just_closed)
+    status = F.when(F.col("open"), "loop")
+    if max_hops is not None:
+        status = status.when(F.col("hops") > max_hops, "too_long")
+    status = status.otherwise("resolved")
+    ended = status == "resolved"
     return state.select(
         F.col("src").alias(src),
-        F.when(~looped, F.col("target")).alias("target"),
-        F.when(~looped, F.col("hops")).alias("hops"),
-        F.when(looped, "loop").otherwise("resolved").alias("status"),
+        F.when(ended, F.col("target")).alias("target"),
+        F.when(ended, F.col("hops")).alias("hops"),
+        status.alias("status"),
     )
 
 
@@ -98,7 +105,7 @@ def capture(
     entities: DataFrame | None = None,
     items: Sequence[Any] | DataFrame = (),
     defaults: Mapping[str, Any] | None = None,
-    max_hops: int = MAX_HOPS,
+    max_hops: int | None = None,
 ) -> DataFrame:
     """Snapshot of ``targets`` holding contents instead of links.
 
@@ -115,7 +122,7 @@ def capture(
         *entity,
         item,
         F.coalesce("target", F.when(F.col("status").isNull(), F.col("src"))).alias(path),
-        F.coalesce("hops", F.lit(0)).alias("hops"),
+        F.coalesce("hops", F.lit(0).cast("long")).alias("hops"),
     )
     # The contents are wide and joined only once, for the result; what is
     # absent is worked out from the narrow rows written here.

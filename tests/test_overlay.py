@@ -3,7 +3,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from layerframe import fill_defaults, overlay_rows, repeated_keys, require_unique
-from layerframe.operators import overlay as overlay_module
 
 
 def rows(df):
@@ -74,7 +73,7 @@ def test_repeated_or_null_keys_are_rejected(spark, layers, side):
 def test_unchecked_left_duplicates_do_not_multiply_with_small_extra(spark):
     base = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
     extra = spark.createDataFrame([(1, "c"), (2, "d")], "k int, v string")
-    got = overlay_rows(base, extra, "k", small_extra=True)
+    got = overlay_rows(base, extra, "k", small_extra=True, check="right")
     assert rows(got) == [(1, "c", "overridden"), (1, "c", "overridden"), (2, "d", "added")]
 
 
@@ -88,7 +87,7 @@ def test_where_reaches_both_scans(spark, layers, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EqualTo(k,2)") == 2
     assert rows(got) == [(2, None, 9.0, "overridden")]
-    got = overlay_rows(a, b, "k", small_extra=True).where("k = 2")
+    got = overlay_rows(a, b, "k", small_extra=True, check="right").where("k = 2")
     plan = got._jdf.queryExecution().executedPlan().toString()
     # all but a key-only read of the small side
     assert plan.count("EqualTo(k,2)") == plan.count("FileScan parquet") - 1 == 4
@@ -154,14 +153,12 @@ EXPECTED = [
 ]
 
 
-@pytest.mark.parametrize("form", ["list", "table", "grid"])
-def test_fill_by_absence_only(spark, grid, form, monkeypatch):
+@pytest.mark.parametrize("form", ["list", "table"])
+def test_fill_by_absence_only(spark, grid, form):
     present, entities = grid
     items = ["a", "b", "c"]
     if form != "list":
         items = spark.createDataFrame([(i,) for i in [*items, "a", None]], "item string")
-    if form == "grid":
-        monkeypatch.setattr(overlay_module, "BOUND_ITEMS", 2)
     got = fill_defaults(
         present,
         entities,
@@ -193,3 +190,30 @@ def test_fill_rejects_repeated_entities(grid):
         fill_defaults(
             present, entities.union(entities), ["a"], entity="profile", item="item", defaults={}
         ).collect()
+
+
+@pytest.mark.parametrize("n", [3, 1_100])
+@pytest.mark.parametrize("form", ["list", "table"])
+def test_fill_casts_items_before_anything_else(spark, n, form):
+    held = spark.createDataFrame([("p", 7, "x"), ("q", 1, "y")], "entity string, item int, value string")
+    entities = spark.createDataFrame([("p",), ("q",)], "entity string")
+    items = [str(i) for i in range(n)] + ["007", "7"]
+    if form == "table":
+        items = spark.createDataFrame([(i,) for i in items], "item string")
+    got = fill_defaults(
+        held, entities, items, entity="entity", item="item", defaults={"value": "new"}
+    )
+    pairs = [(r["entity"], r["item"]) for r in got.collect()]
+    wanted = {*range(n), 7}
+    assert sorted(pairs) == sorted({(e, i) for e in "pq" for i in wanted})
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_repeated_base_keys_fail_in_both_forms(spark, small):
+    base = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    extra = spark.createDataFrame([(2, "x")], "k int, v string")
+    with pytest.raises(PySparkException, match="left side"):
+        overlay_rows(base, extra, "k", small_extra=small).collect()
+    with pytest.raises(PySparkException, match="right side"):
+        overlay_rows(extra, base, "k", small_extra=small).collect()
+    assert overlay_rows(base, extra, "k", small_extra=small, check="right").count() >= 3

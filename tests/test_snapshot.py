@@ -16,14 +16,16 @@ def follow(edges, start, max_hops):
     at, hops = start, 0
     while at in edges:
         at, hops = edges[at], hops + 1
-        if hops > max_hops:
+        if hops > len(edges):
             return (start, None, None, "loop")
+    if max_hops is not None and hops > max_hops:
+        return (start, None, None, "too_long")
     return (start, at, hops, "resolved")
 
 
-@pytest.mark.parametrize("max_hops", [1, 3, 4, 40])
+@pytest.mark.parametrize("max_hops", [1, 3, 4, 40, None])
 def test_dereference_against_plain_python(spark, max_hops):
-    rng = random.Random(max_hops)
+    rng = random.Random(max_hops or 0)
     edges = {f"n{i}": f"n{rng.randrange(80)}" for i in range(0, 60)}
     edges |= {f"c{i}": f"c{i + 1}" for i in range(45)}  # a long chain
     edges |= {f"h{i}": "hub" for i in range(40)}  # many links to one file
@@ -103,3 +105,15 @@ def test_capture(spark):
     assert len(rows(capture(targets, links, content, **args))) == 3
     later = content.withColumn("content", F.lit("changed"))
     assert rows(capture(targets, links, later, **args)) != rows(got)
+
+
+def test_a_chain_of_any_length_is_followed(spark):
+    edges = [(f"/c{i}", f"/c{i + 1}") for i in range(1000)] + [("/r1", "/r2"), ("/r2", "/r1")]
+    links = spark.createDataFrame(edges, "src string, dst string")
+    got = {r["src"]: r for r in dereference(links).collect()}
+    assert got["/c0"]["hops"] == 1000 and got["/c0"]["target"] == "/c1000"
+    assert [s for s, r in got.items() if r["status"] == "loop"] == ["/r1", "/r2"]
+    targets = spark.createDataFrame([("p", "x", "/c0")], "scope string, item string, path string")
+    content = spark.createDataFrame([("/c1000", "end")], "path string, content string")
+    taken = capture(targets, links, content, entity="scope", item="item", items=["x"])
+    assert [(r["content"], r["hops"]) for r in taken.collect()] == [("end", 1000)]
