@@ -23,6 +23,8 @@ def load_items(
     ``path = item``. ``profiles`` reads only those folders. ``with_content``
     adds the UTF-8 text; without it no file is opened, only listed.
 
+    All names and sizes pass through the driver, which keeps Spark's file index:
+    for trees of very many files :func:`list_items` is the one to take.
     Spark's listing passes over names starting with ``.`` or ``_``, empty
     files and empty folders; :func:`list_items` sees those too.
     """
@@ -58,6 +60,8 @@ def list_items(profiles: DataFrame, root: str) -> DataFrame:
     # Hadoop's spellings of schemes, in the form Arrow knows.
     uri = re.sub("^s3[an]://", "s3://", re.sub("^file:/+", "file:///", root))
 
+    names = ["profile", "item", "path", "n_bytes"]
+
     def list_profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(uri)
         for batch in batches:
@@ -73,22 +77,20 @@ def list_items(profiles: DataFrame, root: str) -> DataFrame:
     def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(uri)
         for batch in batches:
-            for profile, item in zip(batch["profile"], batch["item"]):
+            files = batch[~batch["is_folder"]]
+            yield files.assign(path=files["item"])[names]
+            folders = batch[batch["is_folder"]]
+            for profile, item in zip(folders["profile"], folders["item"]):
                 for found in _walk(store, f"{base}/{profile}", item):
-                    yield found.assign(profile=profile, item=item)
+                    yield found.assign(profile=profile, item=item)[names]
 
     items = profiles.select("profile").mapInPandas(
         list_profiles, "profile string, item string, is_folder boolean, n_bytes long"
     )
-    columns = "profile string, item string, path string, n_bytes long"
-    files = items.where("NOT is_folder").selectExpr("profile", "item", "item AS path", "n_bytes")
-    inside = (
-        items.where("is_folder")
-        .select("profile", "item")
-        .repartition("profile", "item")
-        .mapInPandas(list_folders, columns)
+    # One chain, so that every folder is listed once: files pass the second step.
+    return items.repartition("profile", "item").mapInPandas(
+        list_folders, "profile string, item string, path string, n_bytes long"
     )
-    return files.unionByName(inside)
 
 
 def _children(store: fs.FileSystem, folder: str) -> list[fs.FileInfo]:

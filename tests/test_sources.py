@@ -115,7 +115,7 @@ def test_shared_folder_is_the_one_the_session_names(spark):
 
 
 def test_shared_folder_is_made_only_where_none_is_named():
-    context = SimpleNamespace(folder=None)
+    context = SimpleNamespace(folder=None, master="local[2]")
     context.getCheckpointDir = lambda: context.folder
     context.setCheckpointDir = lambda folder: setattr(context, "folder", folder)
     bare = SimpleNamespace(
@@ -129,3 +129,35 @@ def test_written_table(spark):
     path = new_shared_path(spark, "t")
     table = written_table(spark.range(5), path)
     assert table.count() == 5 and table.columns == ["id"]
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[3,2,3000]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    bare = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: default), sparkContext=context
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(bare)
+
+
+def test_working_tables_can_be_removed(spark):
+    from layerframe.sources.shared import remove_working_tables
+
+    path = new_shared_path(spark, "gone")
+    written_table(spark.range(2), path)
+    assert remove_working_tables(spark) >= 1
+    assert not Path(path).exists()
+
+
+def test_missing_files_are_an_error(spark, tmp_path):
+    from layerframe.sources.shared import written_table
+
+    table = written_table(spark.range(3).toDF("n"), str(tmp_path / "kept"))
+    assert sorted(r["n"] for r in table.collect()) == [0, 1, 2]
+    empty = written_table(spark.range(0).toDF("n"), str(tmp_path / "empty"))
+    assert empty.isEmpty() and empty.columns == ["n"]
+    lost = tmp_path / "lost"
+    lost.mkdir()
+    with pytest.raises(Exception, match="INFER_SCHEMA|infer"):
+        spark.read.parquet(str(lost))
