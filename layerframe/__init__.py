@@ -1,7 +1,8 @@
 """Layered, owned and resolved tables for PySpark.
 
 Every operator takes DataFrames (or Columns) and returns DataFrames (or
-Columns); nothing is collected to the driver on the way.
+Columns). What reaches the driver on the way is of bounded size: counts, and
+whether a round of links has closed anything.
 """
 
 from layerframe.functions.documents import (

@@ -87,8 +87,12 @@ def create_profiles(
     """Items of the profiles in ``names`` that are new, and the names taken.
 
     ``names`` is like ``registry``; a profile with a gateway gets the gateway
-    document in place of a blank list of servers.
+    document in place of a blank list of servers. A name is required: one that is
+    NULL or empty fails the job.
     """
+    named = F.coalesce(F.col("profile") != "", F.lit(False))
+    missing = F.raise_error(F.lit("profile: a name is required")).cast("boolean")
+    names = names.where(F.when(named, True).otherwise(missing))
     taken, new = exists_guard(names, registry, "profile")
     item = F.col("item")
     with_gateway = (item == "mcp.json") & F.col("gateway_id").isNotNull()
@@ -211,6 +215,18 @@ def deactivate(targets: DataFrame, scopes: DataFrame, log: DataFrame, order: Key
     )
 
 
+def activation_log(requests: DataFrame) -> DataFrame:
+    """The rows (scope, profile) that activating ``requests`` adds to the log."""
+    return requests.select("scope", "profile")
+
+
+def deactivation_log(scopes: DataFrame, log: DataFrame, order: Keys) -> DataFrame:
+    """The rows that clearing ``scopes`` adds to the log: NULL where one was active."""
+    active = current_profiles(log, order)
+    cleared = scopes.select("scope").join(active.select("scope"), "scope", "left_semi")
+    return cleared.distinct().withColumn("profile", F.lit(None).cast(active.schema["profile"].dataType))
+
+
 def current_profiles(log: DataFrame, order: Keys) -> DataFrame:
     """(scope, profile) of the scopes that have an active profile."""
     return active_state(log, "scope", "profile", order)
@@ -241,9 +257,20 @@ def show_profiles(items: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def capture_profiles(
-    targets: DataFrame, links: DataFrame, content: DataFrame, scopes: DataFrame | None = None
+    targets: DataFrame,
+    links: DataFrame,
+    content: DataFrame,
+    scopes: DataFrame | None = None,
+    registry: DataFrame | None = None,
 ) -> DataFrame:
-    """Snapshot of (profile, item, path) targets with blanks for the gaps."""
+    """Snapshot of (profile, item, path) targets with blanks for the gaps.
+
+    With a ``registry`` of profiles that exist, a snapshot under a name in it
+    fails the job: names are exclusive.
+    """
+    if registry is not None:
+        targets = _require_free(targets, registry)
+        scopes = None if scopes is None else _require_free(scopes, registry)
     return capture(
         targets,
         links,
@@ -256,6 +283,17 @@ def capture_profiles(
     )
 
 
+def _require_free(named: DataFrame, registry: DataFrame) -> DataFrame:
+    # Names are grouped, so a name with very many rows is combined beforehand.
+    sides = named.select("profile", F.lit(False).alias("taken")).unionByName(
+        registry.select("profile", F.lit(True).alias("taken"))
+    )
+    both = sides.groupBy("profile").agg(F.bool_or("taken").alias("a"), F.bool_and("taken").alias("b"))
+    first = both.where("a AND NOT b").agg(F.min("profile")).scalar()
+    message = F.concat(F.lit("profile exists already: "), first)
+    return named.where(F.when(first.isNull(), True).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def component_items(
     df: DataFrame, component: str = "component"
 ) -> tuple[DataFrame, DataFrame]:

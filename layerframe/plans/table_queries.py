@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import cache, partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layerframe import (
@@ -18,6 +19,7 @@ from layerframe import (
     inventory,
     inventory_counts,
     json_keys,
+    list_items,
     load_items,
     managed_apply,
     managed_remove,
@@ -126,6 +128,34 @@ def fill_order_priorities(table: Tables) -> DataFrame:
     )
 
 
+@query("""
+    SELECT r_regionkey AS regionkey, p.partkey, coalesce(s.n, 0) AS n_lines, s.n IS NULL AS filled
+    FROM region CROSS JOIN (SELECT DISTINCT l_partkey AS partkey FROM lineitem) p
+    LEFT JOIN (
+        SELECT n_regionkey, l_partkey, count(*) AS n FROM lineitem
+        JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+        GROUP BY 1, 2
+    ) s ON s.n_regionkey = r_regionkey AND s.l_partkey = p.partkey
+""")
+def fill_region_parts(table: Tables) -> DataFrame:
+    """Parts that no supplier of a region has sold, out of all parts sold."""
+    homes = table("supplier").join(
+        table("nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    sold = table("lineitem").join(homes, F.col("l_suppkey") == F.col("s_suppkey"))
+    counts = sold.groupBy(
+        F.col("n_regionkey").alias("regionkey"), F.col("l_partkey").alias("partkey")
+    ).agg(F.count("*").alias("n_lines"))
+    return fill_defaults(
+        counts,
+        table("region").select(F.col("r_regionkey").alias("regionkey")),
+        table("lineitem").select(F.col("l_partkey").alias("partkey")),
+        entity="regionkey",
+        item="partkey",
+        defaults={"n_lines": 0},
+    )
+
+
 @query("""
     WITH sides AS (
         SELECT user_id, event_type,
@@ -509,6 +539,52 @@ def load_document_tree(table: Tables) -> DataFrame:
     )
 
 
+def _page_tree(table: Tables) -> str:
+    """The root of a tree with a folder for each page and a file in it."""
+    pages = table("pages")
+    root = new_shared_path(pages.sparkSession, "pages")
+    laid_out = pages.repartition("page_id").select(
+        F.substring_index(F.substring_index("url", "://", -1), "/", 1).alias("profile"),
+        F.col("page_id").alias("item"),
+        F.col("html").alias("text"),
+    )
+    save_new(laid_out, root, "text", partition_by=["profile", "item"])
+    return root
+
+
+def _unlabelled(column: str) -> Column:
+    return F.element_at(F.split(column, "="), -1)
+
+
+@query("""
+    SELECT page_id, sha256(html || chr(10)) AS content_sha256, strlen(html) + 1 AS n_bytes FROM pages
+""")
+def load_page_contents(table: Tables) -> DataFrame:
+    """Write each page as a file, then read the contents back."""
+    root = _page_tree(table)
+    loaded = load_items(table("pages").sparkSession, root, with_content=True)
+    return loaded.select(
+        _unlabelled("item").cast("long").alias("page_id"),
+        F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"),
+        "n_bytes",
+    )
+
+
+@query("""
+    SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host, strlen(html) + 1 AS n_bytes FROM pages
+""")
+def list_page_files(table: Tables) -> DataFrame:
+    """Write each page as a file, then list the tree from the tasks."""
+    root = _page_tree(table)
+    host = F.substring_index(F.substring_index("url", "://", -1), "/", 1)
+    folders = table("pages").select(F.concat(F.lit("profile="), host).alias("profile")).distinct()
+    return list_items(folders, root).where("NOT endswith(path, '.crc')").select(
+        _unlabelled("item").cast("long").alias("page_id"),
+        _unlabelled("profile").alias("host"),
+        "n_bytes",
+    )
+
+
 # --- snapshots --------------------------------------------------------------
 
 
@@ -533,6 +609,30 @@ def dereference_turns(table: Tables) -> DataFrame:
     )
 
 
+@query("""
+    WITH numbered AS (
+        SELECT event_id, user_id % 2 = 0 AS ring,
+               row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n,
+               min(event_id) OVER (PARTITION BY user_id) AS first
+        FROM events
+    )
+    SELECT event_id, CASE WHEN NOT ring THEN first END AS target,
+           CASE WHEN NOT ring THEN n END AS hops,
+           CASE WHEN ring THEN 'loop' ELSE 'resolved' END AS status
+    FROM numbered WHERE n > 0 OR ring
+""")
+def dereference_events(table: Tables) -> DataFrame:
+    """Each event links to its user's event before; of every second user the
+    first event links to the last, so theirs are rings."""
+    before = Window.partitionBy("user_id").orderBy("event_id")
+    whole = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.when(F.col("user_id") % 2 == 0, F.last("event_id").over(whole))
+    links = table("events").select(
+        F.col("event_id"), F.coalesce(F.lag("event_id").over(before), last).alias("dst")
+    )
+    return dereference(links.where("dst IS NOT NULL"), "event_id")
+
+
 @query("""
     WITH found AS (
         SELECT c_custkey AS custkey, 'nation' AS item, n_name AS content, 1 AS hops
@@ -619,23 +719,28 @@ _REGISTRY_SQL = """
                c_custkey FROM customer
     )
 """
-_GATEWAY_SQL = """
-    '{"mcpServers":{"MCP_DOCKER":{"command":"docker","args":["mcp","gateway","run","--profile","'
-"""
 
 
-_SORTED_GATEWAY_SQL = """
-    '{"mcpServers":{"MCP_DOCKER":{"args":["mcp","gateway","run","--profile","'
-"""
+def _quoted(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _gateway_start(keys_in_order: bool) -> str:
+    """A gateway document up to its id, as JSON text without spaces."""
+    args = json.dumps([*fixed.GATEWAY_ARGS, ""], separators=(",", ":"))[: -len('"]')]
+    command = f'"command":{json.dumps(fixed.GATEWAY_COMMAND)},'
+    entry = f'"args":{args}' if keys_in_order else f'{command}"args":{args}'
+    return _quoted(f'{{"{fixed.SERVERS_FIELD}":{{"{fixed.GATEWAY_NAME}":{{{entry}')
 
 
-_BLANK_SQL = """
-    CASE item WHEN 'mcp.json' THEN '{' || chr(10) || '  "mcpServers": {}' || chr(10) || '}' || chr(10)
-         WHEN 'settings.json' THEN '{' || chr(10) || '  "permissions": {' || chr(10)
-             || '    "allow": [],' || chr(10) || '    "deny": []' || chr(10) || '  }'
-             || chr(10) || '}' || chr(10)
-         WHEN 'settings.local.json' THEN '{}' || chr(10)
-         WHEN 'CLAUDE.md' THEN '' WHEN 'CLAUDE.local.md' THEN '' END
+_GATEWAY_SQL = _gateway_start(keys_in_order=False)
+_SORTED_GATEWAY_SQL = _gateway_start(keys_in_order=True)
+_BLANK_SQL = f"""
+    CASE WHEN item = 'mcp.json' THEN {_quoted(fixed.BLANK_SERVERS)}
+         WHEN item = 'settings.json' THEN {_quoted(fixed.BLANK_SETTINGS)}
+         WHEN item LIKE '%.json' THEN {_quoted(fixed.BLANK_JSON)}
+         WHEN item LIKE '%.md' THEN {_quoted(fixed.BLANK_TEXT)} END
 """
 
 
@@ -814,21 +919,22 @@ _LOG_ORDER = ["o_orderdate", "o_orderkey"]
 
 
 @query(f"""
-    WITH {_TARGETS_SQL}, wanted AS (
+    WITH {_TARGETS_SQL}, wanted AS MATERIALIZED (
         SELECT scope, i.target, profile || '/' || i.item AS value, profile AS owner
         FROM log CROSS JOIN (VALUES {_ITEM_VALUES_SQL}) i (item, target)
         WHERE profile IS NOT NULL
-    ), cleared AS (
-        SELECT * FROM targets t WHERE owner IS NULL OR NOT EXISTS (
-            SELECT 1 FROM wanted w WHERE w.scope = t.scope AND w.target = t.target)
+    ), both_sides AS MATERIALIZED (
+        SELECT coalesce(t.scope, w.scope) AS scope, coalesce(t.target, w.target) AS target,
+               t.scope IS NOT NULL AS held, w.scope IS NOT NULL AS asked, t.value AS old_value,
+               t.owner AS old_owner, w.value AS new_value, w.owner AS new_owner
+        FROM targets t FULL JOIN wanted w ON t.scope = w.scope AND t.target = w.target
     )
     SELECT scope, target,
-           CASE WHEN c.target IS NULL THEN w.value ELSE c.value END AS value,
-           CASE WHEN c.target IS NULL THEN w.owner ELSE c.owner END AS owner,
-           CASE WHEN w.target IS NULL THEN 'kept' WHEN c.target IS NOT NULL THEN 'conflict'
-                WHEN t.target IS NOT NULL THEN 'replaced' ELSE 'inserted' END AS outcome
-    FROM cleared c FULL JOIN wanted w USING (scope, target)
-    LEFT JOIN targets t USING (scope, target)
+           CASE WHEN asked AND (NOT held OR old_owner IS NOT NULL) THEN new_value ELSE old_value END AS value,
+           CASE WHEN asked AND (NOT held OR old_owner IS NOT NULL) THEN new_owner ELSE old_owner END AS owner,
+           CASE WHEN NOT asked THEN 'kept' WHEN NOT held THEN 'inserted'
+                WHEN old_owner IS NOT NULL THEN 'replaced' ELSE 'conflict' END AS outcome
+    FROM both_sides
 """)
 def activate_customer_profiles(table: Tables) -> DataFrame:
     requests = profiles.current_profiles(_activation_log(table), _LOG_ORDER)

@@ -99,8 +99,8 @@ def test_activate_switch_and_deactivate(spark, registry):
     left = p.deactivate(second.drop("outcome"), scopes, log, "ts")
     assert {r.scope for r in left.collect()} == {"v"}  # not active, so not cleared
 
-    unknown = use.withColumn("profile", F.lit("nonexistent"))
-    with pytest.raises(PySparkException, match="not found: nonexistent"):
+    unknown = use.withColumn("profile", F.lit("unheard-of"))
+    with pytest.raises(PySparkException, match="not found: unheard-of"):
         p.activate(empty, unknown, registry).collect()
 
 
@@ -172,11 +172,11 @@ def test_capture(spark):
 
 
 def test_components_and_refs(spark):
-    names = [*fixed.COMPONENT_ITEMS, "invalid-thing"]
+    names = [*fixed.COMPONENT_ITEMS, "no-such-part"]
     df = spark.createDataFrame([(n,) for n in names], "component string")
     ok, rejected = p.component_items(df)
     assert dict(rows(ok)) == fixed.COMPONENT_ITEMS
     assert set(fixed.COMPONENT_ITEMS.values()) == set(fixed.ITEM_TARGETS)
-    assert rows(rejected) == [("invalid-thing",)]
-    refs = spark.createDataFrame([("ghcr.io/acme/srv:latest",)], "ref string")
-    assert rows(p.server_refs(refs)) == [("docker://ghcr.io/acme/srv:latest",)]
+    assert rows(rejected) == [("no-such-part",)]
+    refs = spark.createDataFrame([("registry.example/tools/indexer:v2",)], "ref string")
+    assert rows(p.server_refs(refs)) == [("docker://registry.example/tools/indexer:v2",)]
