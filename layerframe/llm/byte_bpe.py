@@ -108,12 +108,11 @@ def encode_documents(
 def unpacked(ids: Column | str) -> Column:
     """An array of the numbers that little-endian 32-bit bytes hold."""
     ids = F.col(ids) if isinstance(ids, str) else ids
-    digits = F.hex(ids)
-    n = (F.length(digits) / 8).cast("int")
+    n = (F.octet_length(ids) / 4).cast("int")
 
     def number(i: Column) -> Column:
-        own = F.substring(digits, i * 8 + 1, F.lit(8))
-        turned = F.concat(*[F.substring(own, k, 2) for k in (7, 5, 3, 1)])
+        digits = F.hex(F.substring(ids, i * 4 + 1, F.lit(4)))
+        turned = F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)])
         return F.conv(turned, 16, 10).cast("long")
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), number)).otherwise(

@@ -129,7 +129,8 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    mixed = mix(docs, **options).where("copies > 0")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return mixed.select(*columns, F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).drop("__copy")
+    """The mix itself: each document as often as it is taken, in its own columns."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    mixed = mix(docs.select("doc_id", "text", "source", whole), **options).where("copies > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return mixed.select("__row", copies.alias("__copy")).select("__row.*")

@@ -1,0 +1,47 @@
+"""The pipeline, stage by stage, against plain checks of each stage's work."""
+
+import corpus_pipeline
+from layerframe.llm import stages
+
+from .test_ngram_join import brute
+
+LARGER = "/root/testdata/sf0.01"
+
+
+def test_stages_take_effect(spark, tmp_path):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, LARGER).write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen[name] = docs
+        if name != "byte_bpe":
+            assert docs.columns == columns
+    first = spark.read.parquet(f"{LARGER}/documents.parquet").collect()
+    left = {r["doc_id"] for r in seen["toxicity"].collect()}
+    toxic = [i for i, t in labels.items() if t == 1]
+    clean = [i for i, t in labels.items() if t == 0]
+    assert sum(i in left for i in toxic) < 0.2 * len(toxic) and sum(i in left for i in clean) > 0.95 * len(clean)
+    before = [(r["doc_id"], r["text"]) for r in seen["toxicity"].collect()]
+    kept = {r["doc_id"] for r in seen["ngram_jaccard_join"].collect()}
+    assert kept == {i for i, _, group in brute(before) if i == group}
+    texts = {r["doc_id"]: r["text"] for r in seen["pii"].collect()}
+    assert set(texts) == kept and sum(texts[r["doc_id"]] != r["text"] for r in first if r["doc_id"] in kept) > 10
+    mixed = seen["mixing"].collect()
+    assert {r["doc_id"] for r in mixed} <= kept and all(texts[r["doc_id"]] == r["text"] for r in mixed)
+    last = seen["byte_bpe"].collect()
+    assert sorted((r["doc_id"], r["decoded_text"]) for r in last) == sorted((r["doc_id"], r["text"]) for r in mixed)
+    assert all(len(r["token_ids"]) == 4 * r["n_tokens"] for r in last)
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").limit(0)
+    for stage in (stages.drop_near_duplicates, stages.replace_personal_data, stages.mix_sources, stages.encode_documents):
+        assert stage(spark, docs, LARGER).isEmpty()
+
+
+def test_run_gives_the_last_stage_s_rows(spark, sf_dir):
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
