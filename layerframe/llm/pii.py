@@ -35,15 +35,16 @@ PATTERNS = {
     r"|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{13,19}|(?:\d{4}-){3}\d{1,7}|(?:\d{4} ){3}\d{1,7})(?!\d)",
-    "male": rf"(?<!\p{{L}})(?:{_MALE})\.? {_GIVEN}(?: {_GIVEN})?",
-    "female": rf"(?<!\p{{L}})(?:{_FEMALE})\.? {_GIVEN}(?: {_GIVEN})?",
+    "male": rf"(?<!\p{{L}})(?=[MHSг])(?:{_MALE})\.? {_GIVEN}(?: {_GIVEN})?",
+    "female": rf"(?<!\p{{L}})(?=[MFSг])(?:{_FEMALE})\.? {_GIVEN}(?: {_GIVEN})?",
 }
 """What a mention of each type looks like; earlier types win."""
 
 NUMBERS = ("phone", "ssn", "card")
 
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_MAYBE = rf"[@0-9]|(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"
+_MAYBE = rf"[@0-9]|(?=[MHFSг])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"
+"""Few texts pass this, and only those are searched with all patterns."""
 _LEAD = {
     "secret": r"^([A-Za-z_-]+\s{0,3}[=:]\s{0,3}[\"']?)",
     "key": r"^(AKIA)",
