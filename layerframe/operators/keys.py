@@ -42,8 +42,14 @@ def require_unique(df: DataFrame, keys: Keys, what: str = "rows") -> DataFrame:
     )
 
 
-def _count_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """``df`` itself, not shuffled, failing while it runs as ``require_unique`` does."""
+def require_unique_counted(df: DataFrame, keys: Keys, what: str = "rows") -> DataFrame:
+    """``df`` itself, not shuffled, failing while it runs as ``require_unique`` does.
+
+    The keys alone are counted, which is combined before their shuffle; the
+    answer reaches the rows as a scalar. Costs a narrow scan, but neither wide rows
+    nor a key with very many of them end up in one task.
+    """
+    keys = key_list(keys)
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     wrong = df.groupBy(*keys).agg(F.count("*").alias("n")).where(missing | (F.col("n") > 1))
     first_wrong = wrong.agg(F.min(_shown(keys))).scalar()
@@ -135,7 +141,7 @@ def pair_rows(
     if check:
         right = require_unique(right, keys, "right side")
     if check is True:
-        unique = _count_unique if small_right else require_unique
+        unique = require_unique_counted if small_right else require_unique
         left = unique(left, keys, "left side")
     if small_right:
         right = written_table(right, new_shared_path(right.sparkSession, "side"))

@@ -669,11 +669,11 @@ def capture_customers(table: Tables) -> DataFrame:
     )
     region_link = F.struct(
         F.concat(at("customer", "c_custkey"), F.lit("/region")).alias("src"),
-        F.concat(at("nation", "c_nationkey"), F.lit("/region")).alias("dst"),
+        at("region-of", "c_nationkey").alias("dst"),
     )
     links = customer.select(F.inline(F.array(nation_link, region_link))).union(
         nation.select(
-            F.concat(at("nation", "n_nationkey"), F.lit("/region")),
+            at("region-of", "n_nationkey"),
             at("region", "n_regionkey"),
         )
     )
@@ -699,6 +699,42 @@ def capture_customers(table: Tables) -> DataFrame:
     ).select("custkey", "item", "content", "hops", "filled")
 
 
+@query("""
+    WITH found AS (
+        SELECT source, lang AS item, doc_id::VARCHAR AS inside, n_chars, 0 AS hops FROM documents
+        UNION ALL
+        SELECT source, 'english', doc_id::VARCHAR, n_chars, 1 FROM documents WHERE lang = 'en'
+    )
+    SELECT source, item, inside, n_chars, hops, false AS filled FROM found
+    UNION ALL
+    SELECT s.source, i.item, NULL, 0, NULL, true
+    FROM (SELECT DISTINCT source FROM documents) s
+    CROSS JOIN (VALUES ('en'), ('fr'), ('de'), ('es'), ('english'), ('other')) i (item)
+    WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.source = s.source AND f.item = i.item)
+""")
+def capture_document_folders(table: Tables) -> DataFrame:
+    """Sources with a folder of documents per language, and a link to one of them."""
+    documents = table("documents")
+    folder = F.concat_ws("/", F.lit("docs"), "source", "lang")
+    folders = documents.select("source", F.col("lang").alias("item"), folder.alias("path"))
+    english = documents.where("lang = 'en'").select(
+        "source", F.lit("english").alias("item"), F.concat(F.lit("links/"), "source").alias("path")
+    )
+    links = english.distinct().select(
+        F.col("path").alias("src"), F.concat_ws("/", F.lit("docs"), "source", F.lit("en")).alias("dst")
+    )
+    content = documents.select(F.concat_ws("/", folder, "doc_id").alias("path"), "n_chars")
+    return capture(
+        folders.union(english).distinct(),
+        links,
+        content,
+        entity="source",
+        item="item",
+        items=["en", "fr", "de", "es", "english", "other"],
+        defaults={"n_chars": 0},
+    ).select("source", "item", "inside", "n_chars", "hops", "filled")
+
+
 # --- profile workflows ------------------------------------------------------
 
 _ITEM_VALUES_SQL = ", ".join(f"('{i}', '{t}')" for i, t in fixed.ITEM_TARGETS.items())

@@ -117,3 +117,38 @@ def test_a_chain_of_any_length_is_followed(spark):
     content = spark.createDataFrame([("/c1000", "end")], "path string, content string")
     taken = capture(targets, links, content, entity="scope", item="item", items=["x"])
     assert [(r["content"], r["hops"]) for r in taken.collect()] == [("end", 1000)]
+
+
+def test_folders_are_captured_with_what_is_in_them(spark):
+    targets = spark.createDataFrame(
+        [("p", "dir", "/d"), ("p", "link", "/l"), ("p", "file", "/f"), ("p", "none", "/empty")],
+        "scope string, item string, path string",
+    )
+    links = spark.createDataFrame(
+        [("/l", "/d/sub"), ("/d/inner", "/f"), ("/d/far", "/e"), ("/d/gone", "/nowhere")],
+        "src string, dst string",
+    )
+    content = spark.createDataFrame(
+        [("/d/a", "A"), ("/d/sub/b", "B"), ("/d/sub/deep/c", "C"), ("/f", "F"), ("/e/x", "X"), ("/dd", "no")],
+        "path string, content string",
+    )
+    got = capture(targets, links, content, entity="scope", item="item").select(
+        "item", "inside", "content", "hops"
+    )
+    assert rows(got) == sorted(
+        [
+            ("dir", "a", "A", 0),
+            ("dir", "sub/b", "B", 0),
+            ("dir", "sub/deep/c", "C", 0),
+            ("dir", "inner", "F", 0),
+            ("dir", "far/x", "X", 0),
+            ("link", "b", "B", 1),
+            ("link", "deep/c", "C", 1),
+            ("file", "", "F", 0),
+        ],
+        key=repr,
+    )
+    with pytest.raises(PySparkException, match="content"):
+        capture(targets, links, content.union(content), entity="scope", item="item").collect()
+    with pytest.raises(PySparkException, match="targets"):
+        capture(targets.union(targets), links, content, entity="scope", item="item").collect()
