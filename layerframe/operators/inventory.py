@@ -33,11 +33,12 @@ def inventory(
     prefix: str | None = None,
     content: str | None = None,
     salts: int = 1,
+    ordered: bool = False,
 ) -> DataFrame:
-    """Listing: a row per file with its group's ``n_files``, sorted.
+    """Listing: a row per file with its group's ``n_files``.
 
     The listing stays in rows, so that no group has to fit into one value or
-    one task: the sort is by range over group *and* path. The counts, a row
+    one task. With ``ordered`` it is sorted, by range over group *and* path. The counts, a row
     per group, are written to the shared folder first; as their size is known
     then, the files need not be shuffled to get them. ``prefix`` names a
     column whose text is cut off the front of the path. Contents may hold
@@ -61,7 +62,8 @@ def inventory(
         salt_by=[*by, path],
     )
     tail = [path] if content is None else [path, content]
-    return listed.select(*by, "n_files", *tail).orderBy(*by, path)
+    listed = listed.select(*by, "n_files", *tail)
+    return listed.orderBy(*by, path) if ordered else listed
 
 
 def json_keys(

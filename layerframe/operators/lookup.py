@@ -106,14 +106,21 @@ def alias_lookup(
     on: str,
     canonical: str = "canonical",
     salts: int = 1,
+    strict: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with the canonical name of their alias, and rows without one.
 
     A mapping becomes an expression and needs no join. A table of aliases has
-    the columns ``on`` and ``canonical``, with each alias once. To fail on an
-    unknown alias instead, pass ``df`` through ``require_known``.
+    the columns ``on`` and ``canonical``, with each alias once. With ``strict`` an
+    alias that is unknown or NULL fails the job instead, and the second table is
+    empty.
     """
     named = with_canonical(df, aliases, on, canonical, salts)
+    if strict:
+        shown = F.coalesce(F.col(on).cast("string"), F.lit("NULL"))
+        unknown = F.raise_error(F.concat(F.lit(f"{on} not found: "), shown)).cast("string")
+        # In the column, for a filter could be evaluated after another one.
+        return named.withColumn(canonical, F.coalesce(canonical, unknown)), df.limit(0)
     return (
         named.where(F.col(canonical).isNotNull()),
         named.where(F.col(canonical).isNull()).drop(canonical),

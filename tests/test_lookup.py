@@ -121,7 +121,7 @@ def test_inventory(spark, salts):
         ],
         key=repr,
     )
-    got = inventory(items, ["profile", "item"], prefix="root", salts=salts)
+    got = inventory(items, ["profile", "item"], prefix="root", salts=salts, ordered=True)
     assert [tuple(r) for r in got.collect()] == [
         ("p", "hooks", 0, None),
         ("p", "skills", 2, "skills/A"),
@@ -212,3 +212,17 @@ def test_salts_spread_a_hot_key(small_limits, many, table):
     assert salted.count() == 60_000
     used = salted.where("k = 0").select(F.spark_partition_id().alias("p")).distinct()
     assert used.count() > 1
+
+
+@pytest.mark.parametrize("form", ["mapping", "table"])
+def test_strict_aliases(spark, form):
+    aliases = {"a": "one", "b": "two"}
+    if form == "table":
+        aliases = spark.createDataFrame(list(aliases.items()), "alias string, canonical string")
+    known = spark.createDataFrame([("a",), ("b",)], "alias string")
+    found, unknown = alias_lookup(known, aliases, "alias", strict=True)
+    assert found.count() == 2 and unknown.isEmpty()
+    for odd in ("c", None):
+        more = known.union(spark.createDataFrame([(odd,)], "alias string"))
+        with pytest.raises(PySparkException, match="alias not found"):
+            alias_lookup(more, aliases, "alias", strict=True)[0].collect()

@@ -180,3 +180,29 @@ def test_components_and_refs(spark):
     assert rows(rejected) == [("no-such-part",)]
     refs = spark.createDataFrame([("registry.example/tools/indexer:v2",)], "ref string")
     assert rows(p.server_refs(refs)) == [("docker://registry.example/tools/indexer:v2",)]
+
+
+def test_names_are_required_and_exclusive(spark, registry):
+    for bad in ("", None):
+        names = spark.createDataFrame([(bad, "x"), ("fine", "y")], "profile string, gateway_id string")
+        # Several stages may meet the row; then Spark names their number only.
+        with pytest.raises(Exception, match="name is required|MULTIPLE_FAILURES"):
+            p.create_profiles(names, registry)[0].collect()
+    targets = spark.createDataFrame(
+        [("second", "mcp.json", "/a"), ("fresh", "mcp.json", "/a")], "profile string, item string, path string"
+    )
+    links = spark.createDataFrame([], "src string, dst string")
+    content = spark.createDataFrame([("/a", "A")], "path string, content string")
+    with pytest.raises(PySparkException, match="exists already: second"):
+        p.capture_profiles(targets, links, content, registry=registry).collect()
+    fresh = targets.where("profile = 'fresh'")
+    taken = p.capture_profiles(fresh, links, content, registry=registry)
+    assert taken.where("NOT filled").count() == 1 and taken.count() == len(fixed.ITEM_TARGETS)
+
+
+def test_log_rows_of_a_switch(spark):
+    log = spark.createDataFrame([("s1", "a", 1), ("s1", "b", 2), ("s2", "a", 1), ("s2", None, 2)], LOG)
+    added = p.activation_log(spark.createDataFrame([("s2", "b")], "scope string, profile string"))
+    assert rows(added) == [("s2", "b")]
+    scopes = spark.createDataFrame([("s1",), ("s1",), ("s2",), ("s3",)], "scope string")
+    assert rows(p.deactivation_log(scopes, log, "ts")) == [("s1", None)]
