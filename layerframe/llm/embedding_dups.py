@@ -1,46 +1,56 @@
 """Near-duplicate embeddings by NN-descent.
 
-Equal vectors are one node. A first neighbour graph comes from random
-hyperplanes: vectors with the same signs share a bucket, and buckets are cut
-into blocks of bounded size. Then rounds of descent follow: around each node,
-its neighbours and those that have it as a neighbour are compared with each
-other, of which at least one has to be new. A list holds a few nearest
-neighbours; one that is saturated, full of links, is enlarged to hold every link
-found and a few more. When hardly anything changes, an audit compares a bounded
-sample of nodes with all; below the wanted recall, more hyperplanes are drawn
-and the descent goes on. Cosines are worked out in double precision, and
-only links, those at the threshold or above, are kept in the end.
+Equal vectors are one node. Random hyperplanes come first: vectors with the same
+signs share a bucket, and there are so many tables of buckets that two vectors at
+the threshold share one with the wanted probability. All pairs of a bucket
+are compared, those of a large one in pairs of blocks of bounded size; a link
+counts in the first table whose bucket it shares, and blocks hand on counts,
+not links. Descent finds links that share no bucket: from the nearest
+neighbours that the blocks saw, the neighbours of each node, and those that have it
+as a neighbour, are compared with each other, of which at least one has to be
+new. None is left out: around a node with many, too, pairs of blocks are
+compared. Such links are rows; a node's list is bounded, so there are not
+many more of them than nodes. Then an audit compares a bounded sample of
+nodes with all; below the wanted recall, more hyperplanes are drawn and the
+descent goes on. Cosines are worked out in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, log1p, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import new_shared_path, written_table
 from .common import sorted_groups
 from .components import components
+from .ngram_join import _roots
 
 THRESHOLD = 0.9
-NEIGHBOURS = 4
-"""So many nearest neighbours that are no links are kept besides the links."""
+NEIGHBOURS = 8
+"""Nearest neighbours that descent goes on from."""
 TABLES = 20
+MOST_TABLES = 170
+"""Beyond so many tables an attempt, buckets are made larger instead."""
 LEAF = 64
-"""Buckets hold about so many vectors."""
+"""Buckets hold about so many vectors; a node with more links is hot."""
 BLOCK = 256
-SAMPLE = 32
-"""New neighbours of a node that take part in one round; others wait."""
 ROUNDS = 6
 AUDITED = 1_024
+"""So many hot nodes, and so many others, are audited."""
 RECALL = 0.98
 ATTEMPTS = 3
 
-_LISTS = "node long, near array<long>, cosine array<double>, fresh array<boolean>"
+_TABLE_BITS = 54
+_FOUND = (
+    "node long, pairs long, links long, root long, near array<long>, cosine array<double>, partners array<long>"
+)
 
 
 def _nodes(vectors: DataFrame) -> tuple[DataFrame, np.dtype]:
@@ -76,141 +86,198 @@ def _matrix(column: pa.Array, kind: np.dtype) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _lists(ids: np.ndarray, near: list, cosine: list, fresh: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids, pa.int64()),
-            pa.array(near, pa.list_(pa.int64())),
-            pa.array(cosine, pa.list_(pa.float64())),
-            pa.array(fresh, pa.list_(pa.bool_())),
-        ],
-        ["node", "near", "cosine", "fresh"],
-    )
+def _of_one_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of each length of vectors."""
+    lengths = pc.binary_length(batch.column("v")).to_numpy()
+    kinds = np.unique(lengths)
+    if len(kinds) == 1:
+        yield batch
+        return
+    for length in kinds:
+        yield batch.take(pa.array(np.flatnonzero(lengths == length)))
 
 
-def _best(cosines: np.ndarray, threshold: float) -> np.ndarray:
-    """Places of all links and of the nearest others."""
-    links = np.flatnonzero(cosines >= threshold)
-    others = np.flatnonzero((cosines < threshold) & (cosines > -1))
-    if len(others) > NEIGHBOURS:
-        others = others[np.argpartition(-cosines[others], NEIGHBOURS - 1)[:NEIGHBOURS]]
-    return np.concatenate([links, others])
+def _buckets_of(n: int, threshold: float, least: int) -> tuple[int, int]:
+    """Hyperplanes a table, and tables, that keep all but 1 - RECALL of the pairs at the threshold."""
+    side = 1 - acos(max(-1.0, min(1.0, threshold))) / pi
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1) / LEAF)), 1, 40))
+    while True:
+        together = side**bits
+        needed = 1 if together >= 1 else ceil(log(1 - RECALL) / log1p(-together)) if together > 0 else MOST_TABLES + 1
+        if needed <= MOST_TABLES or not bits:
+            return bits, min(max(least, needed), MOST_TABLES)
+        bits -= 1
 
 
-def _first_graph(nodes: DataFrame, n: int, kind: np.dtype, tables: range, threshold: float) -> DataFrame:
-    """Neighbour lists from buckets of vectors on the same sides of hyperplanes."""
-    bits = int(np.clip(np.ceil(np.log2(max(n, 1) / LEAF)), 1, 40))
+def _coded(nodes: DataFrame, kind: np.dtype, bits: int, tables: int) -> DataFrame:
+    """Nodes with their bucket in each table."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
+        weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            lengths = np.array([len(v.as_py()) for v in batch.column("v")])
-            for length in np.unique(lengths):
-                own = batch.take(pa.array(np.flatnonzero(lengths == length)))
-                x = _matrix(own.column("v"), kind)
-                d = x.shape[1]
-                ids = own.column("node").to_numpy()
-                for table in tables:
-                    if (d, table) not in planes:
-                        planes[d, table] = np.random.default_rng([d, table]).normal(size=(d, bits))
-                    code = ((x @ planes[d, table] > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64)
-                    bucket = (np.int64(table) << np.int64(54)) + (np.int64(d % 8192) << np.int64(41)) + code
+            for at in range(0, batch.num_rows, 1024):
+                for own in _of_one_length(batch.slice(at, 1024)):
+                    x = _matrix(own.column("v"), kind)
+                    n, d = x.shape
+                    if d not in planes:
+                        drawn = [np.random.default_rng([d, t]).normal(size=(d, bits)) for t in range(tables)]
+                        planes[d] = np.concatenate(drawn, 1)
+                    codes = (x @ planes[d] > 0).reshape(n, tables, bits) @ weights
+                    codes = codes + (np.arange(tables, dtype=np.int64) << _TABLE_BITS) + (np.int64(d % 8192) << 41)
+                    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * tables)
+                    codes = pa.ListArray.from_arrays(offsets, pa.array(codes.ravel(), pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket), pa.array(ids), own.column("v")], ["bucket", "node", "v"]
+                        [*(own.column(c) for c in ("node", "v", "least", "copies")), codes],
+                        ["node", "v", "least", "copies", "codes"],
                     )
 
-    dealt = nodes.mapInArrow(deal, "bucket long, node long, v binary")
-    sizes = nodes.mapInArrow(deal, "bucket long, node long, v binary").groupBy("bucket").count()
-    large = sizes.where(F.col("count") > BLOCK).select(
-        "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")
+    return nodes.select("node", "v", "least", "copies").mapInArrow(
+        code, "node long, v binary, least long, copies long, codes array<long>"
+    )
+
+
+def _nearest(ids: np.ndarray, cosines: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The nearest of ``ids`` for each row of cosines; those of -2 don't count."""
+    k = min(NEIGHBOURS, cosines.shape[1])
+    best = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    values = np.take_along_axis(cosines, best, 1)
+    return [(ids[b[v > -2]], v[v > -2]) for b, v in zip(best, values, strict=True)]
+
+
+def _compared(
+    members: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float, around: bool
+) -> DataFrame:
+    """What comes of comparing the members (bucket, node, fresh) of each bucket.
+
+    Each pair of blocks of a bucket is a group of its own. In the buckets of
+    hyperplanes, links are counted that share no earlier table's bucket; ``around``
+    a node, those that share no bucket are named, and two old members are not compared.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.max("fresh").alias("some"))
+    parts = sizes.where("n > 1 and some").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", F.lit(3)), "parts")).otherwise(F.lit(0))
+    paired = members.join(parts, "bucket").select(
+        "bucket", "node", "fresh", part.cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"),
+    ).select(
+        "bucket", "node", "fresh", "part",
+        F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
     )
-    part = F.pmod(F.xxhash64("node", "bucket"), F.coalesce("parts", F.lit(1))).cast("int")
-    blocks = dealt.join(large, "bucket", "left").withColumn("part", part).drop("parts")
+    block = ["bucket", "low", "high"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["bucket", "part"]):
-            if len(group) < 2:
-                continue
-            ids = group.column("node").to_numpy()
-            x = _matrix(group.column("v"), kind)
-            cosines = x @ x.T
-            np.fill_diagonal(cosines, -2)
-            best = [_best(row, threshold) for row in cosines]
-            yield _lists(
-                ids,
-                [ids[b] for b in best],
-                [row[b] for row, b in zip(cosines, best, strict=True)],
-                [np.ones(len(b), bool) for b in best],
-            )
+        for group in sorted_groups(batches, block):
+            bucket, low, high = (group.column(c)[0].as_py() for c in block)
+            for own in _of_one_length(group):
+                n = own.num_rows
+                dealt = own.column("part").to_numpy()
+                left, right = np.flatnonzero(dealt == low), np.flatnonzero(dealt == high)
+                if n < 2 or not len(left) or not len(right):
+                    continue
+                ids = own.column("node").to_numpy()
+                codes = own.column("codes").flatten().to_numpy().reshape(n, -1)
+                copies = own.column("copies").to_numpy()
+                x = _matrix(own.column("v"), kind)
+                cosines = x[left] @ x[right].T
+                if around:
+                    fresh = own.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
+                    cosines[~(fresh[left][:, None] | fresh[right][None, :])] = -2
+                if low == high:
+                    np.fill_diagonal(cosines, -2)
+                a, b = np.nonzero(cosines >= threshold)
+                if low == high:
+                    a, b = a[a < b], b[a < b]
+                a, b = left[a], right[b]
+                for table in range(codes.shape[1] if around else bucket >> _TABLE_BITS):
+                    if not len(a):
+                        break
+                    keep = codes[a, table] != codes[b, table]
+                    a, b = a[keep], b[keep]
+                none = np.zeros(0, np.int64)
+                near = [(none, none.astype(float))] * n
+                if low == high:
+                    near = _nearest(ids, cosines)
+                elif around:
+                    for side, other, own_cosines in ((left, right, cosines), (right, left, cosines.T)):
+                        for i, found in zip(side, _nearest(ids[other], own_cosines), strict=True):
+                            near[i] = found
+                pairs, links, root, partners = np.zeros(n, np.int64), np.zeros(n, np.int64), ids, [none] * n
+                if around:
+                    order = np.argsort(a, kind="stable")
+                    a, b = a[order], b[order]
+                    for i in np.unique(a):
+                        partners[i] = ids[b[np.searchsorted(a, i, "left") : np.searchsorted(a, i, "right")]]
+                else:
+                    for one, two in ((a, b), (b, a)):
+                        np.add.at(pairs, one, 1)
+                        np.add.at(links, one, copies[two])
+                    root = ids[_roots(n, a, b)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids), pa.array(pairs), pa.array(links), pa.array(root),
+                        pa.array([i for i, _ in near], pa.list_(pa.int64())),
+                        pa.array([c for _, c in near], pa.list_(pa.float64())),
+                        pa.array(partners, pa.list_(pa.int64())),
+                    ],
+                    ["node", "pairs", "links", "root", "near", "cosine", "partners"],
+                )
 
     return (
-        blocks.repartition("bucket", "part")
-        .sortWithinPartitions("bucket", "part")
-        .mapInArrow(compare, _LISTS)
+        paired.join(nodes.select("node", "v", "codes", "copies"), "node")
+        .repartition(*block)
+        .sortWithinPartitions(*block)
+        .mapInArrow(compare, _FOUND)
+        .where("pairs > 0 or size(near) > 0 or size(partners) > 0")
     )
 
 
-def _merged(lists: DataFrame, threshold: float) -> DataFrame:
-    """One list a node. A neighbour that an old list has stays as it is there."""
+def _neighbours(found: DataFrame) -> DataFrame:
+    pairs = found.select("node", F.explode(F.arrays_zip("near", "cosine")).alias("e"))
+    return pairs.select("node", "e.near", "e.cosine", F.lit(True).alias("fresh"))
+
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["node"]):
-            near = group.column("near").flatten().to_numpy(zero_copy_only=False)
-            cosine = group.column("cosine").flatten().to_numpy(zero_copy_only=False)
-            fresh = group.column("fresh").flatten().to_numpy(zero_copy_only=False).astype(bool)
-            order = np.lexsort((fresh, near))
-            first = np.ones(len(order), bool)
-            first[1:] = near[order][1:] != near[order][:-1]
-            order = order[first]
-            order = order[_best(cosine[order], threshold)]
-            yield _lists(group.column("node").to_numpy()[:1], [near[order]], [cosine[order]], [fresh[order]])
+def _merged(neighbours: DataFrame) -> DataFrame:
+    """The nearest of each node. One that was there before stays as it was."""
+    once = neighbours.groupBy("node", "near").agg(F.max("cosine").alias("cosine"), F.min("fresh").alias("fresh"))
+    order = Window.partitionBy("node").orderBy(F.desc("cosine"), F.xxhash64("node", "near"))
+    return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= NEIGHBOURS).drop("place")
 
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(merge, _LISTS)
 
+def _around(lists: DataFrame) -> DataFrame:
+    """Each node as a bucket of its neighbours and of those that have it as a neighbour."""
+    there = lists.select(F.col("node").alias("bucket"), F.col("near").alias("node"), "fresh")
+    back = lists.select(F.col("near").alias("bucket"), "node", "fresh")
+    return there.unionByName(back).groupBy("bucket", "node").agg(F.max("fresh").alias("fresh"))
 
-def _descended(lists: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float) -> DataFrame:
-    """Lists from comparing the neighbours of each node with each other."""
-    items = F.arrays_zip("near", "fresh")
-    edges = lists.select("node", F.explode(items).alias("e")).select(
-        "node", F.col("e.near").alias("near"), F.col("e.fresh").alias("fresh")
+
+def _named(found: DataFrame) -> DataFrame:
+    pairs = found.select("node", F.explode("partners").alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _apart(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links that share no bucket, and so are not counted in one."""
+    codes = nodes.select("node", "codes")
+    both = links.join(codes.toDF("a", "x"), "a").join(codes.toDF("b", "y"), "b")
+    return both.where(~F.arrays_overlap("x", "y")).select("a", "b")
+
+
+def _totals(counted: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Linked nodes (pairs) and vectors (links) of each node that has any."""
+    both = named.unionByName(named.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    copies = nodes.select(F.col("node").alias("b"), "copies")
+    rows = both.join(copies, "b").select(
+        F.col("a").alias("node"), F.lit(1).cast("long").alias("pairs"), F.col("copies").alias("links")
     )
-    around = edges.select(F.col("node").alias("centre"), F.col("near").alias("node"), "fresh")
-    back = edges.select(F.col("near").alias("centre"), "node", "fresh")
-    around = around.unionByName(back).groupBy("centre", "node").agg(F.max("fresh").alias("fresh"))
-    members = around.join(nodes.select("node", "v"), "node")
+    rows = rows.unionByName(counted.select("node", "pairs", "links"))
+    return rows.groupBy("node").agg(F.sum("pairs").alias("pairs"), F.sum("links").alias("links"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["centre"]):
-            fresh = group.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
-            if not fresh.any() or len(group) < 2:
-                continue
-            lengths = np.array([len(v.as_py()) for v in group.column("v")])
-            keep = np.flatnonzero(lengths == lengths[0])
-            rng = np.random.default_rng(int(group.column("centre")[0].as_py()) & 0x7FFFFFFF)
-            new, old = keep[fresh[keep]], keep[~fresh[keep]]
-            new, old = rng.permutation(new)[:SAMPLE], rng.permutation(old)[: 2 * SAMPLE]
-            rows = np.concatenate([new, old])
-            own = group.take(pa.array(rows))
-            ids = own.column("node").to_numpy()
-            x = _matrix(own.column("v"), kind)
-            cosines = x @ x.T
-            np.fill_diagonal(cosines, -2)
-            cosines[len(new) :, len(new) :] = -2  # of two old ones nothing new comes
-            best = [_best(row, threshold) for row in cosines]
-            yield _lists(
-                ids,
-                [ids[b] for b in best],
-                [row[b] for row, b in zip(cosines, best, strict=True)],
-                [np.ones(len(b), bool) for b in best],
-            )
-
-    return members.repartition("centre").sortWithinPartitions("centre").mapInArrow(compare, _LISTS)
-
-
-def _audit(lists: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float) -> float:
-    """Share of the links of a bounded sample of nodes that the lists have."""
-    chosen = nodes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(AUDITED).collect()
-    asked = {}
+
+def _audit(totals: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float) -> float:
+    """Share of the links of a bounded sample of nodes that were found."""
+    chosen = nodes.select("node", "v").orderBy(F.xxhash64("node", F.lit(1)), "node").limit(AUDITED).collect()
+    asked: dict[int, list] = {}
     for row in chosen:
         asked.setdefault(len(row["v"]), []).append((row["node"], bytes(row["v"])))
     sides = {
@@ -220,35 +287,22 @@ def _audit(lists: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(v.as_py()) for v in batch.column("v")])
-            for length in np.unique(lengths):
-                if int(length) not in sides:
-                    continue
-                queries, q = sides[int(length)]
-                own = batch.take(pa.array(np.flatnonzero(lengths == length)))
-                ids = own.column("node").to_numpy()
-                a, b = np.nonzero(_matrix(own.column("v"), kind) @ q.T >= threshold)
-                keep = ids[a] != queries[b]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(queries[b][keep]), pa.array(ids[a][keep])], ["a", "b"]
-                )
-
-    true = nodes.mapInArrow(search, "a long, b long")
-    found = _links(lists, threshold)
-    found = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = true.join(found.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(
-        F.count("*").alias("n"), F.count("hit").alias("hits")
-    )
-    n, hits = counts.first()
-    return hits / n if n else 1.0
-
+            for at in range(0, batch.num_rows, 1024):
+                for own in _of_one_length(batch.slice(at, 1024)):
+                    length = len(own.column("v")[0].as_py())
+                    if length not in sides:
+                        continue
+                    queries, q = sides[length]
+                    linked = _matrix(own.column("v"), kind) @ q.T >= threshold
+                    linked &= own.column("node").to_numpy()[:, None] != queries[None, :]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(queries), pa.array(linked.sum(0, dtype=np.int64))], ["node", "n"]
+                    )
 
-def _links(lists: DataFrame, threshold: float) -> DataFrame:
-    pairs = lists.select("node", F.explode(F.arrays_zip("near", "cosine")).alias("e"))
-    pairs = pairs.where(F.col("e.cosine") >= threshold)
-    return pairs.select(
-        F.least("node", "e.near").alias("a"), F.greatest("node", "e.near").alias("b")
-    ).distinct()
+    true = nodes.select("node", "v").mapInArrow(search, "node long, n long")
+    true = true.groupBy("node").agg(F.sum("n").alias("n")).where("n > 0")
+    pairs, n = true.join(totals, "node", "left").agg(F.sum("pairs"), F.sum("n")).first()
+    return (pairs or 0) / n if n else 1.0
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES) -> DataFrame:
@@ -263,8 +317,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     vectors of different dimensions with each other. Ids are taken to be
     unique; rows that repeat one count as vectors of their own, and a null id
     comes after all others. The table may be empty. The search is
-    approximate: it goes on until a bounded sample of nodes has ``RECALL`` of its
-    links, or ``ATTEMPTS`` sets of hyperplanes are used up.
+    approximate: it goes on until the nodes of a bounded sample have ``RECALL`` of
+    their links on average, hot ones and others; if ``ATTEMPTS`` sets of at least
+    ``tables`` tables don't do, that is an error.
     """
     spark = vectors.sparkSession
 
@@ -282,31 +337,43 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
         .agg(F.first("v").alias("v"), F.min(F.coalesce("id", no_id)).alias("least"), F.count("*").alias("copies")),
         "nodes",
     )
-    n = nodes.count()
-    lists = None
+    bits, tables = _buckets_of(nodes.count(), threshold, tables)
+    packed_nodes, lists, counted, named = nodes, None, None, None
     for attempt in range(ATTEMPTS):
-        drawn = _first_graph(nodes, n, kind, range(attempt * tables, (attempt + 1) * tables), threshold)
-        lists = written(_merged(drawn if lists is None else lists.unionByName(drawn), threshold), "lists")
+        nodes = written(_coded(packed_nodes, kind, bits, (attempt + 1) * tables), "coded")
+        buckets = F.slice("codes", attempt * tables + 1, tables)
+        members = nodes.select("node", F.explode(buckets).alias("bucket"), F.lit(True).alias("fresh"))
+        found = written(_compared(members, nodes, kind, threshold, False), "found")
+        own = found.where("pairs > 0").select("node", "pairs", "links", "root")
+        counted = own if counted is None else counted.unionByName(own)
+        rows_of_links = [] if named is None else [_apart(named, nodes)]
+        drawn = _neighbours(found)
+        lists = written(_merged(drawn if lists is None else lists.unionByName(drawn)), "lists")
         for _ in range(ROUNDS):
-            settled = lists.withColumn("fresh", F.transform("near", lambda _: F.lit(False)))
-            lists = written(
-                _merged(settled.unionByName(_descended(lists, nodes, kind, threshold)), threshold), "lists"
-            )
-            new = F.size(F.filter("fresh", lambda x: x))
-            moved, total = lists.agg(F.sum(new), F.sum(F.size("near"))).first()
-            if not total or moved <= 0.001 * total:
+            found = written(_compared(_around(lists), nodes, kind, threshold, True), "found")
+            rows_of_links.append(_named(found))
+            settled = lists.withColumn("fresh", F.lit(False))
+            lists = written(_merged(settled.unionByName(_neighbours(found))), "lists")
+            moved, total = lists.agg(F.count_if("fresh"), F.count("*")).first()
+            if moved <= 0.001 * total:
                 break
-        if _audit(lists, nodes, kind, threshold) >= RECALL:
+        links = rows_of_links[0]
+        for more in rows_of_links[1:]:
+            links = links.unionByName(more)
+        named = written(links.distinct(), "named")
+        totals = written(_totals(counted, named, nodes), "totals")
+        recall = _audit(totals, nodes, kind, threshold)
+        if recall >= RECALL:
             break
-    links = written(_links(lists, threshold), "links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = nodes.select(F.col("node").alias("b"), "copies")
-    linked = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("links"))
-    groups = components(links).join(nodes.select("node", "least"), "node")
+    else:
+        raise RuntimeError(f"links found: {recall:.4f} of those of the audited vectors, less than {RECALL}")
+    linked = totals.select("node", "links")
+    trees = counted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(named)
+    groups = components(trees).join(nodes.select("node", "least"), "node")
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     results = (
         nodes.select("node", "least", "copies")
-        .join(linked.withColumnRenamed("a", "node"), "node", "left")
+        .join(linked, "node", "left")
         .join(groups.select("node", "component"), "node", "left")
         .join(least, "component", "left")
         .select(

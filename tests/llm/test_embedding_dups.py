@@ -58,3 +58,25 @@ def test_empty_table(spark):
     assert embedding_dups.near_vectors(empty).isEmpty()
     alone = spark.createDataFrame([(7, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in embedding_dups.near_vectors(alone).collect()] == [(7, 0, 7, True)]
+
+
+def skewed(spark, hot=1_500, pairs=200):
+    """A group of distinct vectors that are all linked, and pairs just above the threshold."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=32)
+    rows = [(i, (centre + 0.1 * rng.normal(size=32)).tolist()) for i in range(hot)]
+    for i in range(pairs):
+        a, b = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        rows.append((10_000 + 2 * i, a.tolist()))
+        rows.append((10_001 + 2 * i, (0.91 * a + (1 - 0.91**2) ** 0.5 * b).tolist()))
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>"), hot, pairs
+
+
+def test_all_links_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dups, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dups, "ROUNDS", 0)  # the buckets alone have to find them
+    table, hot, _ = skewed(spark)
+    got = embedding_dups.near_vectors(table).where(f"vec_id < {hot}").collect()
+    found = sum(r["n_links"] for r in got)
+    assert all(r["n_links"] < hot and r["component_id"] == 0 for r in got)
+    assert found >= 0.999 * hot * (hot - 1)
