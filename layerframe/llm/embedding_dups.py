@@ -275,8 +275,16 @@ def _totals(counted: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame
 
 
 def _audit(totals: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float) -> float:
-    """Share of the links of a bounded sample of nodes that were found."""
-    chosen = nodes.select("node", "v").orderBy(F.xxhash64("node", F.lit(1)), "node").limit(AUDITED).collect()
+    """Share of its links that a node has, on average over a bounded sample.
+
+    Nodes count alike, however many links they have; of hot nodes and of others
+    there is a sample each, and the lower average is returned.
+    """
+    held = nodes.select("node", "v").join(totals.select("node", "pairs"), "node", "left")
+    many = F.coalesce("pairs", F.lit(0)) > LEAF
+    chosen = []
+    for side in (many, ~many):
+        chosen += held.where(side).orderBy(F.xxhash64("node", F.lit(1)), "node").limit(AUDITED).collect()
     asked: dict[int, list] = {}
     for row in chosen:
         asked.setdefault(len(row["v"]), []).append((row["node"], bytes(row["v"])))
@@ -301,8 +309,10 @@ def _audit(totals: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float
 
     true = nodes.select("node", "v").mapInArrow(search, "node long, n long")
     true = true.groupBy("node").agg(F.sum("n").alias("n")).where("n > 0")
-    pairs, n = true.join(totals, "node", "left").agg(F.sum("pairs"), F.sum("n")).first()
-    return (pairs or 0) / n if n else 1.0
+    share = F.coalesce("pairs", F.lit(0)) / F.col("n")
+    hot = F.col("n") > LEAF
+    shares = true.join(totals, "node", "left").agg(F.avg(F.when(hot, share)), F.avg(F.when(~hot, share))).first()
+    return min((float(s) for s in shares if s is not None), default=1.0)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES) -> DataFrame:

@@ -80,3 +80,9 @@ def test_all_links_of_a_large_group(spark, monkeypatch):
     found = sum(r["n_links"] for r in got)
     assert all(r["n_links"] < hot and r["component_id"] == 0 for r in got)
     assert found >= 0.999 * hot * (hot - 1)
+
+
+def test_pairs_count_as_much_as_a_large_group(spark):
+    table, _, pairs = skewed(spark)
+    got = embedding_dups.near_vectors(table, tables=1).where("vec_id >= 10000").collect()
+    assert sum(r["n_links"] >= 1 for r in got) >= 0.95 * 2 * pairs
