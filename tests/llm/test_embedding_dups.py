@@ -86,3 +86,20 @@ def test_pairs_count_as_much_as_a_large_group(spark):
     table, _, pairs = skewed(spark)
     got = embedding_dups.near_vectors(table, tables=1).where("vec_id >= 10000").collect()
     assert sum(r["n_links"] >= 1 for r in got) >= 0.95 * 2 * pairs
+
+
+def test_no_row_and_no_table_holds_the_links_of_a_large_group(spark, monkeypatch):
+    seen = []
+    write = embedding_dups.written_table
+
+    def measured(df, path):
+        out = write(df, path)
+        sizes = [f"max(size({c}))" for c, t in out.dtypes if t.startswith("array") and c != "codes"]
+        seen.append(out.selectExpr("count(*)", *sizes).first())
+        return out
+
+    monkeypatch.setattr(embedding_dups, "written_table", measured)
+    table, hot, pairs = skewed(spark)
+    embedding_dups.near_vectors(table)
+    assert max(size or 0 for row in seen for size in row[1:]) <= embedding_dups.BLOCK
+    assert max(row[0] for row in seen) < hot * (hot - 1) / 4
