@@ -3,10 +3,11 @@
 Terms are words in lower case. The lexicon holds those within a band of inverse
 document frequency. Randomised lexicons are nested: each level keeps half of
 the terms of the one before, by hash, and each level is dealt into subsets.
-A text takes the level at which a few dozen of its words are left to be looked
-up, by its number of characters, and its fingerprint has for each subset a hash
+All words of a text are looked up. It takes the level at which about two dozen
+of its distinct terms in the lexicon are left, by their number, or the sparsest
+below that at which any are, and its fingerprint has for each subset a hash
 of the text's sorted distinct terms in it, and the same at the next level, so
-that texts of nearly the same length can be compared. A changed word spoils
+that texts of nearly as many terms can be compared. A changed word spoils
 only the subset it is in.
 """
 
@@ -23,8 +24,8 @@ from .common import small_side, text_or_empty
 LOWEST_IDF = 3.0
 HIGHEST_IDF = 6.9
 SUBSETS = 32
-LEVEL_SHIFT = 8
-"""Level 0 holds texts of up to 2 to this power (times 2) characters."""
+LEVEL_SHIFT = 4
+"""Level 0 holds texts of fewer than 2 to this power (times 2) distinct terms."""
 
 
 def words_of(text: Column) -> Column:
@@ -56,9 +57,14 @@ def lexicon(docs: DataFrame, lowest: float = LOWEST_IDF, highest: float = HIGHES
     return written_table(band.select("term"), new_shared_path(spark, "lexicon"))
 
 
-def level_of(n_chars: Column) -> Column:
-    """How often the lexicon is halved for a text of so many characters."""
-    return F.length(F.bin(F.shiftright(n_chars.cast("long"), LEVEL_SHIFT))).cast("int") - 1
+def level_of(terms: Column) -> Column:
+    """How often the lexicon is halved for a text of these distinct terms.
+
+    By their number, and never so often that none of them is left.
+    """
+    most = F.length(F.bin(F.shiftright(F.size(terms).cast("long"), LEVEL_SHIFT))).cast("int") - 1
+    left = F.filter(F.sequence(most, F.lit(0)), lambda level: F.exists(terms, lambda t: in_level(t, level)))
+    return F.coalesce(F.get(left, F.lit(0)), F.lit(0))
 
 
 def in_level(term: Column, level: Column) -> Column:
@@ -66,8 +72,8 @@ def in_level(term: Column, level: Column) -> Column:
 
 
 def fingerprint_of(terms: Column, level: Column) -> Column:
-    """The fingerprint of the distinct terms that a text has at its level."""
-    in_order = F.array_sort(terms)
+    """The fingerprint of a text of these distinct terms at its level."""
+    in_order = F.array_sort(F.filter(terms, lambda t: in_level(t, level)))
 
     def part(own: Column) -> Column:
         def subset(i: Column) -> Column:
@@ -85,7 +91,8 @@ def likeness(a: Column, b: Column) -> Column:
     """Share of equal subset hashes among those either text has, from 0 to 1.
 
     At levels that differ by one the sparser level's are compared, further apart
-    nothing is alike. Equal fingerprints are fully alike, empty ones too.
+    nothing is alike. Equal fingerprints are fully alike; empty ones are those of
+    texts without words.
     """
     own, other = F.split(a, r"\|"), F.split(b, r"\|")
     gap = own[0].cast("int") - other[0].cast("int")
@@ -115,18 +122,15 @@ def fingerprints(
     )
     sided = rows.select(*keys, *keep, F.explode(sides).alias("side"))
     sided = sided.select(*keys, *keep, "side.kind", "side.text")
-    sided = sided.withColumn("level", level_of(F.length("text")))
     # A null word comes first, so that texts without words keep their row.
-    words = F.concat(F.array(F.lit(None).cast("string")), words_of(F.col("text")))
+    words = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(words_of(F.col("text"))))
     first = F.col("word").isNull() & (F.col("kind") == 0)
-    looked = sided.select(*keys, *keep, "kind", "level", F.explode(words).alias("word")).select(
+    looked = sided.select(*keys, *keep, "kind", F.explode(words).alias("word")).select(
         *keys, *[F.when(first, F.col(c)).alias(c) for c in keep],
-        "kind", "level", F.when(F.col("word").isNotNull(), term_of(F.col("word"))).alias("term"),
+        "kind", F.when(F.col("word").isNotNull(), term_of(F.col("word"))).alias("term"),
         (F.col("word") == "").alias("blank"),
     )
-    looked = looked.where(
-        F.col("term").isNull() | (~F.col("blank") & in_level(F.col("term"), F.col("level")))
-    )
+    looked = looked.where(F.col("term").isNull() | ~F.col("blank")).drop("blank")
     known = small_side(terms.withColumn("known", F.lit(True)))
     looked = looked.join(known, "term", "left")
     sums = [F.max(c).alias(c) for c in keep]
@@ -135,16 +139,20 @@ def fingerprints(
         sums += [
             F.collect_set(F.when(own & F.col("known"), F.col("term"))).alias(f"{t}_terms"),
             F.collect_set(F.when(own & F.col("known").isNull(), F.col("term"))).alias(f"{t}_others"),
-            F.max(F.when(own, F.col("level"))).alias(f"{t}_level"),
         ]
     gathered = looked.groupBy(*keys).agg(*sums)
-    return gathered.select(
+    chosen = gathered.select(
+        *keys, *keep,
+        *[
+            F.when(F.size(f"{t}_terms") > 0, F.col(f"{t}_terms")).otherwise(F.col(f"{t}_others")).alias(f"{t}_terms")
+            for t in texts
+        ],
+    )
+    levelled = chosen.select("*", *[level_of(F.col(f"{t}_terms")).alias(f"{t}_level") for t in texts])
+    return levelled.select(
         *keys, *keep,
         *[
-            fingerprint_of(
-                F.when(F.size(f"{t}_terms") > 0, F.col(f"{t}_terms")).otherwise(F.col(f"{t}_others")),
-                F.col(f"{t}_level"),
-            ).alias(f"{t}_fingerprint")
+            fingerprint_of(F.col(f"{t}_terms"), F.col(f"{t}_level")).alias(f"{t}_fingerprint")
             for t in texts
         ],
     )

@@ -56,6 +56,18 @@ def test_edges(spark):
     assert op_is_native(out)
 
 
+def test_long_texts_of_few_distinct_words(spark):
+    rows = [(i, " ".join(f"w{i}x{j % 8}" for j in range(4_000))) for i in range(30)]
+    rows += [(100 + i, " ".join(f"w{i}x{j}" for j in range(8))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "key long, text string")
+    for terms in (imatch.lexicon(docs, lowest=0.0), imatch.lexicon(docs.limit(0))):
+        out = imatch.fingerprints(docs, ["key"], ["text"], terms)
+        prints = {r["key"]: r["text_fingerprint"] for r in out.collect()}
+        assert all(p.split("|")[1].strip(",") for p in prints.values())
+        assert len(set(prints.values())) == 30
+        assert all(prints[i] == prints[100 + i] for i in range(30))
+
+
 def op_is_native(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return not any(x in plan for x in ("Python", "Pandas", "Arrow"))
