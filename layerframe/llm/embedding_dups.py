@@ -356,7 +356,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
         found = written(_compared(members, nodes, kind, threshold, False), "found")
         own = found.where("pairs > 0").select("node", "pairs", "links", "root")
         counted = own if counted is None else counted.unionByName(own)
-        rows_of_links = [] if named is None else [_apart(named, nodes)]
+        rows_of_links = [_named(found) if named is None else _apart(named, nodes)]
         drawn = _neighbours(found)
         lists = written(_merged(drawn if lists is None else lists.unionByName(drawn)), "lists")
         for _ in range(ROUNDS):
