@@ -71,9 +71,17 @@ def in_level(term: Column, level: Column) -> Column:
     return term.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1) == 0
 
 
-def fingerprint_of(terms: Column, level: Column) -> Column:
-    """The fingerprint of a text of these distinct terms at its level."""
-    in_order = F.array_sort(F.filter(terms, lambda t: in_level(t, level)))
+def terms_at(terms: Column, level: Column) -> Column:
+    """The terms of a level in order."""
+    return F.array_sort(F.filter(terms, lambda t: in_level(t, level)))
+
+
+def fingerprint_of(level: Column, in_order: Column, sparser: Column) -> Column:
+    """The fingerprint of a text of these terms at its level and the next.
+
+    Both have to be columns of the rows: subsets are taken of them in a lambda,
+    where an expression is worked out anew each time.
+    """
 
     def part(own: Column) -> Column:
         def subset(i: Column) -> Column:
@@ -83,7 +91,6 @@ def fingerprint_of(terms: Column, level: Column) -> Column:
 
         return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), subset), ",")
 
-    sparser = F.filter(in_order, lambda t: in_level(t, level + 1))
     return F.concat_ws("|", level.cast("string"), part(in_order), part(sparser))
 
 
@@ -149,10 +156,14 @@ def fingerprints(
         ],
     )
     levelled = chosen.select("*", *[level_of(F.col(f"{t}_terms")).alias(f"{t}_level") for t in texts])
+    for step, name in enumerate(("dense", "sparse")):
+        levelled = levelled.withColumns(
+            {f"{t}_{name}": terms_at(F.col(f"{t}_terms"), F.col(f"{t}_level") + step) for t in texts}
+        )
     return levelled.select(
         *keys, *keep,
         *[
-            fingerprint_of(F.col(f"{t}_terms"), F.col(f"{t}_level")).alias(f"{t}_fingerprint")
+            fingerprint_of(*[F.col(f"{t}_{c}") for c in ("level", "dense", "sparse")]).alias(f"{t}_fingerprint")
             for t in texts
         ],
     )
