@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import (
     byte_bpe,
     chat_format,
+    corpus_queries,
     embedding_dups,
     imatch,
     mixing,
@@ -288,6 +289,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
+    **corpus_queries.QUERIES,
 }
 
 ORACLES = {
@@ -295,4 +297,5 @@ ORACLES = {
     "op2_embedding_dups": _OP2_SQL,
     "op8_mixing": _OP8_SQL,
     "op10_ngram_join": _OP10_SQL,
+    **corpus_queries.ORACLES,
 }
