@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerframe.operators.folders import linked_files, resolve_links, resolve_paths
 from layerframe.operators.keys import (
     Keys,
     key_list,
@@ -115,35 +116,35 @@ def capture(
     """Snapshot of ``targets`` holding contents instead of links.
 
     ``targets`` has (entity, item, path), ``links`` (src, dst) and ``content``
-    the path with its other columns, one row per file. Links are followed. A
-    target may be a file or a folder: of a folder every file below it is a row,
-    links in there followed to files or to folders, and ``inside`` is the path
-    below the target (empty for a file). Links inside a folder that was itself
-    reached by a link inside a folder are left out. Targets that are absent,
+    the path with its other columns, one row per file. Links are followed, on the
+    way to a target too. A target may be a file or a folder: of a folder every
+    file below it is a row, links in there and in the folders that they lead to
+    followed at any depth, and ``inside`` is the path below the target (empty
+    for a file). A link back to a folder that was entered on the way is not
+    followed again; :func:`linked_files` lists those. Targets that are absent,
     dangling or in a loop and folders without files are left out, and with
     ``items`` the gaps are filled from ``defaults`` for all ``entities`` (by
-    default those with a target). ``hops`` counts the links from the target and
-    is NULL for a filled row. Repeated targets and content paths are errors.
+    default those with a target). ``hops`` counts the links on the way to the
+    target, not those inside it, and is NULL for a filled row. Repeated targets
+    and content paths are errors.
     """
     entity = key_list(entity)
+    given_paths = targets.select(F.col(path).cast("string").alias("path"))
     targets = require_unique_counted(targets, [*entity, item], "targets")
     content = require_unique_counted(content, path, "content")
-    ends = dereference(links, max_hops=max_hops)
-    rows = targets.select(*entity, item, F.col(path).alias("src")).join(ends, "src", "left")
-    here = rows.where("status IS NULL OR status = 'resolved'").select(
-        *entity,
-        item,
-        F.coalesce("target", F.when(F.col("status").isNull(), F.col("src"))).alias("__folder"),
-        F.coalesce("hops", F.lit(0).cast("long")).alias("hops"),
+    ends = resolve_links(links, dereference(links), max_hops)
+    asked = targets.select(*entity, item, F.col(path).cast("string").alias("__path"))
+    led = resolve_paths(given_paths, links, ends, max_hops)
+    led = led.where("status = 'resolved'").select(
+        F.col("path").alias("__path"), F.col("target").alias("folder"), "hops"
     )
-    roots = here.select("__folder").distinct()
-    places = lookup_join(_places(content, ends, path), roots, "__folder", "left_semi")
+    root = new_shared_path(targets.sparkSession, "capture")
+    here = written_table(lookup_join(asked, led, "__path", "inner").drop("__path"), f"{root}/ends")
+    places = linked_files(here.select("folder").distinct(), ends, content, path)
+    places = places.where("status = 'file'").select("folder", "inside", F.col("path").alias(path))
     # The contents are wide and joined only once, for the result; what is
     # absent is worked out from the narrow rows written here.
-    here = written_table(
-        here.join(places, "__folder").drop("__folder"),
-        new_shared_path(targets.sparkSession, "capture"),
-    )
+    here = written_table(here.join(places, "folder").drop("folder"), f"{root}/files")
     copied = lookup_join(here, content, path, "inner").drop(path)
     given = entities is not None
     if not given:
@@ -158,43 +159,3 @@ def capture(
         held=here,
         check=given,
     )
-
-
-def _places(content: DataFrame, ends: DataFrame, path: str) -> DataFrame:
-    """(``__folder``, ``inside``, ``path``): each file below each folder above it.
-
-    The folders of a path are spelled out, so finding what is below a folder is
-    a join on equal values. A file counts as its own folder, with nothing inside.
-    """
-
-    def above(rows: DataFrame, shown: str) -> DataFrame:
-        depth = F.size(F.split(shown, "/"))
-        steps = F.explode(F.sequence(F.lit(1), depth)).alias("__n")
-        at = rows.select(F.col(shown).alias("__shown"), path, steps)
-        return at.select(
-            F.expr("substring_index(__shown, '/', __n)").alias("__folder"), "__shown", path
-        ).select(
-            "__folder",
-            F.expr("substring(__shown, length(__folder) + 2)").alias("inside"),
-            path,
-        )
-
-    files = above(content.select(path).where(F.col(path).isNotNull()), path)
-    # Files below the ends of links, under the links' own names.
-    led = ends.where("status = 'resolved'").select(
-        F.col("src").cast("string").alias("__src"), F.col("target").cast("string").alias("__folder")
-    )
-    through = led.join(files, "__folder").select(
-        F.concat_ws("/", "__src", F.when(F.col("inside") != "", F.col("inside"))).alias("__shown"),
-        path,
-        "__src",
-    )
-    # Only folders above the link: the link itself is a target's own affair.
-    linked = above(through.withColumnRenamed("__shown", "__name"), "__name")
-    names = through.select("__src").distinct().withColumnRenamed("__src", "__folder")
-    linked = linked.join(names, "__folder", "left_anti")
-    # A path that is a file has nothing below it, whatever its name begins.
-    plain = content.select(F.col(path).alias("__folder"))
-    linked = linked.join(plain, "__folder", "left_anti")
-    below = files.where("inside <> ''").join(plain, "__folder", "left_anti")
-    return files.where("inside = ''").unionByName(below).unionByName(linked).distinct()

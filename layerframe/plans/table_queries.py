@@ -735,6 +735,60 @@ def capture_document_folders(table: Tables) -> DataFrame:
     ).select("source", "item", "inside", "n_chars", "hops", "filled")
 
 
+@query("""
+    WITH inside AS (
+        SELECT n_regionkey AS region, n_nationkey AS nation, c_custkey::VARCHAR AS name, c_acctbal AS balance
+        FROM customer JOIN nation ON c_nationkey = n_nationkey
+        UNION ALL
+        SELECT n_regionkey, n_nationkey, 'suppliers/' || s_suppkey, s_acctbal
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    )
+    SELECT 'region' AS item, region::BIGINT AS key, 'members/' || nation || '/' || name AS inside, balance, 1 AS hops FROM inside
+    UNION ALL
+    SELECT 'nation', nation::BIGINT, name, balance, 2 FROM inside
+    UNION ALL
+    SELECT 'nation', n.n_nationkey::BIGINT, 'region/members/' || i.nation || '/' || i.name, i.balance, 2
+    FROM nation n JOIN inside i ON i.region = n.n_regionkey AND i.nation <> n.n_nationkey
+""")
+def capture_region_folders(table: Tables) -> DataFrame:
+    """Regions hold links to folders of nations, those to folders of suppliers and
+    back to the region; each nation is asked for through the link to its region."""
+    customer, nation, supplier = table("customer"), table("nation"), table("supplier")
+    region = table("region").select(F.col("r_regionkey").alias("n_regionkey"))
+
+    def path(*parts: str) -> Column:
+        return F.concat_ws("/", *[F.col(p[1:]) if p[0] == "$" else F.lit(p) for p in parts])
+
+    def pair(src: Column, dst: Column) -> Column:
+        return F.struct(src.alias("src"), dst.alias("dst"))
+
+    member = path("region", "$n_regionkey", "members", "$n_nationkey")
+    home = path("nation", "$n_nationkey")
+    of_nation = F.array(
+        pair(member, home),
+        pair(path("nation", "$n_nationkey", "region"), path("region", "$n_regionkey")),
+        pair(path("nation", "$n_nationkey", "suppliers"), path("supplier", "$n_nationkey")),
+    )
+    world = region.select(path("world", "$n_regionkey"), path("region", "$n_regionkey"))
+    links = nation.select(F.inline(of_nation)).union(world)
+    content = customer.select(
+        path("nation", "$c_nationkey", "$c_custkey").alias("path"), F.col("c_acctbal").alias("balance")
+    ).union(supplier.select(path("supplier", "$s_nationkey", "$s_suppkey"), "s_acctbal"))
+    targets = region.select(
+        F.lit("region").alias("item"),
+        F.col("n_regionkey").cast("long").alias("key"),
+        path("world", "$n_regionkey").alias("path"),
+    ).union(
+        nation.select(
+            F.lit("nation"),
+            F.col("n_nationkey").cast("long"),
+            path("world", "$n_regionkey", "members", "$n_nationkey"),
+        )
+    )
+    got = capture(targets, links, content, entity="key", item="item")
+    return got.select("item", "key", "inside", "balance", "hops")
+
+
 # --- profile workflows ------------------------------------------------------
 
 _ITEM_VALUES_SQL = ", ".join(f"('{i}', '{t}')" for i, t in fixed.ITEM_TARGETS.items())
