@@ -539,50 +539,60 @@ def load_document_tree(table: Tables) -> DataFrame:
     )
 
 
+def _host() -> Column:
+    return F.substring_index(F.substring_index("url", "://", -1), "/", 1)
+
+
 def _page_tree(table: Tables) -> str:
-    """The root of a tree with a folder for each page and a file in it."""
+    """The root of a tree with a folder for each host, with many pages in a file.
+
+    A page is its id, its text and a mark that ends it.
+    """
     pages = table("pages")
     root = new_shared_path(pages.sparkSession, "pages")
-    laid_out = pages.repartition("page_id").select(
-        F.substring_index(F.substring_index("url", "://", -1), "/", 1).alias("profile"),
-        F.col("page_id").alias("item"),
-        F.col("html").alias("text"),
-    )
+    # By range, so that a large host spreads over several files.
+    laid_out = pages.select(
+        _host().alias("profile"),
+        F.lit("pages").alias("item"),
+        F.concat(F.col("page_id").cast("string"), F.lit("\n"), "html", F.lit(_PAGE_END)).alias("text"),
+    ).repartitionByRange("profile", "text")
     save_new(laid_out, root, "text", partition_by=["profile", "item"])
     return root
 
 
+_PAGE_END = "\x1e"
+
+
 def _unlabelled(column: str) -> Column:
     return F.element_at(F.split(column, "="), -1)
 
 
 @query("""
-    SELECT page_id, sha256(html || chr(10)) AS content_sha256, strlen(html) + 1 AS n_bytes FROM pages
+    SELECT page_id, sha256(html) AS content_sha256, strlen(html) AS n_bytes FROM pages
 """)
 def load_page_contents(table: Tables) -> DataFrame:
-    """Write each page as a file, then read the contents back."""
+    """Write the pages of each host as files, then read them and take them apart."""
     root = _page_tree(table)
     loaded = load_items(table("pages").sparkSession, root, with_content=True)
-    return loaded.select(
-        _unlabelled("item").cast("long").alias("page_id"),
-        F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"),
-        "n_bytes",
+    pages = loaded.select(F.explode(F.split("content", f"{_PAGE_END}\n")).alias("page")).where("page <> ''")
+    html = F.substr("page", F.locate("\n", F.col("page")) + 1)
+    return pages.select(
+        F.substring_index("page", "\n", 1).cast("long").alias("page_id"),
+        F.sha2(html.cast("binary"), 256).alias("content_sha256"),
+        F.octet_length(html).cast("long").alias("n_bytes"),
     )
 
 
 @query("""
-    SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host, strlen(html) + 1 AS n_bytes FROM pages
+    SELECT regexp_extract(url, '://([^/]*)', 1) AS host, sum(strlen(html) + length(page_id::VARCHAR) + 3)::BIGINT AS n_bytes
+    FROM pages GROUP BY host
 """)
 def list_page_files(table: Tables) -> DataFrame:
-    """Write each page as a file, then list the tree from the tasks."""
+    """Write the pages of each host as files, then list the tree from the tasks."""
     root = _page_tree(table)
-    host = F.substring_index(F.substring_index("url", "://", -1), "/", 1)
-    folders = table("pages").select(F.concat(F.lit("profile="), host).alias("profile")).distinct()
-    return list_items(folders, root).where("NOT endswith(path, '.crc')").select(
-        _unlabelled("item").cast("long").alias("page_id"),
-        _unlabelled("profile").alias("host"),
-        "n_bytes",
-    )
+    folders = table("pages").select(F.concat(F.lit("profile="), _host()).alias("profile")).distinct()
+    files = list_items(folders, root).where("NOT endswith(path, '.crc')")
+    return files.groupBy(_unlabelled("profile").alias("host")).agg(F.sum("n_bytes").alias("n_bytes"))
 
 
 # --- snapshots --------------------------------------------------------------

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layerframe.sources.shared import new_shared_path, written_table
+
 
 def load_items(
     spark: SparkSession,
@@ -47,69 +50,90 @@ def load_items(
     return files.where(F.contains("inside", F.lit("/"))).select(*columns)
 
 
-def list_items(profiles: DataFrame, root: str) -> DataFrame:
+FOLDERS_A_TASK = 256
+"""Folders that a task lists one after the other, where there are many."""
+
+
+def list_items(profiles: DataFrame, root: str, with_content: bool = False) -> DataFrame:
     """Everything below the folders of ``profiles``, blanks included.
 
-    Same columns as :func:`load_items` without contents; an empty item folder
-    is a row with a NULL ``path``, a profile without a folder gives none. The
-    tasks do the listing, first of the profiles, then of every item folder on
-    its own, so a large profile is spread. ``root`` must be a path or URI that
-    Arrow can open on every executor.
+    Same columns as :func:`load_items`; an empty item folder is a row with a
+    NULL ``path``, a profile without a folder gives none. ``root`` must be a path
+    or URI that Arrow can open on every executor.
+
+    Folders are rows: each round lists those that the one before has found, dealt
+    out anew, so that however they are nested all tasks have some. There are as
+    many rounds as levels of folders. What a round found is written to the
+    shared folder, so a lost executor costs no earlier round, and no name passes
+    through the driver. ``with_content`` adds the UTF-8 text, read by the tasks
+    from the files of the last listing.
     """
 
     # Hadoop's spellings of schemes, in the form Arrow knows.
     uri = re.sub("^s3[an]://", "s3://", re.sub("^file:/+", "file:///", root))
 
-    names = ["profile", "item", "path", "n_bytes"]
-
-    def list_profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(uri)
         for batch in batches:
-            for profile in batch["profile"]:
+            for profile, folder in zip(batch["profile"], batch["folder"]):
+                place = f"{base}/{profile}/{folder}" if folder else f"{base}/{profile}"
+                inside = f"{folder}/" if folder else ""
+                selector = fs.FileSelector(place, allow_not_found=True)
                 yield pd.DataFrame(
                     [
-                        (profile, entry.base_name, entry.type == fs.FileType.Directory, entry.size)
-                        for entry in _children(store, f"{base}/{profile}")
+                        (profile, f"{inside}{e.base_name}", e.type == fs.FileType.Directory, e.size)
+                        for e in store.get_file_info(selector)
                     ],
-                    columns=["profile", "item", "is_folder", "n_bytes"],
+                    columns=["profile", "path", "is_folder", "n_bytes"],
                 )
 
-    def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = fs.FileSystem.from_uri(uri)
-        for batch in batches:
-            files = batch[~batch["is_folder"]]
-            yield files.assign(path=files["item"])[names]
-            folders = batch[batch["is_folder"]]
-            for profile, item in zip(folders["profile"], folders["item"]):
-                for found in _walk(store, f"{base}/{profile}", item):
-                    yield found.assign(profile=profile, item=item)[names]
-
-    items = profiles.select("profile").mapInPandas(
-        list_profiles, "profile string, item string, is_folder boolean, n_bytes long"
+    spark = profiles.sparkSession
+    root_of_rounds = new_shared_path(spark, "listing")
+    listing = "profile string, path string, is_folder boolean, n_bytes long"
+    found: list[DataFrame] = []
+    folders = written_table(
+        profiles.select(F.col("profile").cast("string"), F.lit("").alias("folder")), f"{root_of_rounds}/0"
     )
-    # One chain, so that every folder is listed once: files pass the second step.
-    return items.repartition("profile", "item").mapInPandas(
-        list_folders, "profile string, item string, path string, n_bytes long"
+    while (n := folders.count()) or not found:
+        dealt = folders.repartition(_tasks(spark, n))
+        found.append(written_table(dealt.mapInPandas(list_folders, listing), f"{root_of_rounds}/{len(found) + 1}"))
+        folders = found[-1].where("is_folder").select("profile", F.col("path").alias("folder"))
+    everything = reduce(DataFrame.unionByName, found)
+    files = everything.where("NOT is_folder").select(
+        "profile", F.substring_index("path", "/", 1).alias("item"), "path", "n_bytes"
     )
+    # A folder right below a profile is an item.
+    items = everything.where("is_folder AND NOT contains(path, '/')").select("profile", F.col("path").alias("item"))
+    empty = items.join(files.select("profile", "item").distinct(), ["profile", "item"], "left_anti")
+    blank = [F.lit(None).cast("string").alias("path"), F.lit(0).cast("long").alias("n_bytes")]
+    listed = files.unionByName(empty.select("profile", "item", *blank))
+    return _with_texts(listed, uri) if with_content else listed
 
 
-def _children(store: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
-    return store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+def _tasks(spark: SparkSession, folders: int) -> int:
+    """So many tasks that none lists very many folders, and all cores have some."""
+    few = min(folders, spark.sparkContext.defaultParallelism)
+    return max(1, few, -(-folders // FOLDERS_A_TASK))
 
 
-def _walk(store: fs.FileSystem, profile: str, item: str) -> Iterator[pd.DataFrame]:
-    # One folder at a time, so memory is bounded by the largest single folder.
-    folders, empty = [item], True
-    while folders:
-        folder = folders.pop()
-        entries = _children(store, f"{profile}/{folder}")
-        folders += [f"{folder}/{e.base_name}" for e in entries if e.type == fs.FileType.Directory]
-        files = [(f"{folder}/{e.base_name}", e.size) for e in entries if e.type == fs.FileType.File]
-        if files:
-            empty = False
-            yield pd.DataFrame(files, columns=["path", "n_bytes"])
-    if empty:
-        yield pd.DataFrame({"path": [None], "n_bytes": [0]})
+def _with_texts(listed: DataFrame, uri: str) -> DataFrame:
+    """``listed`` with the text of each file, NULL where there is no path."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            # A file at a time, so that a batch of large ones is never held at once.
+            for i in range(len(batch)):
+                row = batch.iloc[i : i + 1]
+                profile, path = row["profile"].iloc[0], row["path"].iloc[0]
+                text = None
+                if path is not None:
+                    with store.open_input_stream(f"{base}/{profile}/{path}") as stream:
+                        text = stream.read().decode("utf-8", "replace")
+                yield row.assign(content=[text])
+
+    dealt = listed.repartition("profile", "item", "path")
+    return dealt.mapInPandas(read, "profile string, item string, path string, n_bytes long, content string")
 
 
 def _qualified(spark: SparkSession, root: str) -> str:

@@ -1,8 +1,22 @@
-"""Exclusive creation of files and of tables laid out by key."""
+"""Exclusive creation of files and of tables laid out by key.
+
+A writer first makes a claim, a file that only one can create. It writes to a
+folder that no listing shows and gives it its name when all is there, so of
+several writers one wins and no reader meets a part of a result. Claims and
+folders of failed writes are removed; those of a driver that died stay, and the
+error that the next writer gets names the claim to delete.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import Any
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 from layerframe.operators.keys import Keys, key_list
 
@@ -13,25 +27,84 @@ def save_new(
     file_format: str = "parquet",
     partition_by: list[str] | None = None,
 ) -> None:
-    """Write ``df`` to ``path``; an error if there is anything already."""
-    writer = df.write.format(file_format).mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    """Write ``df`` to ``path``; an error if there is anything already.
+
+    Of several writers at once one wins, the others get the same error. The path
+    has all files from the moment it exists, on file systems that rename
+    folders in one step; on others its ``_SUCCESS`` file comes last.
+    """
+    spark = df.sparkSession
+    system, target = located(spark, path)
+    with claimed(spark, path):
+        if system.exists(target):
+            raise AnalysisException(f"{path} already exists")
+        name = f".{target.getName()}.writing-{uuid.uuid4().hex}"
+        staged = _beside(spark, target, name)
+        writer = df.write.format(file_format).mode("errorifexists")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        try:
+            writer.save(staged.toString())
+            if not system.rename(staged, target):
+                raise AnalysisException(f"{path} could not be named")
+        finally:
+            system.delete(staged, True)
 
 
 def save_new_table(df: DataFrame, name: str, keys: Keys, buckets: int) -> None:
     """Save ``df`` as a table bucketed and sorted by ``keys``; an error if it exists.
 
     Tables with the same keys and number of buckets are paired without any
-    shuffle, which pays for a base that is overlaid again and again.
+    shuffle, which pays for a base that is overlaid again and again. Of several
+    writers at once one wins. The catalog knows the table when it is written.
     """
     keys = key_list(keys)
-    (
-        # one task per bucket, so one file per bucket
-        df.repartition(buckets, *keys)
-        .write.mode("errorifexists")
-        .bucketBy(buckets, *keys)
-        .sortBy(*keys)
-        .saveAsTable(name)
-    )
+    spark = df.sparkSession
+    with claimed(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}"):
+        (
+            # one task per bucket, so one file per bucket
+            df.repartition(buckets, *keys)
+            .write.mode("errorifexists")
+            .bucketBy(buckets, *keys)
+            .sortBy(*keys)
+            .saveAsTable(name)
+        )
+
+
+@contextmanager
+def claimed(spark: SparkSession, path: str) -> Iterator[None]:
+    """While this lasts nobody else can claim ``path``; an error if somebody has."""
+    system, target = located(spark, path)
+    claim = _beside(spark, target, f".{target.getName()}.claim")
+    system.mkdirs(claim.getParent())
+    if not _create(spark, system, claim):
+        raise AnalysisException(f"{path} already exists or is being written, as {claim} claims")
+    try:
+        yield
+    finally:
+        system.delete(claim, False)
+
+
+def located(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The Hadoop file system of a path and the path in full."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, system.makeQualified(at)
+
+
+def _beside(spark: SparkSession, target: Any, name: str) -> Any:
+    return spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), name)
+
+
+def _create(spark: SparkSession, system: Any, file: Any) -> bool:
+    """Make an empty file; False if there is one. One step, whoever else tries."""
+    if file.toUri().getScheme() == "file":
+        # Hadoop's own local file system looks first and creates then.
+        return spark._jvm.java.io.File(file.toUri().getPath()).createNewFile()
+    try:
+        system.create(file, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True

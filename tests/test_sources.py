@@ -161,3 +161,71 @@ def test_missing_files_are_an_error(spark, tmp_path):
     lost.mkdir()
     with pytest.raises(Exception, match="INFER_SCHEMA|infer"):
         spark.read.parquet(str(lost))
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    for attempt in range(3):
+        path = str(tmp_path / f"made-{attempt}")
+
+        def write(n):
+            try:
+                save_new(spark.range(n).repartition(4), path)
+            except AnalysisException as error:
+                assert "already exists" in str(error)
+                return None
+            return n
+
+        with ThreadPoolExecutor(4) as pool:
+            won = [n for n in pool.map(write, [10, 20, 30, 40]) if n]
+        assert len(won) == 1 and spark.read.parquet(path).count() == won[0]
+    left = {p.name for p in tmp_path.iterdir()}
+    assert left == {"made-0", "made-1", "made-2"}
+
+
+def test_readers_never_see_a_part(spark, tmp_path):
+    import threading
+
+    path = tmp_path / "slow"
+    writer = threading.Thread(target=save_new, args=(spark.range(0, 40, 1, 40), str(path)))
+    writer.start()
+    while not path.exists():
+        pass
+    assert spark.read.parquet(str(path)).count() == 40
+    writer.join()
+
+
+def test_failed_and_abandoned_writes(spark, tmp_path):
+    path = tmp_path / "made"
+    with pytest.raises(Exception, match="no luck"):
+        save_new(spark.range(3).selectExpr("raise_error('no luck') AS x"), str(path))
+    assert list(tmp_path.iterdir()) == []
+    (tmp_path / ".made.claim").touch()
+    with pytest.raises(AnalysisException, match=r"\.made\.claim"):
+        save_new(spark.range(3), str(path))
+    (tmp_path / ".made.claim").unlink()
+    save_new(spark.range(3), str(path))
+    assert spark.read.parquet(str(path)).count() == 3
+
+
+def test_folders_are_dealt_out_in_each_round(spark, tmp_path, monkeypatch):
+    from layerframe.sources import corpus
+
+    hot = tmp_path / "one" / "skills"
+    for i in range(60):
+        (hot / f"s{i}" / "deep").mkdir(parents=True)
+        (hot / f"s{i}" / "deep" / "file.md").write_text(f"text {i}")
+    (tmp_path / "one" / "hooks" / "none").mkdir(parents=True)
+    monkeypatch.setattr(corpus, "FOLDERS_A_TASK", 10)
+    assert corpus._tasks(spark, 60) == 6 and corpus._tasks(spark, 1) == 1
+    names = spark.createDataFrame([("one",)], "profile string")
+    got = list_items(names, str(tmp_path), with_content=True).collect()
+    assert {(r.item, r.path, r.content) for r in got} == {
+        *(("skills", f"skills/s{i}/deep/file.md", f"text {i}") for i in range(60)),
+        ("hooks", None, None),
+    }
+    # The folders of a round end up in the files of several tasks.
+    latest = max(Path(shared_dir(spark)).glob("layerframe-listing-*"), key=lambda p: p.stat().st_mtime)
+    with_rows = [p for p in (latest / "4").glob("*.parquet") if spark.read.parquet(str(p)).count()]
+    assert len(with_rows) >= 4
