@@ -12,6 +12,7 @@ from layerframe.functions.documents import (
 )
 from layerframe.functions.maps import overlay_maps
 from layerframe.functions.refs import normalize_ref, owned_by_prefix, strip_prefix
+from layerframe.operators.folders import linked_files, resolve_links, resolve_paths
 from layerframe.operators.inventory import inventory, inventory_counts, json_keys
 from layerframe.operators.keys import pair_rows, repeated_keys, require_known, require_unique
 from layerframe.operators.lookup import (
@@ -19,6 +20,7 @@ from layerframe.operators.lookup import (
     exists_guard,
     lookup_join,
     mark_active,
+    owner_of,
     tag_known,
 )
 from layerframe.operators.managed import (
@@ -32,17 +34,27 @@ from layerframe.operators.snapshot import capture, dereference
 from layerframe.operators.state import active_state
 from layerframe.sources.corpus import list_items, load_items
 from layerframe.sources.sinks import save_new, save_new_table
+from layerframe.sources.states import (
+    apply_to_state,
+    create_state,
+    read_state,
+    remove_from_state,
+    state_version,
+)
 
 __all__ = [
     "active_state",
     "alias_lookup",
+    "apply_to_state",
     "capture",
+    "create_state",
     "dereference",
     "exists_guard",
     "fill_defaults",
     "inventory",
     "inventory_counts",
     "json_keys",
+    "linked_files",
     "list_items",
     "load_items",
     "lookup_join",
@@ -55,14 +67,20 @@ __all__ = [
     "overlay_maps",
     "overlay_rows",
     "owned_by_prefix",
+    "owner_of",
     "pair_rows",
+    "read_state",
     "removable",
+    "remove_from_state",
     "render_doc",
     "repeated_keys",
     "require_known",
     "require_unique",
+    "resolve_links",
+    "resolve_paths",
     "save_new",
     "save_new_table",
+    "state_version",
     "strip_prefix",
     "switch_owner",
     "tag_known",

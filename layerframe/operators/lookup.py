@@ -76,6 +76,34 @@ def mark_active(
     return joined.select(*names.columns, is_active.alias(flag))
 
 
+def owner_of(
+    rows: DataFrame, roots: DataFrame, on: str, root: str = "root", owner: str = "owner"
+) -> DataFrame:
+    """``rows`` with ``owner``: that of the longest of ``roots`` above the path ``on``.
+
+    ``roots`` has (root, owner), each root once and without regard to a ``/`` at its
+    end; a path is below a root if the root and a ``/`` begin it, so the root itself
+    is not. Old and new roots may stand side by side, and one inside another
+    takes what is below it. NULL where there is none.
+
+    The folders above each distinct path are spelled out and looked up, so the
+    join is one on equal values. A column ``owner`` of ``rows`` is replaced.
+    """
+    named = roots.select(F.rtrim(F.col(root), F.lit("/")).alias("__root"), F.col(owner).alias("__owner"))
+    named = require_unique(named, "__root", "roots")
+    paths = rows.select(F.col(on).alias("__path")).where("__path IS NOT NULL").distinct()
+    parts = F.split("__path", "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    )
+    above = F.when(F.size(parts) > 1, above)
+    found = lookup_join(paths.select("__path", F.explode(above).alias("__root")), named, "__root", "inner")
+    best = found.groupBy("__path").agg(F.max_by("__owner", F.length("__root")).alias(owner))
+    best = best.withColumnRenamed("__path", on)
+    kept = [c for c in rows.columns if c != owner]
+    return lookup_join(rows.select(*kept), best, on, "left").select(*kept, owner)
+
+
 def tag_known(
     df: DataFrame, registry: DataFrame, on: Keys, flag: str = "known", salts: int = 1
 ) -> DataFrame:

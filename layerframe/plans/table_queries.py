@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from layerframe import (
     active_state,
     alias_lookup,
+    apply_to_state,
     capture,
+    create_state,
     dereference,
     exists_guard,
     fill_defaults,
@@ -28,7 +30,10 @@ from layerframe import (
     overlay_json,
     overlay_maps,
     overlay_rows,
+    owner_of,
+    read_state,
     removable,
+    remove_from_state,
     render_doc,
     save_new,
     switch_owner,
@@ -799,6 +804,55 @@ def capture_region_folders(table: Tables) -> DataFrame:
     return got.select("item", "key", "inside", "balance", "hops")
 
 
+@query("""
+    SELECT coalesce(c_custkey, s_suppkey) AS custkey,
+           CASE WHEN c_custkey IS NULL OR (s_suppkey IS NOT NULL AND c_mktsegment = 'BUILDING')
+                THEN 'supplier' ELSE c_mktsegment END AS owner,
+           CASE WHEN c_custkey IS NULL OR (s_suppkey IS NOT NULL AND c_mktsegment = 'BUILDING')
+                THEN s_acctbal ELSE c_acctbal END AS balance
+    FROM customer FULL JOIN supplier ON c_custkey = s_suppkey
+    WHERE NOT (coalesce(c_custkey, s_suppkey) IN (SELECT n_nationkey FROM nation)
+               AND (c_custkey IS NULL OR (s_suppkey IS NOT NULL AND c_mktsegment = 'BUILDING')))
+""")
+def change_customer_state(table: Tables) -> DataFrame:
+    """Keep the customers as a state in buckets, write the suppliers over it, remove
+    what is theirs of the keys of nations, and read the state."""
+    customer = table("customer").select(
+        F.col("c_custkey").alias("custkey"),
+        F.col("c_mktsegment").alias("owner"),
+        F.col("c_acctbal").alias("balance"),
+    )
+    incoming = table("supplier").select(
+        F.col("s_suppkey").alias("custkey"), F.lit("supplier").alias("owner"), F.col("s_acctbal").alias("balance")
+    )
+    scope = table("nation").select(F.col("n_nationkey").cast("long").alias("custkey"))
+    spark = customer.sparkSession
+    root = new_shared_path(spark, "state")
+    create_state(customer, root, "custkey", 16)
+    apply_to_state(spark, root, incoming, "custkey", F.col("owner") == "BUILDING")
+    remove_from_state(spark, root, scope, "custkey", F.col("owner") == "supplier")
+    return read_state(spark, root)
+
+
+@query("""
+    SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]+/.+') THEN
+               CASE WHEN url LIKE 'https:%' THEN 'new ' ELSE 'old ' END || split_part(url, '/', 3) END AS owner
+    FROM pages
+""")
+def own_pages_by_root(table: Tables) -> DataFrame:
+    """Pages belong to the host they are below, by its old or new root."""
+    pages = table("pages").select("page_id", "url")
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+
+    def roots(scheme: str, name: str) -> DataFrame:
+        return pages.select(
+            F.concat(F.lit(f"{scheme}://"), host).alias("root"), F.concat(F.lit(f"{name} "), host).alias("owner")
+        ).distinct()
+
+    both = roots("http", "old").union(roots("https", "new"))
+    return owner_of(pages, both, "url").select("page_id", "owner")
+
+
 # --- profile workflows ------------------------------------------------------
 
 _ITEM_VALUES_SQL = ", ".join(f"('{i}', '{t}')" for i, t in fixed.ITEM_TARGETS.items())
