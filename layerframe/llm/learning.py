@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -11,8 +11,8 @@ from .common import text_or_empty
 MOST_ROWS = 6_000
 """Bound of a training sample: so many labelled rows are fitted on."""
 
-MOST_CHARS = 20_000
-"""Longer texts are left out of training samples (never out of scoring)."""
+MOST_CHARS = 60_000_000
+"""Bound of a training sample: so many characters its texts have together."""
 
 
 def fold(doc_id: Column | str, folds: int = 4) -> Column:
@@ -23,25 +23,35 @@ def fold(doc_id: Column | str, folds: int = 4) -> Column:
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: Column, most: int = MOST_ROWS, held_out: int | None = 2
-) -> tuple[list[str], np.ndarray, list[str]]:
-    """Texts, labels and languages of at most ``most`` labelled rows.
+) -> tuple[list[str], np.ndarray, list[int]]:
+    """Texts, labels and ids of at most ``most`` labelled rows.
 
     The rows are those whose ids have the smallest hashes, without the fold
-    ``held_out``; of several labels of an id the largest counts, null ones are
-    left out. The choice is made on the ids, and only texts of chosen rows are read.
+    ``held_out``, as far as their texts have ``MOST_CHARS`` characters together.
+    Where ids repeat, the choice goes on by the text, so it is the same each time.
+    Only texts of chosen ids are read.
+    """
+    known = known_labels(labels, label, held_out)
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select("doc_id", text_or_empty("text").alias("__text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "__text", "__label")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.md5(F.col("__text").cast("binary"))]
+    # Of at most so many rows, so one task is enough.
+    upto = F.sum(F.length("__text")).over(Window.orderBy(*order))
+    rows = rows.orderBy(*order).limit(most).withColumn("__upto", upto).where(F.col("__upto") <= MOST_CHARS)
+    rows = sorted(rows.select("doc_id", "__text", "__label").collect())
+    return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64), [r[0] for r in rows]
+
+
+def known_labels(labels: DataFrame, label: Column, held_out: int | None = 2) -> DataFrame:
+    """(doc_id, __label) of all labelled ids outside the fold ``held_out``.
+
+    Of several labels of an id the largest counts, null ones are left out.
     """
     known = labels.select("doc_id", label.cast("int").alias("__label")).dropna()
     if held_out is not None:
         known = known.where(fold("doc_id") != held_out)
-    known = known.groupBy("doc_id").agg(F.max("__label").alias("__label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    texts = docs.select("doc_id", text_or_empty("text").alias("__text"), lang.alias("__lang")).where(
-        F.length("__text") <= MOST_CHARS
-    )
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "__text", "__lang", "__label")
-    rows = sorted(rows.limit(2 * most).collect(), key=lambda r: (r[0], r[1], str(r[2])))
-    return [r[1] for r in rows], np.array([r[3] for r in rows], np.int64), [r[2] for r in rows]
+    return known.groupBy("doc_id").agg(F.max("__label").alias("__label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -26,6 +26,7 @@ from .common import mix64, shingle_hashes, small_side, sorted_groups
 from .components import components
 
 THRESHOLD = 0.8
+LEAST_THRESHOLD = 0.75
 SHINGLE = 5
 BANDS = 40
 BAND_ROWS = 5
@@ -85,11 +86,19 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _row_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _mark() -> Column:
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """Ids, with a last one for null, and texts in lower case."""
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
-        F.lower(F.col("text").cast("string")).alias("text"),
+        _row_id().alias("id"), F.lower(F.col("text").cast("string")).alias("text"), _mark().alias("mark")
     )
 
 
@@ -112,16 +121,17 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("mark"),
                     pa.array(nodes, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(sketches, pa.binary()),
                 ],
-                ["id", "node", "size", "bands", "sketch"],
+                ["id", "mark", "node", "size", "bands", "sketch"],
             )
 
     return _texts(docs).mapInArrow(
-        sign, "id long, node long, size long, bands array<long>, sketch binary"
+        sign, "id long, mark binary, node long, size long, bands array<long>, sketch binary"
     )
 
 
@@ -186,7 +196,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     ``docs`` has doc_id and text; other columns are left out. Two documents are
     linked if the Jaccard similarity of their sets of ``size``-word shingles (lower
     case; words end at ASCII white space; a shorter text is one shingle) is at
-    least ``threshold``. Returned are doc_id, ``class_id`` (the smallest id
+    least ``threshold``, which has to be ``LEAST_THRESHOLD`` or more: below it the
+    bands would miss more than one pair in 10,000. Returned are doc_id, ``class_id`` (the smallest id
     with the same set), ``n_links`` (other documents linked), ``component_id``
     (the smallest id that links lead to) and ``kept`` (whether that is the
     document's own). Null, empty and blank texts link with nothing and are
@@ -194,8 +205,59 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     with different texts are told apart by their texts. A null id comes after all
     others; a group without any other id has null ids. The table may be empty.
     """
-    if not 0.5 <= threshold <= 1:
-        raise ValueError("the bands are made for thresholds from 0.5 to 1")
+    rows = _joined(docs, threshold, size)
+    alone = F.col("node").isNull()
+
+    def shown(value: Column) -> Column:
+        return F.when(value != NO_ID, value)
+
+    return rows.select(
+        shown(F.col("id")).alias("doc_id"),
+        shown(F.when(alone, F.col("id")).otherwise(F.col("class_id"))).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        shown(F.when(alone, F.col("id")).otherwise(F.col("component_id"))).alias("component_id"),
+        (alone | (F.col("id") == F.col("component_id"))).alias("kept"),
+    )
+
+
+def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` of which none stands for another: one of each group stays.
+
+    Groups are those of :func:`jaccard_join`, and rows are told apart by id and text.
+    The one of the smallest id stays (a null id comes last), and of several of that
+    id the one whose text has the smallest digest; of rows that repeat both, one.
+    Null, empty and blank texts stay. All columns are returned.
+    """
+    spark = docs.sparkSession
+    rows = _joined(docs, threshold, size).where("node IS NOT NULL").select(
+        "id", "mark", F.coalesce("component", "node").alias("group")
+    )
+    counted = rows.groupBy("group", "id", "mark").agg(F.count("*").alias("n"))
+    counted = written_table(counted, new_shared_path(spark, "members"))
+    first = counted.groupBy("group").agg(F.min(F.struct("id", "mark")).alias("first"))
+    first = first.select(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"))
+    dropped = counted.select("id", "mark").join(first, ["id", "mark"], "left_anti")
+    dropped = written_table(dropped, new_shared_path(spark, "dropped"))
+    again = counted.where("n > 1").select("id", "mark").join(first, ["id", "mark"], "left_semi")
+    again = written_table(again, new_shared_path(spark, "again"))
+    key = {"__id": _row_id(), "__mark": _mark()}
+
+    def named(keys: DataFrame) -> DataFrame:
+        return small_side(keys.toDF("__id", "__mark"))
+
+    left = docs.withColumns(key).join(named(dropped), ["__id", "__mark"], "left_anti")
+    once = left.join(named(again), ["__id", "__mark"], "left_anti")
+    repeated = left.join(named(again), ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
+    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _joined(docs: DataFrame, threshold: float, size: int) -> DataFrame:
+    """id, mark, node, class_id, n_links, component and component_id of every row.
+
+    A component of several nodes is named by one of them, else it is null.
+    """
+    if not LEAST_THRESHOLD <= threshold <= 1:
+        raise ValueError(f"the bands are made for thresholds from {LEAST_THRESHOLD} to 1")
     spark = docs.sparkSession
 
     def written(df: DataFrame, label: str) -> DataFrame:
@@ -302,25 +364,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     groups = components(checked.select("a", "b")).join(classes.select("node", "class_id"), "node")
     groups = groups.select("node", "component").join(
         groups.groupBy("component").agg(F.min("class_id").alias("component_id")), "component"
-    )
+    ).select("node", "component", "component_id")
     results = (
         classes.join(linked, "node", "left")
-        .join(groups.drop("component"), "node", "left")
+        .join(groups, "node", "left")
         .select(
-            "node", "class_id",
+            "node", "class_id", "component",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("component_id", "class_id").alias("component_id"),
         )
     )
-    alone = F.col("node").isNull()
-
-    def shown(value) -> Column:
-        return F.when(value != NO_ID, value)
-
-    return signed.select("id", "node").join(results, "node", "left").select(
-        shown(F.col("id")).alias("doc_id"),
-        shown(F.when(alone, F.col("id")).otherwise(F.col("class_id"))).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        shown(F.when(alone, F.col("id")).otherwise(F.col("component_id"))).alias("component_id"),
-        (alone | (F.col("id") == F.col("component_id"))).alias("kept"),
-    )
+    return signed.select("id", "mark", "node").join(results, "node", "left")

@@ -13,6 +13,7 @@ tries again, until all surrogates are distinct.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,45 +24,67 @@ from ..sources.shared import new_shared_path, written_table
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _MALE = "Mr|Mister|Herr|Monsieur|Señor|Sr|Signor|г-н|господин"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|г-жа|госпожа"
-_GIVEN = r"\p{Lu}\p{Ll}+"
+_EITHER = "Dr|Prof|Doctor|Professor|Professeur|Doktor|Docteur|Доктор|Профессор"
+_LETTER = r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]"
+_GIVEN = rf"(?=\p{{Lu}}){_LETTER}(?:{_LETTER}+|(?=['’]))(?:['’-]{_LETTER}+)*"
+_SETTING = "password|passwd|pwd|secret|token|api[_-]?key"
+_HEX = "[0-9A-Fa-f]{1,4}"
 
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
-    r"(?=[A-Za-z+/_-]{0,200}\d)[A-Za-z0-9+/_-]{8,}",
+    "email": r"(?<![\w\p{L}.%+-])[\w\p{L}.%+-]++@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.\p{L}{2,24}(?![\p{L}0-9-])",
+    "secret": rf"(?<![A-Za-z])(?i:(?:{_SETTING})\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[a-z+/_-]{{0,200}}\d)"
+    r"|(?:password|passwd|pwd)\s{0,3}=\s{0,3}[\"']?)[A-Za-z0-9+/_-]{8,}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:.])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)"
-    r"|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
+    r"|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
+    r"|(?<![\d+])\+\d{8,15}(?!\d)|(?<![\d.-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\d-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{13,19}|(?:\d{4}-){3}\d{1,7}|(?:\d{4} ){3}\d{1,7})(?!\d)",
     "male": rf"(?<!\p{{L}})(?=[MHSг])(?:{_MALE})\.? {_GIVEN}(?: {_GIVEN})?",
     "female": rf"(?<!\p{{L}})(?=[MFSг])(?:{_FEMALE})\.? {_GIVEN}(?: {_GIVEN})?",
+    "either": rf"(?<!\p{{L}})(?=[DPДП])(?:{_EITHER})\.? {_GIVEN}(?: {_GIVEN})?",
 }
-"""What a mention of each type looks like; earlier types win."""
+"""What a mention of each type looks like; earlier types win.
+
+Names are those after a title, in Latin, Greek or Cyrillic letters; ``either`` has
+the titles that go with both genders.
+"""
 
 NUMBERS = ("phone", "ssn", "card")
+NAMES = ("male", "female", "either")
 
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_MAYBE = rf"[@0-9]|(?=[MHFSг])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"
+_MAYBE = (
+    rf"[@0-9]|(?=[MHFSDPгДП])(?:{_MALE}|{_FEMALE}|{_EITHER})\.? \p{{Lu}}"
+    r"|(?=[Pp])(?i:password|passwd|pwd)\s{0,3}=|::"
+)
 """Few texts pass this, and only those are searched with all patterns."""
 _LEAD = {
     "secret": r"^([A-Za-z_-]+\s{0,3}[=:]\s{0,3}[\"']?)",
     "key": r"^(AKIA)",
     "male": rf"^((?:{_MALE})\.? )",
     "female": rf"^((?:{_FEMALE})\.? )",
+    "either": rf"^((?:{_EITHER})\.? )",
 }
 
+_SCRIPTS = {"latin": r"\p{IsLatin}", "greek": r"\p{IsGreek}", "cyrillic": r"\p{IsCyrillic}"}
+
 # Given names by gender and script, and syllables of family names.
 _NAMES = {
-    ("male", True): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Nils Oscar Paul".split(),
-    ("female", True): "Anna Bella Clara Diana Emma Flora Greta Helena Ida Julia Laura Maria Nora Olga Paula Rosa".split(),
-    ("male", False): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Леонид Марк Никита Олег Павел Роман Степан Юрий".split(),
-    ("female", False): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Лидия Мария Нина Ольга Полина Раиса София Юлия".split(),
+    ("male", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Nils Oscar Paul".split(),
+    ("female", "latin"): "Anna Bella Clara Diana Emma Flora Greta Helena Ida Julia Laura Maria Nora Olga Paula Rosa".split(),
+    ("male", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Леонид Марк Никита Олег Павел Роман Степан Юрий".split(),
+    ("male", "greek"): "Άγγελος Βασίλης Γιάννης Δημήτρης Ηλίας Θωμάς Κώστας Λουκάς Μάρκος Νίκος Πέτρος Σπύρος Στέφανος Φώτης Χάρης Ορέστης".split(),
+    ("female", "greek"): "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Ηλέκτρα Θεοδώρα Ιωάννα Κατερίνα Μαρία Νίκη Ουρανία Σοφία Φωτεινή Χριστίνα".split(),
+    ("female", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Лидия Мария Нина Ольга Полина Раиса София Юлия".split(),
 }
 _SYLLABLES = {
-    True: "ba be bo da de do fa ga go ka ke la le lo ma me mi mo na ne no pa ra re ri ro sa se so ta te vo".split(),
-    False: "ба бе бо да де до фа га го ка ке ла ле ло ма ме ми мо на не но па ра ре ри ро са се со та те во".split(),
+    "latin": "ba be bo da de do fa ga go ka ke la le lo ma me mi mo na ne no pa ra re ri ro sa se so ta te vo".split(),
+    "greek": "βα βε βο δα δε δο φα γα γο κα κε λα λε λο μα με μι μο να νε νο πα ρα ρε ρι ρο σα σε σο τα τε θα θε θο".split(),
+    "cyrillic": "ба бе бо да де до фа га го ка ке ла ле ло ма ме ми мо на не но па ра ре ри ро са се со та те во".split(),
 }
 
 
@@ -89,8 +112,9 @@ def canonical(mention: Column, kind: Column) -> Column:
     """The form that all ways of writing the same thing share."""
     core = F.substring(mention, F.length(lead_of(mention, kind)) + 1, F.length(mention))
     digits = F.regexp_replace(mention, "[^0-9]", "")
-    numbers = {t: digits for t in NUMBERS}
-    return _by_type(kind, {**numbers, "email": F.lower(mention), "male": F.lower(core), "female": F.lower(core)}, core)
+    forms = {t: digits for t in NUMBERS} | {t: F.lower(core) for t in NAMES}
+    forms |= {"email": F.lower(mention), "ipv6": F.lower(mention), "iban": F.regexp_replace(mention, " ", "")}
+    return _by_type(kind, forms, core)
 
 
 def _noise(key: str, *parts: Column) -> Column:
@@ -99,6 +123,11 @@ def _noise(key: str, *parts: Column) -> Column:
     return F.concat(*[F.sha2(F.concat(F.lit(f"{key}\u001f{i}\u001f"), text).cast("binary"), 256) for i in range(4)])
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, also where lambdas use it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _byte(noise: Column, i: Column) -> Column:
     return F.conv(F.substring(noise, F.pmod(i, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
@@ -117,6 +146,7 @@ def _shaped(core: Column, noise: Column, low: Column) -> Column:
             F.when(own.rlike("[0-9]"), of("0123456789", 10))
             .when(own.rlike("[a-z]"), of(letters, low))
             .when(own.rlike("[A-Z]"), of(letters.upper(), 26))
+            .when(own.rlike(r"\p{L}"), of(letters, low))
             .otherwise(own)
         )
 
@@ -148,32 +178,57 @@ def _luhn(digits: Column) -> Column:
 
 
 def _name(core: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """A given name of the gender and a made-up family name, both in the script."""
-    latin = core.rlike("^[\\p{IsLatin} ]+$")
+    """A given name of the gender and a made-up family name, both in the script.
+
+    A family's name depends on the family alone, so its members keep sharing it;
+    only after many attempts is another made. Given names of later
+    attempts are two, and then made-up ones, as many as are needed.
+    """
     family, given = F.regexp_extract(core, r"(\S+)$", 1), F.regexp_extract(core, r"^(\S+) ", 1)
-    family_noise, given_noise = (_noise(key, F.lit(t), w, attempt) for t, w in (("family", family), ("given", given)))
+    tries = attempt.cast("int")
+    family_noise = _noise(key, F.lit("family"), family, F.floor(tries / 16).cast("string"))
+    given_noise = _noise(key, F.lit("given"), given, attempt)
 
-    def made(script: bool) -> Column:
+    def made(script: str, noise: Column, syllables: int) -> Column:
         parts = F.array(*[F.lit(s) for s in _SYLLABLES[script]])
-        syllables = [
-            F.element_at(parts, F.pmod(_byte(family_noise, F.lit(i)), F.lit(len(_SYLLABLES[script]))) + 1)
-            for i in range(5)
+        drawn = [
+            F.element_at(parts, F.pmod(_byte(noise, F.lit(i)), F.lit(len(_SYLLABLES[script]))) + 1)
+            for i in range(syllables)
         ]
-        return F.initcap(F.concat(*syllables))
+        return F.initcap(F.concat(*drawn))
 
-    def called(script: bool) -> Column:
+    def called(script: str, noise: Column) -> Column:
         lists = [F.array(*[F.lit(n) for n in _NAMES[g, script]]) for g in ("male", "female")]
-        place = F.pmod(_byte(given_noise, F.lit(0)), F.lit(16)) + 1
-        return F.when(kind == "male", F.element_at(lists[0], place)).otherwise(F.element_at(lists[1], place))
 
-    first = F.when(latin, called(True)).otherwise(called(False))
-    last = F.when(latin, made(True)).otherwise(made(False))
+        def one(i: int) -> Column:
+            place = F.pmod(_byte(noise, F.lit(i)), F.lit(16)) + 1
+            is_male = (kind == "male") | ((kind == "either") & (F.pmod(_byte(noise, F.lit(9)), F.lit(2)) == 0))
+            return F.when(is_male, F.element_at(lists[0], place)).otherwise(F.element_at(lists[1], place))
+
+        return (
+            F.when(tries < 1, one(0))
+            .when(tries < 4, F.concat_ws("-", one(0), one(1)))
+            .otherwise(F.concat_ws("-", one(0), made(script, noise, 4)))
+        )
+
+    def by_script(make: Callable[[str], Column]) -> Column:
+        known = [F.when(core.rlike(rf"^[^\p{{L}}]*{letters}"), make(name)) for name, letters in _SCRIPTS.items()]
+        return F.coalesce(*known)
+
+    last = _let(family_noise, lambda noise: by_script(lambda script: made(script, noise, 6)))
+    first = _let(given_noise, lambda noise: by_script(lambda script: called(script, noise)))
     return F.when(given == "", last).otherwise(F.concat_ws(" ", first, last))
 
 
 def surrogate(form: Column, kind: Column, key: str, attempt: Column) -> Column:
     """The canonical form of what stands in for a canonical form."""
     noise = _noise(key, kind, form, attempt)
+    named = F.lower(_name(form, kind, key, attempt))
+    return F.when(kind.isin(*NAMES), named).otherwise(_let(noise, lambda x: _drawn(form, kind, x)))
+
+
+def _drawn(form: Column, kind: Column, noise: Column) -> Column:
+    """What a noise makes of a canonical form, but for names."""
     n = F.length(form)
     stem, ending = F.regexp_extract(form, r"^(.*)\.", 1), F.regexp_extract(form, r"(\.[^.]*)$", 1)
     everything = F.lit(26)
@@ -202,8 +257,8 @@ def surrogate(form: Column, kind: Column, key: str, attempt: Column) -> Column:
             "card": card,
             "phone": phone,
             "ssn": drawn,
-            "male": F.lower(_name(form, kind, key, attempt)),
-            "female": F.lower(_name(form, kind, key, attempt)),
+            "iban": F.concat(F.substring(form, 1, 2), _shaped(F.substring(form, F.lit(3), n), noise, everything)),
+            "ipv6": _shaped(form, noise, F.lit(6)),
         },
         _shaped(form, noise, hexadecimal),
     )
@@ -212,26 +267,39 @@ def surrogate(form: Column, kind: Column, key: str, attempt: Column) -> Column:
 def rendered(mention: Column, kind: Column, form: Column) -> Column:
     """A surrogate written as the mention was."""
 
-    def sign(i: Column) -> Column:
-        own = F.substring(mention, i, F.lit(1))
-        before = F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), "[^0-9]", ""))
-        return F.when(own.rlike("[0-9]"), F.substring(form, before, F.lit(1))).otherwise(own)
+    def filled(signs: str) -> Column:
+        """The surrogate's signs in the places that such signs have in the mention."""
+
+        def sign(i: Column) -> Column:
+            own = F.substring(mention, i, F.lit(1))
+            before = F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), f"[^{signs}]", ""))
+            return F.when(own.rlike(f"[{signs}]"), F.substring(form, before, F.lit(1))).otherwise(own)
+
+        places = F.sequence(F.lit(1), F.greatest(F.length(mention), F.lit(1)))
+        return F.array_join(F.transform(places, sign), "")
 
-    filled = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(mention), F.lit(1))), sign), "")
     lead = lead_of(mention, kind)
+    core = F.substring(mention, F.length(lead) + 1, F.length(mention))
     cased = F.when(F.upper(mention) == mention, F.upper(form)).otherwise(form)
+    # Capital after a blank or a hyphen; a name in capitals stays in capitals.
+    words = F.transform(F.split(form, "-"), lambda w: F.initcap(w))
+    name = F.when((F.upper(core) == core) & (F.length(core) > 1), F.upper(form)).otherwise(F.array_join(words, "-"))
     return _by_type(
         kind,
         {
-            **{t: filled for t in NUMBERS},
+            **{t: filled("0-9") for t in NUMBERS},
+            "iban": filled("0-9A-Z"),
             "email": cased,
-            "male": F.concat(lead, F.initcap(form)),
-            "female": F.concat(lead, F.initcap(form)),
+            "ipv6": cased,
+            **{t: F.concat(lead, name) for t in NAMES},
         },
         F.concat(lead, form),
     )
 
 
+FORMS_A_TASK = 1_000
+
+
 def surrogates(forms: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     """(kind, form, surrogate) for distinct (kind, form); surrogates are distinct.
 
@@ -244,12 +312,16 @@ def surrogates(forms: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     def written(df: DataFrame) -> DataFrame:
         return written_table(df, new_shared_path(spark, "surrogates"))
 
+    def spread(df: DataFrame) -> DataFrame:
+        # Rows are few bytes and much work each, so they are dealt out by number.
+        return df.repartition(max(1, -(-df.count() // FORMS_A_TASK)), "kind", "form")
+
     known = written(forms.select("kind", "form").distinct())
     taken = known.select("kind", F.col("form").alias("surrogate"))
     waiting, done = known, []
     for attempt in range(rounds):
         tried = written(
-            waiting.withColumn("surrogate", surrogate(F.col("form"), F.col("kind"), key, F.lit(str(attempt))))
+            spread(waiting).withColumn("surrogate", surrogate(F.col("form"), F.col("kind"), key, F.lit(str(attempt))))
         )
         first = tried.groupBy("kind", "surrogate").agg(F.min("form").alias("form"))
         good = first.join(taken, ["kind", "surrogate"], "left_anti")

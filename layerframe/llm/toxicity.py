@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans_hash, text_or_empty
-from .learning import MOST_ROWS, Adam, labelled_sample, sigmoid
+from ..sources.shared import new_shared_path, written_table
+from .common import small_side, spans_hash, text_or_empty
+from .learning import MOST_ROWS, Adam, known_labels, labelled_sample, sigmoid
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -33,8 +34,12 @@ BLOCK = 20_000
 LEAST_TEXTS = 3
 """Buckets met in fewer training texts have no vector: they would be learnt by heart."""
 
-LEAST_FOR_LANGUAGE = 20
-"""So many toxic rows in the calibration part give a language its own threshold."""
+EVENED = 20
+"""A language's threshold is its own and the common one, evened out as if so many
+toxic rows spoke for the common one."""
+
+LOWEST, HIGHEST, BINS = 0.3, 0.8, 100
+"""Thresholds lie in this range, at the edges of bins of scores."""
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -178,13 +183,40 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator, s
     return ToxicityModel(vectors[:-1], filters, biases, weights, float(bias[0]))
 
 
-def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the best F1's range, kept within 0.3 to 0.8."""
-    grid = np.linspace(0.3, 0.8, 51)
-    found = [(scores >= t) for t in grid]
-    f1 = np.array([2 * (labels[p] == 1).sum() / max(1, p.sum() + labels.sum()) for p in found])
-    best = grid[f1 >= f1.max() - 1e-9]
-    return float(best[len(best) // 2])
+def _best_threshold(toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The middle of the range with the best F2, from the rows of each score bin.
+
+    That is F1 with recall counting twice: a toxic row that stays does more harm
+    than a clean one that goes.
+    """
+    grid = np.arange(round(LOWEST * BINS), round(HIGHEST * BINS) + 1)
+    hits, wrong = (np.array([n[t:].sum() for t in grid]) for n in (toxic, clean))
+    f2 = 5 * hits / np.maximum(1, hits + wrong + 4 * toxic.sum())
+    best = grid[f2 >= f2.max() - 1e-9]
+    return float(best[len(best) // 2]) / BINS
+
+
+def _score_counts(
+    docs: DataFrame, known: DataFrame, fitted: list[int], model: ToxicityModel
+) -> dict[str, np.ndarray]:
+    """Labelled rows that were not fitted on: clean and toxic ones by score bin, by language.
+
+    They are scored on Spark, all of them; what comes back are counts.
+    """
+    spark = docs.sparkSession
+    apart = spark.createDataFrame([(i,) for i in sorted(set(fitted))], "doc_id long")
+    known = known.join(F.broadcast(apart), "doc_id", "left_anti")
+    known = small_side(written_table(known, new_shared_path(spark, "labelled")))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    rows = docs.select("doc_id", text_or_empty("text").alias("text"), lang.cast("string").alias("lang"))
+    rows = rows.join(known, "doc_id").withColumn("score", toxicity_score(rows, model))
+    bins = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
+    found: dict[str, np.ndarray] = {}
+    counts = rows.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), bins.alias("bin"), "__label").count()
+    for row in counts.collect():
+        table = found.setdefault(row["lang"], np.zeros((2, BINS), np.int64))
+        table[int(row["__label"] > 0), row["bin"]] += row["count"]
+    return found
 
 
 def train_toxicity(
@@ -192,12 +224,14 @@ def train_toxicity(
 ) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows, without the fold ``held_out``.
 
-    A fifth of the sample sets the slope of the scores and the thresholds: one
-    for each language with enough toxic rows, one for the others. Language is
-    used for the thresholds alone. Without labels of both kinds every score
-    is the share of toxic labels.
+    A fifth of the sample sets the slope of the scores. The thresholds come from
+    all labelled rows outside the fitted ones, counted by language and score: one
+    for each language with toxic and clean rows among them, evened out with the
+    common one, which is that of the others; all lie from ``LOWEST`` to ``HIGHEST``.
+    Language is used for the thresholds alone. Without labels of both kinds every
+    score is the share of toxic labels.
     """
-    texts, y, langs = labelled_sample(docs, labels, F.col("toxic"), most, held_out)
+    texts, y, ids = labelled_sample(docs, labels, F.col("toxic"), most, held_out)
     rng = np.random.default_rng(seed)
     rows = [buckets(t) for t in texts]
     if len(set(y.tolist())) < 2:
@@ -221,13 +255,16 @@ def train_toxicity(
             a -= 0.02 * (error * raw).mean() + 0.0005 * (a - 1)
             b -= 0.05 * error.mean()
         model.slope, model.shift = max(float(a), 0.1), float(b)
-        scores = sigmoid(model.slope * raw + model.shift)
-        model.threshold = _best_threshold(scores, truth)
-        own = np.array([langs[i] or "" for i in np.flatnonzero(part)])
-        for lang in sorted(set(own) - {""}):
-            of_lang = own == lang
-            if LEAST_FOR_LANGUAGE <= truth[of_lang].sum() < of_lang.sum():
-                model.thresholds[lang] = _best_threshold(scores[of_lang], truth[of_lang])
+    fitted = [i for i, p in zip(ids, part, strict=True) if not p]
+    found = _score_counts(docs, known_labels(labels, F.col("toxic"), held_out), fitted, model)
+    total = sum(found.values(), np.zeros((2, BINS), np.int64))
+    if total.sum(1).all():
+        model.threshold = _best_threshold(total[1], total[0])
+        for lang, (clean, toxic) in sorted(found.items()):
+            n = int(toxic.sum())
+            if lang and n and clean.any():
+                own = _best_threshold(toxic, clean)
+                model.thresholds[lang] = (n * own + EVENED * model.threshold) / (n + EVENED)
     return model
 
 

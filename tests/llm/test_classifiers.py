@@ -81,3 +81,33 @@ def test_ordinal_cuts_are_ordered():
     assert (np.diff(model.cuts) > 0).all()
     tails = model.tails(["bad bad", "middling text", "splendid prose"])
     assert (np.diff(tails.sum(1)) > 0.3).all() and (tails[:, 0] >= tails[:, 1]).all()
+
+
+def test_each_language_has_a_threshold_of_its_own(spark):
+    tables = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train_toxicity(docs, labels)
+    assert set(model.thresholds) == {"de", "en", "es", "fr"}
+    assert all(toxicity.LOWEST <= t <= toxicity.HIGHEST for t in model.thresholds.values())
+    got = toxicity.classify(docs, model).join(labels, "doc_id").where("toxic IS NOT NULL")
+    held = got.where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2").toPandas()
+    assert held.is_toxic[held.toxic == 1].mean() > 0.8 and held.is_toxic[held.toxic == 0].mean() < 0.03
+
+
+def test_thresholds_from_counts():
+    toxic, clean = np.zeros(100, int), np.zeros(100, int)
+    toxic[[45, 60, 90]], clean[[10, 40]] = (5, 5, 50), (900, 80)
+    assert 0.4 < toxicity._best_threshold(toxic, clean) <= 0.45
+    # Out of the range nothing is chosen, and without toxic rows it still gives a value in it.
+    assert toxicity.LOWEST <= toxicity._best_threshold(np.zeros(100, int), clean) <= toxicity.HIGHEST
+
+
+def test_samples_do_not_depend_on_the_order_of_rows(spark):
+    from layerframe.llm.learning import labelled_sample
+
+    rows = [(i % 40, f"text {i} " * (1 + i % 7)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    first = labelled_sample(docs, labels, F.col("toxic"), most=50, held_out=None)
+    again = labelled_sample(docs.repartition(7), labels, F.col("toxic"), most=50, held_out=None)
+    assert first[0] == again[0] and len(first[0]) == 50 and first[2] == again[2]

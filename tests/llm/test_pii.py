@@ -42,8 +42,8 @@ def test_formats_names_and_coreference(spark):
     names = re.findall(r"Mrs?\. (\S+ \w+)", new)
     assert names[0] == names[2] != names[1] and names[0].split()[1] == names[1].split()[1]
     given = pii._NAMES
-    assert names[0].split()[0] in given["male", True] and names[1].split()[0] in given["female", True]
-    assert re.search(r"г-жа (\w+) \w+", new)[1] in given["female", False]
+    assert names[0].split()[0] in given["male", "latin"] and names[1].split()[0] in given["female", "latin"]
+    assert re.search(r"г-жа (\w+) \w+", new)[1] in given["female", "cyrillic"]
     dashed, plain = re.search(r"paid ([\d-]+) = (\d+)", new).groups()
     assert dashed.replace("-", "") == plain != "4539148803436467" and dashed.count("-") == 3
     digits = [int(d) for d in plain]
@@ -78,3 +78,49 @@ def test_collisions_are_resolved(spark, monkeypatch):
 def test_no_python_in_the_plan(spark, table):
     plan = pii.replace_mentions(table("documents"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_whole_names_are_replaced(spark):
+    text = "Mr. McDonald; Mrs. Jean-Luc O'Brien; Dr. Anna Smith; Prof. SMITH; Mr. Smith"
+    (new,) = replaced(spark, [text])
+    assert not re.search("Donald|Luc|Brien|Anna|(?i:smith)", new)
+    mac, obrien, anna, prof, mister = (part.split() for part in new.split("; "))
+    assert len(mac) == 2 and len(obrien) == 3 and len(anna) == 3
+    assert anna[2] == mister[1] and prof[1] == mister[1].upper()
+
+
+def test_scripts_are_kept(spark):
+    names = ["Herr Γιώργος Παππάς", "г-н Иван Котов", "Frau Ada Weber"]
+    for text, letters in zip(replaced(spark, names), ("[A-Za-z]", "[Ͱ-Ͽ]", "[Ѐ-ӿ]")):
+        name = text.split()[1:]
+        assert len(name) == 2 and all(re.fullmatch(letters + "+", w) for w in name)
+    assert not set(replaced(spark, names)) & set(names)
+
+
+def test_a_family_keeps_one_name(spark):
+    docs = [f"Mr. N{chr(97 + i // 26)}{chr(97 + i % 26)} Weaver" for i in range(200)] + ["Mrs. Weaver", "Mr. Weaver"]
+    new = replaced(spark, docs)
+    assert len({t.split()[-1] for t in new}) == 1 and len(set(new)) == 202
+
+
+def test_other_forms(spark):
+    forms = [
+        "212-555-0147", "212.555.0147", "+12125550147", "password=correcthorse", "josé@exämple.com",
+        "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "2001:db8:0:0:0:ff00:42:8329", "fe80::1ff:fe23",
+    ]
+    got = {}
+    for form in forms:
+        (got[form],) = replaced(spark, [f"see {form} there"])
+        assert got[form].startswith("see ") and got[form].endswith(" there") and form not in got[form]
+        shape = lambda t: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", t))
+        if "::" not in form and "db8" not in form:
+            assert shape(got[form]) == shape(f"see {form} there")
+    assert got["DE89 3704 0044 0532 0130 00"].replace(" ", "") == got["DE89370400440532013000"].replace(" ", "")
+    for clean in ("at 12:34:56 we", "12-345-678 and 1999-2000", "the password is: required", "a::b", "Drs are in", "version 1.2.3"):
+        assert replaced(spark, [clean]) == [clean]
+
+
+def test_forms_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(pii, "FORMS_A_TASK", 5)
+    forms = spark.createDataFrame([("key", f"AKIA{i:016d}"[4:]) for i in range(60)], "kind string, form string")
+    assert pii.surrogates(forms, "k").select("surrogate").distinct().count() == 60

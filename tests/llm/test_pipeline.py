@@ -45,3 +45,49 @@ def test_stages_on_an_empty_table(spark):
 def test_run_gives_the_last_stage_s_rows(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def edge_rows(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, base, "en"), (2, base, "en"), (2, "quite another text of some words here", "en"), (3, base + " end", "en"),
+        (4, "the same again and again", "fr"), (4, "the same again and again", "fr"),
+        (None, "a text without an id but words", None), (None, "a text without an id but words", None),
+        (None, None, None), (5, "", "en"), (5, "", "en"), (6, "Mr. Bob Weaver", "xx"),
+    ]
+    docs = spark.createDataFrame(
+        [(*r, "s", 7, "mine", 0.5, {"k": i}) for i, r in enumerate(rows)],
+        "doc_id long, text string, lang string, source string, n_chars long, n_replaced string, toxicity double, extra map<string,int>",
+    )
+    return docs
+
+
+def test_each_document_of_an_id_is_judged_by_its_own_text(spark):
+    docs = edge_rows(spark)
+    kept = stages.drop_near_duplicates(spark, docs, LARGER)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], (r["text"] or "")[:9]) for r in kept.collect()), key=repr)
+    assert got == sorted(
+        [(1, "word0 wor"), (2, "quite ano"), (4, "the same "), (None, "a text wi"), (None, ""), (5, ""), (5, ""), (6, "Mr. Bob W")],
+        key=repr,
+    )
+
+
+def test_stages_keep_rows_and_columns_that_clash(spark):
+    docs = edge_rows(spark)
+    clean = stages.drop_toxic(spark, docs, LARGER)
+    assert clean.columns == docs.columns and {r["toxicity"] for r in clean.collect()} <= {0.5}
+    assert stages.drop_toxic(spark, docs.limit(0), LARGER).isEmpty()
+    assert stages.drop_toxic(spark, docs.drop("lang"), LARGER).columns == docs.drop("lang").columns
+    new = stages.replace_personal_data(spark, docs, LARGER)
+    assert new.columns == docs.columns
+    rows = new.collect()
+    assert len(rows) == 12 and {r["n_replaced"] for r in rows} == {"mine"}
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    assert not any("Weaver" in (r["text"] or "") for r in rows)
+    assert stages.mix_sources(spark, docs, LARGER).columns == docs.columns
+    tokens = stages.encode_documents(spark, docs.withColumnRenamed("extra", "decoded_text"), LARGER)
+    assert tokens.columns == ["doc_id", "lang", "source", "n_replaced", "toxicity", "token_ids", "token_starts", "n_tokens", "decoded_text"]
+    assert sorted(r["decoded_text"] for r in tokens.collect()) == sorted(r["text"] or "" for r in docs.collect())
+    assert "extra" in stages.encode_documents(spark, docs, LARGER).columns
+    assert stages.encode_documents(spark, docs.drop("lang", "source"), LARGER).count() == 12
