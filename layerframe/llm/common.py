@@ -157,6 +157,27 @@ def sorted_groups(
         yield _joined(rest)
 
 
+def runs_of_groups(
+    batches: Iterator[pa.RecordBatch], key: str, least: int = 20_000
+) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``least`` rows with whole groups of an integer key they are sorted by."""
+    rest: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        rest.append(batch)
+        size += batch.num_rows
+        if size >= least:
+            whole = _joined(rest)
+            keys = whole.column(key).to_numpy(zero_copy_only=False)
+            end = int(np.searchsorted(keys, keys[-1], "left"))
+            if end:
+                yield whole.slice(0, end)
+            rest = [whole.slice(end)]
+            size = whole.num_rows - end
+    if size:
+        yield _joined(rest)
+
+
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
 

@@ -1,24 +1,22 @@
 """Near-duplicate embeddings by NN-descent.
 
-Equal vectors are one node. Random hyperplanes come first: vectors with the same
-signs share a bucket, and there are so many tables of buckets that two vectors at
-the threshold share one with the wanted probability. All pairs of a bucket
-are compared, those of a large one in pairs of blocks of bounded size; a link
-counts in the first table whose bucket it shares, and blocks hand on counts,
-not links. Descent finds links that share no bucket: from the nearest
-neighbours that the blocks saw, the neighbours of each node, and those that have it
-as a neighbour, are compared with each other, of which at least one has to be
-new. None is left out: around a node with many, too, pairs of blocks are
-compared. Such links are rows; a node's list is bounded, so there are not
-many more of them than nodes. Then an audit compares a bounded sample of
-nodes with all; below the wanted recall, more hyperplanes are drawn and the
-descent goes on. Cosines are worked out in double precision.
+Equal vectors are one node. Each node starts with a short list of random others.
+A round joins neighbours of neighbours: around each node those on its list, and
+those that have it on theirs, are compared with each other where one of the two is
+new, and every node keeps the nearest it has met. A list that is full of vectors
+beyond the threshold is saturated and doubles. When hardly anything changes, the
+entries at the threshold are checked and kept as links, and links make groups.
+All links of a vector are within its group, so the pairs of a group are then
+compared exactly, in pairs of blocks of bounded size: that counts the links of groups too
+large for lists. An audit compares a bounded sample of nodes with all others;
+below the wanted recall all lists double, meet new random vectors and the descent
+goes on. Descent steers by vectors of a byte a component; what counts is worked
+out in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log1p, pi
 
 import numpy as np
 import pyarrow as pa
@@ -28,29 +26,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import new_shared_path, written_table
-from .common import sorted_groups
+from .common import runs_of_groups, sorted_groups
 from .components import components
-from .ngram_join import _roots
 
 THRESHOLD = 0.9
-NEIGHBOURS = 8
-"""Nearest neighbours that descent goes on from."""
-TABLES = 20
-MOST_TABLES = 170
-"""Beyond so many tables an attempt, buckets are made larger instead."""
+NEIGHBOURS = 16
+"""Length of a list at first."""
+MOST_NEIGHBOURS = 64
+"""Lists double up to this length; what they can't hold, groups do."""
+ACQUAINTED = 6
+"""Random groups have about so many members; each list starts from ``STARTS`` of them."""
+STARTS = 3
+AROUND = 64
+"""So many are compared around a node, new ones first."""
+OFFERED = 8
+"""So many of them are offered to each."""
 LEAF = 64
-"""Buckets hold about so many vectors; a node with more links is hot."""
+"""A node with more links is hot."""
 BLOCK = 256
-ROUNDS = 6
+ROUNDS = 14
+SETTLED = 0.01
+"""Rounds end when no more than this share of the entries is new."""
 AUDITED = 1_024
 """So many hot nodes, and so many others, are audited."""
 RECALL = 0.98
 ATTEMPTS = 3
 
-_TABLE_BITS = 54
-_FOUND = (
-    "node long, pairs long, links long, root long, near array<long>, cosine array<double>, partners array<long>"
-)
+_LISTS = "node long, near array<long>, cosine array<float>, fresh array<boolean>, most int"
 
 
 def _nodes(vectors: DataFrame) -> tuple[DataFrame, np.dtype]:
@@ -79,6 +81,15 @@ def _nodes(vectors: DataFrame) -> tuple[DataFrame, np.dtype]:
     return values.mapInArrow(pack, "id long, v binary"), kind
 
 
+def _small(column: pa.Array, kind: np.dtype) -> list[bytes]:
+    """Vectors with a byte for each component, as long as a byte can say."""
+    out = []
+    for value in column:
+        row = np.frombuffer(value.as_py(), kind).astype(np.float64)
+        out.append(np.round(row * (127 / np.abs(row).max())).astype(np.int8).tobytes())
+    return out
+
+
 def _matrix(column: pa.Array, kind: np.dtype) -> np.ndarray:
     """Vectors of unit length in double precision."""
     rows = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
@@ -86,9 +97,9 @@ def _matrix(column: pa.Array, kind: np.dtype) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _of_one_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _of_one_length(batch: pa.RecordBatch, column: str = "v") -> Iterator[pa.RecordBatch]:
     """The rows of each length of vectors."""
-    lengths = pc.binary_length(batch.column("v")).to_numpy()
+    lengths = pc.binary_length(batch.column(column)).to_numpy()
     kinds = np.unique(lengths)
     if len(kinds) == 1:
         yield batch
@@ -97,181 +108,238 @@ def _of_one_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(np.flatnonzero(lengths == length)))
 
 
-def _buckets_of(n: int, threshold: float, least: int) -> tuple[int, int]:
-    """Hyperplanes a table, and tables, that keep all but 1 - RECALL of the pairs at the threshold."""
-    side = 1 - acos(max(-1.0, min(1.0, threshold))) / pi
-    bits = int(np.clip(np.ceil(np.log2(max(n, 1) / LEAF)), 1, 40))
-    while True:
-        together = side**bits
-        needed = 1 if together >= 1 else ceil(log(1 - RECALL) / log1p(-together)) if together > 0 else MOST_TABLES + 1
-        if needed <= MOST_TABLES or not bits:
-            return bits, min(max(least, needed), MOST_TABLES)
-        bits -= 1
-
+def _numbered(rows: DataFrame, kind: np.dtype) -> DataFrame:
+    """Distinct vectors with a number, a short form, the smallest id and how many there are.
 
-def _coded(nodes: DataFrame, kind: np.dtype, bits: int, tables: int) -> DataFrame:
-    """Nodes with their bucket in each table."""
+    The numbers follow from the files of a written table, so they stay the same.
+    """
+    spark = rows.sparkSession
+    no_id = F.lit(_NO_ID)
+    distinct = rows.where("v is not null").groupBy("v").agg(
+        F.min(F.coalesce("id", no_id)).alias("least"), F.count("*").alias("copies")
+    )
+    distinct = written_table(distinct, new_shared_path(spark, "distinct"))
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(bits, dtype=np.int64)
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                for own in _of_one_length(batch.slice(at, 1024)):
-                    x = _matrix(own.column("v"), kind)
-                    n, d = x.shape
-                    if d not in planes:
-                        drawn = [np.random.default_rng([d, t]).normal(size=(d, bits)) for t in range(tables)]
-                        planes[d] = np.concatenate(drawn, 1)
-                    codes = (x @ planes[d] > 0).reshape(n, tables, bits) @ weights
-                    codes = codes + (np.arange(tables, dtype=np.int64) << _TABLE_BITS) + (np.int64(d % 8192) << 41)
-                    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * tables)
-                    codes = pa.ListArray.from_arrays(offsets, pa.array(codes.ravel(), pa.int64()))
-                    yield pa.RecordBatch.from_arrays(
-                        [*(own.column(c) for c in ("node", "v", "least", "copies")), codes],
-                        ["node", "v", "least", "copies", "codes"],
-                    )
+            yield batch.append_column("small", pa.array(_small(batch.column("v"), kind), pa.binary()))
 
-    return nodes.select("node", "v", "least", "copies").mapInArrow(
-        code, "node long, v binary, least long, copies long, codes array<long>"
-    )
+    numbered = distinct.select(F.monotonically_increasing_id().alias("node"), "v", "least", "copies")
+    return numbered.mapInArrow(shorten, "node long, v binary, least long, copies long, small binary")
 
 
-def _nearest(ids: np.ndarray, cosines: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The nearest of ``ids`` for each row of cosines; those of -2 don't count."""
-    k = min(NEIGHBOURS, cosines.shape[1])
-    best = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    values = np.take_along_axis(cosines, best, 1)
-    return [(ids[b[v > -2]], v[v > -2]) for b, v in zip(best, values, strict=True)]
+_NO_ID = (1 << 63) - 1
 
 
-def _compared(
-    members: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float, around: bool
-) -> DataFrame:
-    """What comes of comparing the members (bucket, node, fresh) of each bucket.
+def _acquainted(nodes: DataFrame, first: int, tables: int) -> DataFrame:
+    """Members (bucket, node, fresh) of random groups, ``tables`` for each node."""
+    length = F.octet_length("small").alias("length")
+    sizes = nodes.groupBy(length).agg(F.count("*").alias("n"))
+    dealt = nodes.select("node", length, F.explode(F.sequence(F.lit(first), F.lit(first + tables - 1))).alias("t"))
+    group = F.pmod(F.xxhash64("node", "t"), F.greatest(F.floor(F.col("n") / ACQUAINTED), F.lit(1)))
+    return dealt.join(sizes, "length").select(
+        F.xxhash64("length", "t", group).alias("bucket"), "node", F.lit(True).alias("fresh")
+    )
+
+
+def _around(lists: DataFrame, turn: int) -> DataFrame:
+    """Members of each node's group: those on its list and those that have it on theirs.
 
-    Each pair of blocks of a bucket is a group of its own. In the buckets of
-    hyperplanes, links are counted that share no earlier table's bucket; ``around``
-    a node, those that share no bucket are named, and two old members are not compared.
+    Of very many the new ones come first, then any, by hash; groups without new ones go.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.max("fresh").alias("some"))
-    parts = sizes.where("n > 1 and some").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", F.lit(3)), "parts")).otherwise(F.lit(0))
-    paired = members.join(parts, "bucket").select(
-        "bucket", "node", "fresh", part.cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"),
-    ).select(
-        "bucket", "node", "fresh", "part",
-        F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
+    entries = lists.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("e"))
+    there = entries.select(
+        F.col("node").alias("bucket"), F.col("e.near").alias("node"), F.col("e.fresh").alias("fresh"), F.lit(0).alias("back")
     )
-    block = ["bucket", "low", "high"]
+    back = entries.select(F.col("e.near").alias("bucket"), "node", F.col("e.fresh").alias("fresh"), F.lit(1).alias("back"))
+    order = [F.desc("fresh"), "back", F.xxhash64("node", "bucket", F.lit(turn)), "node"]
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
+    chosen = there.unionByName(back).withColumn("place", place).where(F.col("place") <= AROUND)
+    some = F.max("fresh").over(Window.partitionBy("bucket"))
+    return chosen.withColumn("some", some).where("some").select("bucket", "node", "fresh")
+
+
+def _offers(members: DataFrame, nodes: DataFrame, lists: DataFrame | None) -> DataFrame:
+    """What each member of a group is offered: nearer ones than the last of its list."""
+    held = nodes.select("node", "small")
+    if lists is None:
+        held = held.withColumn("worst", F.lit(-2.0).cast("float"))
+    else:
+        full = F.size("near") >= F.col("most")
+        worst = F.when(full, F.array_min("cosine")).otherwise(F.lit(-2.0)).cast("float")
+        held = held.join(lists.select("node", worst.alias("worst")), "node", "left")
+        held = held.withColumn("worst", F.coalesce("worst", F.lit(-2.0).cast("float")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, block):
-            bucket, low, high = (group.column(c)[0].as_py() for c in block)
-            for own in _of_one_length(group):
-                n = own.num_rows
-                dealt = own.column("part").to_numpy()
-                left, right = np.flatnonzero(dealt == low), np.flatnonzero(dealt == high)
-                if n < 2 or not len(left) or not len(right):
-                    continue
-                ids = own.column("node").to_numpy()
-                codes = own.column("codes").flatten().to_numpy().reshape(n, -1)
-                copies = own.column("copies").to_numpy()
-                x = _matrix(own.column("v"), kind)
-                cosines = x[left] @ x[right].T
-                if around:
-                    fresh = own.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
-                    cosines[~(fresh[left][:, None] | fresh[right][None, :])] = -2
-                if low == high:
-                    np.fill_diagonal(cosines, -2)
-                a, b = np.nonzero(cosines >= threshold)
-                if low == high:
-                    a, b = a[a < b], b[a < b]
-                a, b = left[a], right[b]
-                for table in range(codes.shape[1] if around else bucket >> _TABLE_BITS):
-                    if not len(a):
-                        break
-                    keep = codes[a, table] != codes[b, table]
-                    a, b = a[keep], b[keep]
-                none = np.zeros(0, np.int64)
-                near = [(none, none.astype(float))] * n
-                if low == high:
-                    near = _nearest(ids, cosines)
-                elif around:
-                    for side, other, own_cosines in ((left, right, cosines), (right, left, cosines.T)):
-                        for i, found in zip(side, _nearest(ids[other], own_cosines), strict=True):
-                            near[i] = found
-                pairs, links, root, partners = np.zeros(n, np.int64), np.zeros(n, np.int64), ids, [none] * n
-                if around:
-                    order = np.argsort(a, kind="stable")
-                    a, b = a[order], b[order]
-                    for i in np.unique(a):
-                        partners[i] = ids[b[np.searchsorted(a, i, "left") : np.searchsorted(a, i, "right")]]
-                else:
-                    for one, two in ((a, b), (b, a)):
-                        np.add.at(pairs, one, 1)
-                        np.add.at(links, one, copies[two])
-                    root = ids[_roots(n, a, b)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids), pa.array(pairs), pa.array(links), pa.array(root),
-                        pa.array([i for i, _ in near], pa.list_(pa.int64())),
-                        pa.array([c for _, c in near], pa.list_(pa.float64())),
-                        pa.array(partners, pa.list_(pa.int64())),
-                    ],
-                    ["node", "pairs", "links", "root", "near", "cosine", "partners"],
-                )
+        for run in runs_of_groups(batches, "bucket"):
+            for own in _of_one_length(run, "small"):
+                yield from _offers_of(own)
 
     return (
-        paired.join(nodes.select("node", "v", "codes", "copies"), "node")
-        .repartition(*block)
-        .sortWithinPartitions(*block)
-        .mapInArrow(compare, _FOUND)
-        .where("pairs > 0 or size(near) > 0 or size(partners) > 0")
+        members.join(held, "node")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(compare, "node long, near array<long>, cosine array<float>")
     )
 
 
-def _neighbours(found: DataFrame) -> DataFrame:
-    pairs = found.select("node", F.explode(F.arrays_zip("near", "cosine")).alias("e"))
-    return pairs.select("node", "e.near", "e.cosine", F.lit(True).alias("fresh"))
-
-
-def _merged(neighbours: DataFrame) -> DataFrame:
-    """The nearest of each node. One that was there before stays as it was."""
-    once = neighbours.groupBy("node", "near").agg(F.max("cosine").alias("cosine"), F.min("fresh").alias("fresh"))
-    order = Window.partitionBy("node").orderBy(F.desc("cosine"), F.xxhash64("node", "near"))
-    return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= NEIGHBOURS).drop("place")
+def _offers_of(run: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The offers in groups of vectors of one length."""
+    nodes, worst = (run.column(c).to_numpy() for c in ("node", "worst"))
+    fresh = run.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
+    x = np.frombuffer(b"".join(run.column("small").to_pylist()), np.int8).reshape(len(nodes), -1).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    to, near, cosine = [], [], []
+    for start, end in _bounds(run.column("bucket").to_numpy()):
+        if end - start < 2:
+            continue
+        ids, at = np.unique(nodes[start:end], return_index=True)
+        at += start
+        new = fresh[at]
+        if len(ids) < end - start:  # those on each other's lists come twice
+            new[np.searchsorted(ids, nodes[start:end][fresh[start:end]])] = True
+        cosines = x[at] @ x[at].T
+        offered = (new[:, None] | new[None, :]) & (cosines > worst[at][:, None])
+        np.fill_diagonal(offered, False)
+        cosines = np.where(offered, cosines, -2)
+        k = min(OFFERED, len(ids))
+        best = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        values = np.take_along_axis(cosines, best, 1)
+        row, column = np.nonzero(values > -2)
+        to.append(ids[row])
+        near.append(ids[best[row, column]])
+        cosine.append(values[row, column])
+    if not to:
+        return
+    to, near, cosine = np.concatenate(to), np.concatenate(near), np.concatenate(cosine)
+    order = np.argsort(to, kind="stable")
+    to, near, cosine = to[order], near[order], cosine[order]
+    first = np.array([start for start, _ in _bounds(to)], np.int64)
+    offsets = pa.array(np.append(first, len(to)).astype(np.int32))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(to[first]),
+            pa.ListArray.from_arrays(offsets, pa.array(near)),
+            pa.ListArray.from_arrays(offsets, pa.array(cosine.astype(np.float32))),
+        ],
+        ["node", "near", "cosine"],
+    )
 
 
-def _around(lists: DataFrame) -> DataFrame:
-    """Each node as a bucket of its neighbours and of those that have it as a neighbour."""
-    there = lists.select(F.col("node").alias("bucket"), F.col("near").alias("node"), "fresh")
-    back = lists.select(F.col("near").alias("bucket"), "node", "fresh")
-    return there.unionByName(back).groupBy("bucket", "node").agg(F.max("fresh").alias("fresh"))
+def _bounds(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the runs of equal keys."""
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    ends = np.append(cuts, len(keys))
+    return zip(np.concatenate([[0], cuts]), ends, strict=True) if len(keys) else iter(())
+
+
+def _merged(lists: DataFrame | None, offers: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Lists of the nearest of each node, with what it is offered; saturated ones double."""
+    new = offers.withColumns({"fresh": F.lit(None).cast("array<boolean>"), "most": F.lit(0)})
+    rows = new if lists is None else lists.unionByName(new)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs_of_groups(batches, "node"):
+            owners = run.column("node").to_numpy()
+            bounds = np.array(list(_bounds(owners)), np.int64)
+            sizes = np.maximum(np.maximum.reduceat(run.column("most").to_numpy(), bounds[:, 0]), most)
+            lengths = run.column("near").value_lengths().to_numpy()
+            number = np.repeat(np.repeat(np.arange(len(bounds)), bounds[:, 1] - bounds[:, 0]), lengths)
+            known = np.repeat(run.column("fresh").is_valid().to_numpy(zero_copy_only=False), lengths)
+            near, cosine = (run.column(c).flatten().to_numpy() for c in ("near", "cosine"))
+            order = np.lexsort((~known, near, number))  # an entry that was there comes first
+            number, near, cosine, known = number[order], near[order], cosine[order], known[order]
+            once = np.append(True, (number[1:] != number[:-1]) | (near[1:] != near[:-1]))[: len(number)]
+            number, near, cosine, known = number[once], near[once], cosine[once], known[once]
+            order = np.lexsort((near, -cosine, number))
+            number, near, cosine, known = number[order], near[order], cosine[order], known[order]
+            first = np.searchsorted(number, np.arange(len(bounds)))
+            kept = np.arange(len(number)) - first[number] < sizes[number]
+            number, near, cosine, known = number[kept], near[kept], cosine[kept], known[kept]
+            counts = np.bincount(number, minlength=len(bounds))
+            last = np.cumsum(counts) - 1
+            saturated = (counts == sizes) & (cosine[last] >= threshold)
+            sizes = np.where(saturated, np.minimum(2 * sizes, MOST_NEIGHBOURS), sizes)
+            offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(owners[bounds[:, 0]]),
+                    *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (near, cosine, ~known)),
+                    pa.array(sizes.astype(np.int32)),
+                ],
+                ["node", "near", "cosine", "fresh", "most"],
+            )
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(merge, _LISTS)
+
+
+def _links(lists: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float) -> DataFrame:
+    """The entries at the threshold (a, b), once each, checked in double precision."""
+    entries = lists.select("node", F.explode(F.arrays_zip("near", "cosine")).alias("e"))
+    pairs = entries.select(
+        F.least("node", "e.near").alias("a"), F.greatest("node", "e.near").alias("b"), F.col("e.cosine").alias("c")
+    )
+    held = nodes.select("node", "v")
+    close = F.col("c") >= threshold - 0.5 * F.sqrt(F.octet_length("x") / F.lit(kind.itemsize)) / 127
+    both = (
+        pairs.where(F.col("c") >= threshold - 0.5)
+        .groupBy("a", "b")
+        .agg(F.max("c").alias("c"))
+        .join(held.toDF("a", "x"), "a")
+        .where(close)
+        .join(held.toDF("b", "y"), "b")
+    )
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in _of_one_length(batch, "x"):
+                if own.num_rows:
+                    x, y = (_matrix(own.column(c), kind) for c in ("x", "y"))
+                    good = pa.array((x * y).sum(1) >= threshold)
+                    yield own.select(["a", "b"]).filter(good)
 
-def _named(found: DataFrame) -> DataFrame:
-    pairs = found.select("node", F.explode("partners").alias("other"))
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _apart(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The links that share no bucket, and so are not counted in one."""
-    codes = nodes.select("node", "codes")
-    both = links.join(codes.toDF("a", "x"), "a").join(codes.toDF("b", "y"), "b")
-    return both.where(~F.arrays_overlap("x", "y")).select("a", "b")
+def _counted(groups: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float) -> DataFrame:
+    """Linked nodes (pairs) and vectors (links) of each node, from all pairs of each group.
 
+    Each pair of blocks of a group is a group of its own, and hands on counts.
+    """
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", F.lit(3)), "parts")).otherwise(F.lit(0))
+    paired = groups.join(sizes, "component").select(
+        "component", "node", part.cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"),
+    ).select(
+        "component", "node", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+    )
+    block = ["component", "low", "high"]
 
-def _totals(counted: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Linked nodes (pairs) and vectors (links) of each node that has any."""
-    both = named.unionByName(named.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = nodes.select(F.col("node").alias("b"), "copies")
-    rows = both.join(copies, "b").select(
-        F.col("a").alias("node"), F.lit(1).cast("long").alias("pairs"), F.col("copies").alias("links")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, block):
+            low, high = (group.column(c)[0].as_py() for c in ("low", "high"))
+            dealt, copies = group.column("part").to_numpy(), group.column("copies").to_numpy()
+            left, right = np.flatnonzero(dealt == low), np.flatnonzero(dealt == high)
+            x = _matrix(group.column("v"), kind)
+            linked = x[left] @ x[right].T >= threshold
+            if low == high:
+                np.fill_diagonal(linked, False)
+            pairs, links = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+            pairs[left], links[left] = linked.sum(1), linked @ copies[right]
+            if low != high:
+                pairs[right], links[right] = linked.sum(0), linked.T @ copies[left]
+            yield pa.RecordBatch.from_arrays(
+                [group.column("node"), pa.array(pairs), pa.array(links)], ["node", "pairs", "links"]
+            )
+
+    counts = (
+        paired.join(nodes.select("node", "v", "copies"), "node")
+        .repartition(*block)
+        .sortWithinPartitions(*block)
+        .mapInArrow(compare, "node long, pairs long, links long")
     )
-    rows = rows.unionByName(counted.select("node", "pairs", "links"))
-    return rows.groupBy("node").agg(F.sum("pairs").alias("pairs"), F.sum("links").alias("links"))
+    return counts.groupBy("node").agg(F.sum("pairs").alias("pairs"), F.sum("links").alias("links"))
 
 
 def _audit(totals: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float) -> float:
@@ -315,7 +383,7 @@ def _audit(totals: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float
     return min((float(s) for s in shares if s is not None), default=1.0)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: links and group.
 
     ``vectors`` has vec_id and embedding (an array of numbers); other columns are
@@ -328,8 +396,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     unique; rows that repeat one count as vectors of their own, and a null id
     comes after all others. The table may be empty. The search is
     approximate: it goes on until the nodes of a bounded sample have ``RECALL`` of
-    their links on average, hot ones and others; if ``ATTEMPTS`` sets of at least
-    ``tables`` tables don't do, that is an error.
+    their links on average, hot ones and others; if lists doubled ``ATTEMPTS`` - 1
+    times don't do, that is an error. All pairs of a group of linked vectors are
+    compared, so the work for a group grows with its square.
     """
     spark = vectors.sparkSession
 
@@ -337,64 +406,44 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
         return written_table(df, new_shared_path(spark, label))
 
     packed, kind = _nodes(vectors)
-    rows = written(
-        packed.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v"))), "vectors"
-    )
-    no_id = F.lit((1 << 63) - 1)
-    nodes = written(
-        rows.where("v is not null")
-        .groupBy("node")
-        .agg(F.first("v").alias("v"), F.min(F.coalesce("id", no_id)).alias("least"), F.count("*").alias("copies")),
-        "nodes",
-    )
-    bits, tables = _buckets_of(nodes.count(), threshold, tables)
-    packed_nodes, lists, counted, named = nodes, None, None, None
+    rows = written(packed, "vectors")
+    nodes = written(_numbered(rows, kind), "nodes")
+    lists, recall = None, 0.0
     for attempt in range(ATTEMPTS):
-        nodes = written(_coded(packed_nodes, kind, bits, (attempt + 1) * tables), "coded")
-        buckets = F.slice("codes", attempt * tables + 1, tables)
-        members = nodes.select("node", F.explode(buckets).alias("bucket"), F.lit(True).alias("fresh"))
-        found = written(_compared(members, nodes, kind, threshold, False), "found")
-        own = found.where("pairs > 0").select("node", "pairs", "links", "root")
-        counted = own if counted is None else counted.unionByName(own)
-        rows_of_links = [_named(found) if named is None else _apart(named, nodes)]
-        drawn = _neighbours(found)
-        lists = written(_merged(drawn if lists is None else lists.unionByName(drawn)), "lists")
-        for _ in range(ROUNDS):
-            found = written(_compared(_around(lists), nodes, kind, threshold, True), "found")
-            rows_of_links.append(_named(found))
-            settled = lists.withColumn("fresh", F.lit(False))
-            lists = written(_merged(settled.unionByName(_neighbours(found))), "lists")
-            moved, total = lists.agg(F.count_if("fresh"), F.count("*")).first()
-            if moved <= 0.001 * total:
+        most = NEIGHBOURS << attempt
+        offers = _offers(_acquainted(nodes, attempt * STARTS, STARTS), nodes, None)
+        lists = written(_merged(lists, offers, threshold, most), "lists")
+        for turn in range(ROUNDS):
+            offers = _offers(_around(lists, turn), nodes, lists)
+            lists = written(_merged(lists, offers, threshold, most), "lists")
+            new = F.size(F.filter("fresh", lambda f: f))
+            moved, total = lists.agg(F.sum(new), F.sum(F.size("near"))).first()
+            if (moved or 0) <= SETTLED * (total or 0):
                 break
-        links = rows_of_links[0]
-        for more in rows_of_links[1:]:
-            links = links.unionByName(more)
-        named = written(links.distinct(), "named")
-        totals = written(_totals(counted, named, nodes), "totals")
+        links = written(_links(lists, nodes, kind, threshold), "links")
+        groups = written(components(links), "groups")
+        totals = written(_counted(groups, nodes, kind, threshold), "totals")
         recall = _audit(totals, nodes, kind, threshold)
         if recall >= RECALL:
             break
     else:
         raise RuntimeError(f"links found: {recall:.4f} of those of the audited vectors, less than {RECALL}")
-    linked = totals.select("node", "links")
-    trees = counted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(named)
-    groups = components(trees).join(nodes.select("node", "least"), "node")
+    groups = groups.join(nodes.select("node", "least"), "node")
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     results = (
-        nodes.select("node", "least", "copies")
-        .join(linked, "node", "left")
+        nodes.select("node", "v", "least", "copies")
+        .join(totals.select("node", "links"), "node", "left")
         .join(groups.select("node", "component"), "node", "left")
         .join(least, "component", "left")
         .select(
-            "node",
+            "v",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("component_id", "least").alias("component_id"),
         )
     )
     alone = F.col("v").isNull()
-    group = F.when(alone, F.col("id")).otherwise(F.nullif("component_id", no_id))
-    return rows.join(results, "node", "left").select(
+    group = F.when(alone, F.col("id")).otherwise(F.nullif("component_id", F.lit(_NO_ID)))
+    return rows.join(results, "v", "left").select(
         F.col("id").alias("vec_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         group.alias("component_id"),

@@ -1,4 +1,7 @@
+import re
+
 import numpy as np
+import pytest
 
 from layerframe.llm import embedding_dups
 
@@ -73,19 +76,62 @@ def skewed(spark, hot=1_500, pairs=200):
 
 
 def test_all_links_of_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dups, "BLOCK", 32)
-    monkeypatch.setattr(embedding_dups, "ROUNDS", 0)  # the buckets alone have to find them
-    table, hot, _ = skewed(spark)
+    monkeypatch.setattr(embedding_dups, "BLOCK", 64)
+    table, hot, _ = skewed(spark, hot=900)
     got = embedding_dups.near_vectors(table).where(f"vec_id < {hot}").collect()
     found = sum(r["n_links"] for r in got)
     assert all(r["n_links"] < hot and r["component_id"] == 0 for r in got)
     assert found >= 0.999 * hot * (hot - 1)
 
 
-def test_pairs_count_as_much_as_a_large_group(spark):
-    table, _, pairs = skewed(spark)
-    got = embedding_dups.near_vectors(table, tables=1).where("vec_id >= 10000").collect()
-    assert sum(r["n_links"] >= 1 for r in got) >= 0.95 * 2 * pairs
+def test_descent_finds_the_links(spark, monkeypatch):
+    table, _, pairs = skewed(spark, hot=100)
+    rounds = []
+    merge = embedding_dups._merged
+
+    def seen(*args):
+        rounds.append(1)
+        return merge(*args)
+
+    monkeypatch.setattr(embedding_dups, "_merged", seen)
+    got = embedding_dups.near_vectors(table).where("vec_id >= 10000").collect()
+    assert sum(r["n_links"] >= 1 for r in got) >= 0.95 * 2 * pairs and len(rounds) > 3
+    # The random lists that descent starts from hold few of them.
+    monkeypatch.setattr(embedding_dups, "ROUNDS", 0)
+    with pytest.raises(RuntimeError, match="links found") as told:
+        embedding_dups.near_vectors(table)
+    assert float(re.search(r"0\.\d+", str(told.value))[0]) < 0.5
+
+
+def test_full_lists_of_links_double(spark):
+    lists = spark.createDataFrame(
+        [(1, [2, 3], [0.99, 0.95], [False, False], 2), (5, [6, 7], [0.99, 0.5], [False, True], 2)],
+        embedding_dups._LISTS,
+    )
+    offers = spark.createDataFrame(
+        [(1, [4, 3], [0.97, 0.95]), (5, [8], [0.7]), (5, [8, 7], [0.7, 0.5]), (9, [1], [0.1])],
+        "node long, near array<long>, cosine array<float>",
+    )
+    merged = {r["node"]: r for r in embedding_dups._merged(lists, offers, 0.9, 2).collect()}
+    assert {n: (r["near"], r["fresh"], r["most"]) for n, r in merged.items()} == {
+        1: ([2, 4], [False, True], 4),  # all beyond the threshold: room for more
+        5: ([6, 8], [False, True], 2),
+        9: ([1], [True], 2),
+    }
+    again = {r["node"]: r for r in embedding_dups._merged(embedding_dups._merged(lists, offers, 0.9, 2), offers, 0.9, 2).collect()}
+    assert again[1]["near"] == [2, 4, 3] and again[1]["fresh"] == [False, False, True]
+
+
+def test_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(2)
+    a, b = (rng.normal(size=8).tolist() for _ in range(2))
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, b), (None, [0.0] * 8), (7, a[:4])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in embedding_dups.near_vectors(table).collect()), key=repr)
+    assert got == sorted(
+        [(1, 2, 1, True), (1, 2, 1, True), (1, 1, 1, True), (None, 2, 1, False), (None, 1, 1, False), (None, 0, None, True), (7, 0, 7, True)],
+        key=repr,
+    )
 
 
 def test_no_row_and_no_table_holds_the_links_of_a_large_group(spark, monkeypatch):
@@ -99,7 +145,7 @@ def test_no_row_and_no_table_holds_the_links_of_a_large_group(spark, monkeypatch
         return out
 
     monkeypatch.setattr(embedding_dups, "written_table", measured)
-    table, hot, pairs = skewed(spark)
+    table, hot, pairs = skewed(spark, hot=900)
     embedding_dups.near_vectors(table)
     assert max(size or 0 for row in seen for size in row[1:]) <= embedding_dups.BLOCK
     assert max(row[0] for row in seen) < hot * (hot - 1) / 4
