@@ -74,13 +74,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _price_layers(table: Tables) -> tuple[DataFrame, DataFrame]:
-    base = table("part").where("p_size <= 25").select(
-        F.col("p_partkey").alias("partkey"), F.col("p_retailprice").alias("price")
+    base = table("part").select(
+        F.col("p_partkey").alias("partkey"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")
     )
     extra = (
         table("lineitem")
-        .where("l_returnflag = 'R' AND l_quantity > 45")
-        .groupBy(F.col("l_partkey").alias("partkey"))
+        .groupBy(F.col("l_partkey").alias("partkey"), F.col("l_linenumber").alias("size"))
         .agg(F.max("l_extendedprice").alias("price"))
     )
     return base, extra
@@ -88,27 +87,27 @@ def _price_layers(table: Tables) -> tuple[DataFrame, DataFrame]:
 
 _PRICE_SQL = """
     WITH base AS (
-        SELECT p_partkey AS partkey, p_retailprice AS price FROM part WHERE p_size <= 25
+        SELECT p_partkey AS partkey, p_size AS size, p_retailprice AS price FROM part
     ), extra AS (
-        SELECT l_partkey AS partkey, max(l_extendedprice) AS price FROM lineitem
-        WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY l_partkey
+        SELECT l_partkey AS partkey, l_linenumber AS size, max(l_extendedprice) AS price FROM lineitem
+        GROUP BY l_partkey, l_linenumber
     )
-    SELECT partkey,
+    SELECT partkey, size,
            CASE WHEN e.partkey IS NOT NULL THEN e.price ELSE b.price END AS price,
            CASE WHEN e.partkey IS NULL THEN 'base'
                 WHEN b.partkey IS NULL THEN 'added' ELSE 'overridden' END AS origin
-    FROM base b FULL JOIN extra e USING (partkey)
+    FROM base b FULL JOIN extra e USING (partkey, size)
 """
 
 
 @query(_PRICE_SQL)
 def overlay_part_prices(table: Tables) -> DataFrame:
-    return overlay_rows(*_price_layers(table), "partkey")
+    return overlay_rows(*_price_layers(table), ["partkey", "size"])
 
 
 @query(_PRICE_SQL)
 def overlay_part_prices_small_extra(table: Tables) -> DataFrame:
-    return overlay_rows(*_price_layers(table), "partkey", small_extra=True)
+    return overlay_rows(*_price_layers(table), ["partkey", "size"], small_extra=True)
 
 
 @query("""
@@ -270,17 +269,19 @@ def mark_active_event_types(table: Tables) -> DataFrame:
 
 
 def _balances(table: Tables) -> DataFrame:
-    return table("customer").where("c_acctbal >= 0").select(
+    return table("customer").select(
         F.col("c_custkey").alias("custkey"),
+        F.col("c_nationkey").cast("long").alias("slot"),
         F.col("c_acctbal").alias("amount"),
         F.col("c_mktsegment").alias("owner"),
     )
 
 
 def _pending(table: Tables, owner: str) -> DataFrame:
-    pending = table("orders").where("o_orderstatus = 'P'")
+    """Orders ask for slots of their customers, who hold that of their nation."""
     return (
-        pending.groupBy(F.col("o_custkey").alias("custkey"))
+        table("orders")
+        .groupBy(F.col("o_custkey").alias("custkey"), (F.col("o_orderkey") % 25).alias("slot"))
         .agg(F.max("o_totalprice").alias("amount"))
         .withColumn("owner", F.lit(owner))
     )
@@ -288,26 +289,26 @@ def _pending(table: Tables, owner: str) -> DataFrame:
 
 _BALANCES_SQL = """
     current_rows AS (
-        SELECT c_custkey AS custkey, c_acctbal AS amount, c_mktsegment AS owner
-        FROM customer WHERE c_acctbal >= 0
+        SELECT c_custkey AS custkey, c_nationkey::BIGINT AS slot, c_acctbal AS amount, c_mktsegment AS owner
+        FROM customer
     ), incoming AS (
-        SELECT o_custkey AS custkey, max(o_totalprice) AS amount FROM orders
-        WHERE o_orderstatus = 'P' GROUP BY o_custkey
+        SELECT o_custkey AS custkey, o_orderkey % 25 AS slot, max(o_totalprice) AS amount FROM orders
+        GROUP BY 1, 2
     )
 """
 _APPLY_SQL = f"""
     WITH {_BALANCES_SQL}
-    SELECT custkey, outcome,
+    SELECT custkey, slot, outcome,
            CASE WHEN outcome IN ('inserted', 'replaced') THEN new_amount
                 ELSE old_amount END AS amount,
            CASE WHEN outcome IN ('inserted', 'replaced') THEN 'BUILDING'
                 ELSE owner END AS owner
     FROM (
-        SELECT custkey, c.amount AS old_amount, i.amount AS new_amount, c.owner,
+        SELECT custkey, slot, c.amount AS old_amount, i.amount AS new_amount, c.owner,
                CASE WHEN i.custkey IS NULL THEN 'kept'
                     WHEN c.custkey IS NULL THEN 'inserted'
                     WHEN c.owner = 'BUILDING' THEN 'replaced' ELSE 'conflict' END AS outcome
-        FROM current_rows c FULL JOIN incoming i USING (custkey)
+        FROM current_rows c FULL JOIN incoming i USING (custkey, slot)
     )
 """
 
@@ -317,7 +318,7 @@ def managed_apply_pending_orders(table: Tables) -> DataFrame:
     return managed_apply(
         _balances(table),
         _pending(table, "BUILDING"),
-        "custkey",
+        ["custkey", "slot"],
         F.col("owner") == "BUILDING",
     )
 
@@ -327,7 +328,7 @@ def managed_apply_small_incoming(table: Tables) -> DataFrame:
     return managed_apply(
         _balances(table),
         _pending(table, "BUILDING"),
-        "custkey",
+        ["custkey", "slot"],
         F.col("owner") == "BUILDING",
         small_incoming=True,
     )
@@ -376,20 +377,20 @@ def removable_customers(table: Tables) -> DataFrame:
 
 @query(f"""
     WITH {_BALANCES_SQL}, cleared AS (
-        SELECT * FROM current_rows WHERE NOT (owner = 'BUILDING' AND custkey IN (
-            SELECT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')))
+        SELECT * FROM current_rows WHERE NOT (owner = 'BUILDING' AND (custkey, slot) IN (
+            SELECT (o_custkey, o_orderkey % 25) FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')))
     )
-    SELECT custkey, outcome,
+    SELECT custkey, slot, outcome,
            CASE WHEN outcome IN ('inserted', 'replaced') THEN new_amount
                 ELSE old_amount END AS amount,
            CASE WHEN outcome IN ('inserted', 'replaced') THEN 'MACHINERY'
                 ELSE owner END AS owner
     FROM (
-        SELECT custkey, c.amount AS old_amount, i.amount AS new_amount, c.owner,
+        SELECT custkey, slot, c.amount AS old_amount, i.amount AS new_amount, c.owner,
                CASE WHEN i.custkey IS NULL THEN 'kept'
                     WHEN c.custkey IS NULL THEN 'inserted'
                     WHEN c.owner = 'BUILDING' THEN 'replaced' ELSE 'conflict' END AS outcome
-        FROM cleared c FULL JOIN incoming i USING (custkey)
+        FROM cleared c FULL JOIN incoming i USING (custkey, slot)
     )
 """)
 def switch_customer_owner(table: Tables) -> DataFrame:
@@ -397,10 +398,10 @@ def switch_customer_owner(table: Tables) -> DataFrame:
     return switch_owner(
         _balances(table),
         _pending(table, "MACHINERY"),
-        "custkey",
+        ["custkey", "slot"],
         F.col("owner") == "BUILDING",
-        scope=urgent.select(F.col("o_custkey").alias("custkey")),
-        scope_keys="custkey",
+        scope=urgent.select(F.col("o_custkey").alias("custkey"), (F.col("o_orderkey") % 25).alias("slot")),
+        scope_keys=["custkey", "slot"],
         registry=table("customer").select(F.col("c_mktsegment").alias("owner")),
     )
 
@@ -434,10 +435,10 @@ def rejected_event_types(table: Tables) -> DataFrame:
 
 @query("""
     SELECT o_orderkey AS orderkey, o_custkey AS custkey, c_name AS canonical
-    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 """)
 def canonical_customer_names(table: Tables) -> DataFrame:
-    aliases = table("customer").where("c_acctbal >= 0").select(
+    aliases = table("customer").select(
         F.col("c_custkey").alias("custkey"), F.col("c_name").alias("canonical")
     )
     orders = table("orders").select(

@@ -57,5 +57,5 @@ def test_each_query_has_sql():
 
 def test_entry_runs(spark):
     got = spark_entry.entry(spark)
-    assert got.columns == ["partkey", "price", "origin"]
+    assert got.columns == ["partkey", "size", "price", "origin"]
     assert {r.origin for r in got.collect()} == {"base", "overridden", "added"}
