@@ -3,12 +3,13 @@
 Terms are words in lower case. The lexicon holds those within a band of inverse
 document frequency. Randomised lexicons are nested: each level keeps half of
 the terms of the one before, by hash, and each level is dealt into subsets.
-All words of a text are looked up. It takes the level at which about two dozen
-of its distinct terms in the lexicon are left, by their number, or the sparsest
-below that at which any are, and its fingerprint has for each subset a hash
-of the text's sorted distinct terms in it, and the same at the next level, so
-that texts of nearly as many terms can be compared. A changed word spoils
-only the subset it is in.
+All words of a text are looked up. A fingerprint begins with a hash of all
+sorted distinct terms that the text has in the lexicon; then come its hashes
+by subset at several levels. The first is that at which about two dozen of its
+terms are left, by their number, or the sparsest below that at which any are;
+the others are the sparser ones up to where a text of so many terms has hardly
+any left, so that texts of any two lengths are compared at the densest level
+that both have. A changed word spoils only the subset it is in.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import small_side, text_or_empty
 LOWEST_IDF = 3.0
 HIGHEST_IDF = 6.9
 SUBSETS = 32
+LEVELS = 5
+"""So many levels are hashed, from a text's own on."""
 LEVEL_SHIFT = 4
 """Level 0 holds texts of fewer than 2 to this power (times 2) distinct terms."""
 
@@ -72,44 +75,50 @@ def in_level(term: Column, level: Column) -> Column:
 
 
 def terms_at(terms: Column, level: Column) -> Column:
-    """The terms of a level in order."""
-    return F.array_sort(F.filter(terms, lambda t: in_level(t, level)))
+    return F.filter(terms, lambda t: in_level(t, level))
 
 
-def fingerprint_of(level: Column, in_order: Column, sparser: Column) -> Column:
-    """The fingerprint of a text of these terms at its level and the next.
+def hash_of(terms: Column) -> Column:
+    """Eight hexadecimal digits for terms in order; none for no terms."""
+    digits = F.substring(F.lpad(F.hex(F.xxhash64(terms)), 16, "0"), 9, 8)
+    return F.when(F.size(terms) > 0, digits).otherwise(F.lit(""))
 
-    Both have to be columns of the rows: subsets are taken of them in a lambda,
+
+def hashes_of(terms: Column) -> Column:
+    """The hash of the terms in each subset.
+
+    ``terms`` has to be a column of the rows: subsets are taken of it in a lambda,
     where an expression is worked out anew each time.
     """
 
-    def part(own: Column) -> Column:
-        def subset(i: Column) -> Column:
-            members = F.filter(own, lambda t: F.pmod(F.shiftright(t, 40), F.lit(SUBSETS)) == i)
-            digits = F.substring(F.lpad(F.hex(F.xxhash64(members)), 16, "0"), 9, 8)
-            return F.when(F.size(members) > 0, digits).otherwise(F.lit(""))
-
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), subset), ",")
+    def subset(i: Column) -> Column:
+        return hash_of(F.filter(terms, lambda t: F.pmod(F.shiftright(t, 40), F.lit(SUBSETS)) == i))
 
-    return F.concat_ws("|", level.cast("string"), part(in_order), part(sparser))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), subset), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal subset hashes among those either text has, from 0 to 1.
 
-    At levels that differ by one the sparser level's are compared, further apart
-    nothing is alike. Equal fingerprints are fully alike; empty ones are those of
-    texts without words.
+    Compared is the level of the text with more terms, at which the other has
+    hashes too, or has none of its terms left. Equal fingerprints are fully
+    alike; empty ones are those of texts without words.
     """
     own, other = F.split(a, r"\|"), F.split(b, r"\|")
     gap = own[0].cast("int") - other[0].cast("int")
-    left = F.split(F.when(gap == -1, own[2]).otherwise(own[1]), ",")
-    right = F.split(F.when(gap == 1, other[2]).otherwise(other[1]), ",")
-    pairs = F.arrays_zip(left.alias("x"), right.alias("y"))
+
+    def at_level(parts: Column, sparser: Column) -> Column:
+        return F.split(F.coalesce(F.get(parts, sparser + 2), F.lit("")), ",")
+
+    left = at_level(own, F.greatest(-gap, F.lit(0)))
+    right = at_level(other, F.greatest(gap, F.lit(0)))
+    pairs = F.transform(
+        F.arrays_zip(left.alias("x"), right.alias("y")),
+        lambda p: F.struct(F.coalesce(p["x"], F.lit("")).alias("x"), F.coalesce(p["y"], F.lit("")).alias("y")),
+    )
     either = F.size(F.filter(pairs, lambda p: (p["x"] != "") | (p["y"] != "")))
     alike = F.size(F.filter(pairs, lambda p: (p["x"] != "") & (p["x"] == p["y"])))
-    share = F.when((F.abs(gap) > 1) | (either == 0), F.lit(0.0)).otherwise(alike / either)
-    return F.when(a == b, F.lit(1.0)).otherwise(share)
+    return F.when(a == b, F.lit(1.0)).when(either == 0, F.lit(0.0)).otherwise(alike / either)
 
 
 def fingerprints(
@@ -156,14 +165,22 @@ def fingerprints(
         ],
     )
     levelled = chosen.select("*", *[level_of(F.col(f"{t}_terms")).alias(f"{t}_level") for t in texts])
-    for step, name in enumerate(("dense", "sparse")):
+    # Columns one after the other, each from the one before, sorted once.
+    levelled = levelled.withColumns({f"{t}_terms": F.array_sort(f"{t}_terms") for t in texts})
+    for step in range(LEVELS):
+        before = "terms" if not step else f"at_{step - 1}"
         levelled = levelled.withColumns(
-            {f"{t}_{name}": terms_at(F.col(f"{t}_terms"), F.col(f"{t}_level") + step) for t in texts}
+            {f"{t}_at_{step}": terms_at(F.col(f"{t}_{before}"), F.col(f"{t}_level") + step) for t in texts}
         )
     return levelled.select(
         *keys, *keep,
         *[
-            fingerprint_of(*[F.col(f"{t}_{c}") for c in ("level", "dense", "sparse")]).alias(f"{t}_fingerprint")
+            F.concat_ws(
+                "|",
+                F.col(f"{t}_level").cast("string"),
+                hash_of(F.col(f"{t}_terms")),
+                *[hashes_of(F.col(f"{t}_at_{step}")) for step in range(LEVELS)],
+            ).alias(f"{t}_fingerprint")
             for t in texts
         ],
     )
