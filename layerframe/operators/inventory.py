@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerframe.functions.documents import object_keys, with_member
@@ -34,6 +34,7 @@ def inventory(
     content: str | None = None,
     salts: int = 1,
     ordered: bool = False,
+    collation: str | None = None,
 ) -> DataFrame:
     """Listing: a row per file with its group's ``n_files``.
 
@@ -43,7 +44,9 @@ def inventory(
     then, the files need not be shuffled to get them. ``prefix`` names a
     column whose text is cut off the front of the path. Contents may hold
     secrets and are left out unless ``content`` names their column. Order is
-    binary.
+    binary, or that of a Spark ``collation`` such as ``UNICODE`` or ``de``, which
+    sorts text as people of a language do; texts that it takes for equal are
+    in binary order.
     """
     by = key_list(by)
     shown = F.col(path) if prefix is None else strip_prefix(F.col(path), F.col(prefix))
@@ -63,7 +66,16 @@ def inventory(
     )
     tail = [path] if content is None else [path, content]
     listed = listed.select(*by, "n_files", *tail)
-    return listed.orderBy(*by, path) if ordered else listed
+    return listed.orderBy(*_in_order(listed, [*by, path], collation)) if ordered else listed
+
+
+def _in_order(rows: DataFrame, columns: list[str], collation: str | None) -> list[Column]:
+    """Sort keys: texts by a collation, and then in binary order."""
+    if collation is None:
+        return [F.col(c) for c in columns]
+    texts = {name for name, kind in rows.dtypes if kind.startswith("string")}
+    own = [F.collate(c, collation) if c in texts else F.col(c) for c in columns]
+    return [*own, *[F.col(c) for c in columns if c in texts]]
 
 
 def json_keys(
@@ -75,10 +87,12 @@ def json_keys(
     key: str = "key",
     distinct: bool = True,
     ordered: bool = False,
+    collation: str | None = None,
 ) -> DataFrame:
     """Keys of JSON objects (or of the object in their ``field``) as rows.
 
-    Broken text and other JSON values give no rows. ``by`` keeps columns.
+    Broken text and other JSON values give no rows. ``by`` keeps columns. With
+    ``ordered`` they are sorted as in :func:`inventory`.
     """
     by = key_list(by)
     found = object_keys(F.col(document))
@@ -89,4 +103,4 @@ def json_keys(
     keys = df.select(*by, F.explode(found).alias(key))
     if distinct:
         keys = keys.distinct()
-    return keys.orderBy(*by, key) if ordered else keys
+    return keys.orderBy(*_in_order(keys, [*by, key], collation)) if ordered else keys

@@ -238,8 +238,14 @@ def list_profiles(names: DataFrame, log: DataFrame, order: Keys) -> DataFrame:
     return mark_active(names, state, "scope", "profile", "profile", check=False)
 
 
-def show_profiles(items: DataFrame, registry: DataFrame) -> DataFrame:
-    """Per profile and item: target, number of files and how servers are kept."""
+def show_profiles(
+    items: DataFrame, registry: DataFrame, extras: DataFrame | None = None
+) -> DataFrame:
+    """Per profile and item: target, number of files and how servers are kept.
+
+    With ``extras`` (rows by profile) ``has_extras`` tells whether servers kept by
+    hand are added to those of the gateway; profiles without a gateway have none.
+    """
     counts = inventory_counts(
         items.where(F.col("item").isin(ITEMS)), ["profile", "item"]
     )
@@ -247,11 +253,17 @@ def show_profiles(items: DataFrame, registry: DataFrame) -> DataFrame:
         "profile",
         F.when(F.col("gateway_id").isNull(), "manual").otherwise("gateway").alias("servers"),
     )
+    flags = ["servers"]
+    if extras is not None:
+        known = extras.select("profile").distinct().withColumn("__extra", F.lit(True))
+        has_extras = (F.col("servers") == "gateway") & F.coalesce("__extra", F.lit(False))
+        mode = mode.join(known, "profile", "left").withColumn("has_extras", has_extras).drop("__extra")
+        flags.append("has_extras")
     return lookup_join(counts, mode, "profile").select(
         "profile",
         "item",
         canonical_name(F.col("item"), fixed.ITEM_TARGETS).alias("target"),
-        "servers",
+        *flags,
         "n_files",
     )
 

@@ -1122,15 +1122,7 @@ def deactivate_customer_profiles(table: Tables) -> DataFrame:
     )
 
 
-@query(f"""
-    SELECT 'part-' || l_partkey AS profile, item, target, count(*) AS n_files,
-           CASE WHEN p_size <= 25 THEN 'gateway' ELSE 'manual' END AS servers
-    FROM lineitem JOIN part ON l_partkey = p_partkey
-    JOIN (SELECT item, target, row_number() OVER () AS n
-          FROM (VALUES {_ITEM_VALUES_SQL}) v (item, target)) ON n = l_linenumber
-    GROUP BY ALL
-""")
-def show_part_profiles(table: Tables) -> DataFrame:
+def _part_items(table: Tables) -> tuple[DataFrame, DataFrame]:
     name = F.array(*[F.lit(i) for i in profiles.ITEMS])
     items = table("lineitem").select(
         F.concat(F.lit("part-"), "l_partkey").alias("profile"),
@@ -1141,6 +1133,31 @@ def show_part_profiles(table: Tables) -> DataFrame:
         F.concat(F.lit("part-"), "p_partkey").alias("profile"),
         F.when(F.col("p_size") <= 25, F.col("p_name")).alias("gateway_id"),
     )
+    return items, registry
+
+
+_PART_ITEMS_SQL = f"""
+    SELECT 'part-' || l_partkey AS profile, item, target, count(*) AS n_files,
+           CASE WHEN p_size <= 25 THEN 'gateway' ELSE 'manual' END AS servers,
+           p_size <= 25 AND p_partkey IN (SELECT s_suppkey FROM supplier) AS has_extras
+    FROM lineitem JOIN part ON l_partkey = p_partkey
+    JOIN (SELECT item, target, row_number() OVER () AS n
+          FROM (VALUES {_ITEM_VALUES_SQL}) v (item, target)) ON n = l_linenumber
+    GROUP BY ALL
+"""
+
+
+@query(f"SELECT profile, item, target, n_files, servers FROM ({_PART_ITEMS_SQL})")
+def show_part_profiles(table: Tables) -> DataFrame:
+    items, registry = _part_items(table)
     return profiles.show_profiles(items, registry).select(
         "profile", "item", "target", "n_files", "servers"
     )
+
+
+@query(_PART_ITEMS_SQL)
+def show_part_extras(table: Tables) -> DataFrame:
+    """The same, where suppliers keep servers by hand for the parts of their number."""
+    items, registry = _part_items(table)
+    extras = table("supplier").select(F.concat(F.lit("part-"), "s_suppkey").alias("profile"))
+    return profiles.show_profiles(items, registry, extras)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerframe import (
+    inventory,
     json_keys,
     normalize_ref,
     object_keys,
@@ -248,3 +249,14 @@ def test_overlay_of_random_documents(spark, field):
         assert got[i] == expected, (base, text)
         seen.add(expected[0])
     assert seen == {"absent", "empty", "invalid", "merged"}
+
+
+def test_listings_in_the_order_of_a_language(spark):
+    names = ["a", "B", "c", "Ä", "z", "_", "é", "f", "E"]
+    items = spark.createDataFrame([("g", n) for n in names], "g string, path string")
+    binary = [r.path for r in inventory(items, "g", ordered=True).collect()]
+    assert binary == sorted(names)
+    spoken = [r.path for r in inventory(items, "g", ordered=True, collation="UNICODE").collect()]
+    assert spoken == ["_", "a", "Ä", "B", "c", "E", "é", "f", "z"]
+    docs = spark.createDataFrame([('{"b": 1, "A": 2, "a": 3}',)], "doc string")
+    assert [r.key for r in json_keys(docs, "doc", ordered=True, collation="UNICODE").collect()] == ["a", "A", "b"]

@@ -206,3 +206,16 @@ def test_log_rows_of_a_switch(spark):
     assert rows(added) == [("s2", "b")]
     scopes = spark.createDataFrame([("s1",), ("s1",), ("s2",), ("s3",)], "scope string")
     assert rows(p.deactivation_log(scopes, log, "ts")) == [("s1", None)]
+
+
+def test_show_tells_who_has_extras(spark):
+    items = spark.createDataFrame(
+        [(n, "skills", "skills/a") for n in ("gw", "gw-plain", "hand")], "profile string, item string, path string"
+    )
+    registry = spark.createDataFrame([("gw", "1"), ("gw-plain", "2"), ("hand", None)], "profile string, gateway_id string")
+    extras = spark.createDataFrame([("gw", "{}"), ("gw", "again"), ("hand", "{}")], "profile string, content string")
+    got = p.show_profiles(items, registry, extras).collect()
+    assert {r.profile: (r.servers, r.has_extras, r.n_files) for r in got} == {
+        "gw": ("gateway", True, 1), "gw-plain": ("gateway", False, 1), "hand": ("manual", False, 1)
+    }
+    assert "has_extras" not in p.show_profiles(items, registry).columns
