@@ -7,7 +7,9 @@ shuffled, and adaptive execution splits a hot key's rows over several tasks
 left, semi and anti joins). It does so only right above the join's own
 exchanges, so the joins here never ride on the partitioning of an earlier
 aggregate or check. Where adaptive execution is off, ``salts`` does the
-splitting.
+splitting. With ``laid_out`` the many rows are a table saved in buckets of the key:
+they are not shuffled at all, and the rows of hot keys, which are measured first,
+are looked up where they lie.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerframe.operators.keys import Keys, key_list, require_unique, spread_key
+from layerframe.sources.shared import new_shared_path, written_table
 
 
 def lookup_join(
@@ -28,6 +31,7 @@ def lookup_join(
     *,
     salts: int = 1,
     salt_by: Keys | None = None,
+    laid_out: bool = False,
 ) -> DataFrame:
     """Join ``rows`` to ``table``, spreading each key over ``salts`` tasks.
 
@@ -36,6 +40,8 @@ def lookup_join(
     times.
     """
     on = key_list(on)
+    if laid_out:
+        return _laid_out_join(rows, table, on, how)
     if salts <= 1:
         spread = spread_key(rows, table, on)
         return (
@@ -52,6 +58,31 @@ def lookup_join(
     return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
 
 
+HOT_SHARE = 0.001
+"""A key with more than this share of all rows is hot, so there are 1,000 at most."""
+
+LEAST_HOT = 10_000
+
+
+def _laid_out_join(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``rows``, saved in buckets of ``on``, joined to ``table`` where they lie.
+
+    Cold keys meet ``table`` bucket by bucket, so only that side is shuffled. Hot keys
+    would keep one task busy; their rows are joined to the few rows that ``table`` has
+    for them, which are broadcast. Counting keys needs no shuffle of the buckets either.
+    """
+    counts = rows.groupBy(*on).agg(F.count("*").alias("__n"))
+    least = F.greatest(rows.agg(F.count("*") * F.lit(HOT_SHARE)).scalar(), F.lit(LEAST_HOT))
+    hot = counts.where(F.col("__n") > least).select(*on)
+    hot = written_table(hot, new_shared_path(rows.sparkSession, "hot"))
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    few = F.broadcast(hot)
+    held = table.join(few, on, "left_semi")
+    cold = rows.join(few, on, "left_anti").join(table, on, how)
+    return cold.unionByName(rows.join(few, on, "left_semi").join(F.broadcast(held), on, how))
+
+
 def mark_active(
     names: DataFrame,
     state: DataFrame,
@@ -61,6 +92,7 @@ def mark_active(
     flag: str = "is_active",
     salts: int = 1,
     check: bool = True,
+    laid_out: bool = False,
 ) -> DataFrame:
     """All ``names`` with a flag: is ``name`` the ``active`` value of its scope?
 
@@ -71,7 +103,7 @@ def mark_active(
     current = state.select(*on, F.col(active).alias("__active"))
     if check:
         current = require_unique(current, on, "state")
-    joined = lookup_join(names, current, on, "left", salts=salts)
+    joined = lookup_join(names, current, on, "left", salts=salts, laid_out=laid_out)
     is_active = F.coalesce(F.col(name) == F.col("__active"), F.lit(False))
     return joined.select(*names.columns, is_active.alias(flag))
 
@@ -105,17 +137,22 @@ def owner_of(
 
 
 def tag_known(
-    df: DataFrame, registry: DataFrame, on: Keys, flag: str = "known", salts: int = 1
+    df: DataFrame,
+    registry: DataFrame,
+    on: Keys,
+    flag: str = "known",
+    salts: int = 1,
+    laid_out: bool = False,
 ) -> DataFrame:
     """``df`` with a flag telling whether ``on`` is in ``registry``; one join."""
     on = key_list(on)
     known = registry.select(*on).distinct().withColumn("__known", F.lit(True))
-    joined = lookup_join(df, known, on, "left", salts=salts)
+    joined = lookup_join(df, known, on, "left", salts=salts, laid_out=laid_out)
     return joined.select(*df.columns, F.coalesce("__known", F.lit(False)).alias(flag))
 
 
 def exists_guard(
-    df: DataFrame, registry: DataFrame, on: Keys, salts: int = 1
+    df: DataFrame, registry: DataFrame, on: Keys, salts: int = 1, laid_out: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose ``on`` is registered, and the others."""
     on = key_list(on)
@@ -123,8 +160,8 @@ def exists_guard(
     # in one task, and that side of the join cannot be split.
     names = registry.select(*on).distinct()
     return (
-        lookup_join(df, names, on, "left_semi", salts=salts),
-        lookup_join(df, names, on, "left_anti", salts=salts),
+        lookup_join(df, names, on, "left_semi", salts=salts, laid_out=laid_out),
+        lookup_join(df, names, on, "left_anti", salts=salts, laid_out=laid_out),
     )
 
 
@@ -135,6 +172,7 @@ def alias_lookup(
     canonical: str = "canonical",
     salts: int = 1,
     strict: bool = False,
+    laid_out: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with the canonical name of their alias, and rows without one.
 
@@ -143,7 +181,7 @@ def alias_lookup(
     alias that is unknown or NULL fails the job instead, and the second table is
     empty.
     """
-    named = with_canonical(df, aliases, on, canonical, salts)
+    named = with_canonical(df, aliases, on, canonical, salts, laid_out)
     if strict:
         shown = F.coalesce(F.col(on).cast("string"), F.lit("NULL"))
         unknown = F.raise_error(F.concat(F.lit(f"{on} not found: "), shown)).cast("string")
@@ -161,12 +199,13 @@ def with_canonical(
     on: str,
     canonical: str = "canonical",
     salts: int = 1,
+    laid_out: bool = False,
 ) -> DataFrame:
     """``df`` with the canonical name of ``on``, NULL for an unknown alias."""
     if isinstance(aliases, Mapping):
         return df.withColumn(canonical, canonical_name(F.col(on), aliases))
     table = require_unique(aliases.select(on, canonical), on, "aliases")
-    joined = lookup_join(df, table, on, "left", salts=salts)
+    joined = lookup_join(df, table, on, "left", salts=salts, laid_out=laid_out)
     return joined.select(*df.columns, canonical)
 
 

@@ -226,3 +226,49 @@ def test_strict_aliases(spark, form):
         more = known.union(spark.createDataFrame([(odd,)], "alias string"))
         with pytest.raises(PySparkException, match="alias not found"):
             alias_lookup(more, aliases, "alias", strict=True)[0].collect()
+
+
+def shuffled_scans(df, name):
+    """Scans of a table that lie below a shuffle."""
+    above, found = [], 0
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        above = [(d, x) for d, x in above if d < depth]
+        if name in line and "Scan" in line:
+            found += any("Exchange hashpartitioning" in x for _, x in above)
+        above.append((depth, line))
+    return found
+
+
+def test_laid_out_tables_are_not_shuffled(spark, monkeypatch):
+    from layerframe import save_new_table
+    from layerframe.operators import lookup
+
+    monkeypatch.setattr(lookup, "LEAST_HOT", 1_000)
+    many = spark.range(12_000).selectExpr("if(id % 3 = 0, 7, id % 500) AS k", "id AS v")
+    many = many.union(spark.createDataFrame([(None, -1)], "k long, v long"))
+    table = spark.range(0, 500, 2).selectExpr("id AS k", "concat('name ', id) AS canonical").union(
+        spark.createDataFrame([(7, "hot")], "k long, canonical string")
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        save_new_table(many, "laid_names", "k", 4)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        laid = spark.table("laid_names")
+        for make in (
+            lambda df, **o: tag_known(df, table, "k", **o),
+            lambda df, **o: exists_guard(df, table, "k", **o)[0],
+            lambda df, **o: exists_guard(df, table, "k", **o)[1],
+            lambda df, **o: alias_lookup(df, table, "k", **o)[0],
+            lambda df, **o: alias_lookup(df, table, "k", **o)[1],
+            lambda df, **o: mark_active(df.withColumn("n", F.lit("hot")), table, "k", "n", "canonical", **o),
+        ):
+            got, plain = make(laid, laid_out=True), make(many)
+            assert rows(got) == rows(plain)
+            assert shuffled_scans(got, "laid_names") == 0 < shuffled_scans(make(laid), "laid_names")
+        # Without a hot key there is one join.
+        monkeypatch.setattr(lookup, "LEAST_HOT", 1_000_000)
+        assert rows(tag_known(laid, table, "k", laid_out=True)) == rows(tag_known(many, table, "k"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS laid_names")
