@@ -161,9 +161,13 @@ def masked_text(df_columns: dict[str, Column]) -> Column:
     all_starts = F.concat(starts, F.array(F.length(formatted)))
     spans = F.arrays_zip(df_columns["loss_first"].alias("a"), df_columns["loss_last"].alias("b"))
 
-    def span(s: Column) -> Column:
-        begin = F.element_at(all_starts, s["a"] + 1)
-        end = F.element_at(all_starts, s["b"] + 1)
+    def span(own: Column, s: Column) -> Column:
+        begin = F.element_at(own, s["a"] + 1)
+        end = F.element_at(own, s["b"] + 1)
         return _unescaped(F.substring(formatted, begin + 1, end - begin))
 
-    return F.array_join(F.transform(spans, span), "")
+    # In an array of one, so that the starts are put together once, not for each span.
+    whole = F.transform(
+        F.array(all_starts), lambda own: F.array_join(F.transform(spans, lambda s: span(own, s)), "")
+    )
+    return F.element_at(whole, 1)
