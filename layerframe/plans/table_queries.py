@@ -1122,7 +1122,7 @@ def deactivate_customer_profiles(table: Tables) -> DataFrame:
     )
 
 
-def _part_items(table: Tables) -> tuple[DataFrame, DataFrame]:
+def _shown_parts(table: Tables) -> tuple[DataFrame, DataFrame]:
     name = F.array(*[F.lit(i) for i in profiles.ITEMS])
     items = table("lineitem").select(
         F.concat(F.lit("part-"), "l_partkey").alias("profile"),
@@ -1136,7 +1136,7 @@ def _part_items(table: Tables) -> tuple[DataFrame, DataFrame]:
     return items, registry
 
 
-_PART_ITEMS_SQL = f"""
+_SHOWN_PARTS_SQL = f"""
     SELECT 'part-' || l_partkey AS profile, item, target, count(*) AS n_files,
            CASE WHEN p_size <= 25 THEN 'gateway' ELSE 'manual' END AS servers,
            p_size <= 25 AND p_partkey IN (SELECT s_suppkey FROM supplier) AS has_extras
@@ -1147,17 +1147,17 @@ _PART_ITEMS_SQL = f"""
 """
 
 
-@query(f"SELECT profile, item, target, n_files, servers FROM ({_PART_ITEMS_SQL})")
+@query(f"SELECT profile, item, target, n_files, servers FROM ({_SHOWN_PARTS_SQL})")
 def show_part_profiles(table: Tables) -> DataFrame:
-    items, registry = _part_items(table)
+    items, registry = _shown_parts(table)
     return profiles.show_profiles(items, registry).select(
         "profile", "item", "target", "n_files", "servers"
     )
 
 
-@query(_PART_ITEMS_SQL)
+@query(_SHOWN_PARTS_SQL)
 def show_part_extras(table: Tables) -> DataFrame:
     """The same, where suppliers keep servers by hand for the parts of their number."""
-    items, registry = _part_items(table)
+    items, registry = _shown_parts(table)
     extras = table("supplier").select(F.concat(F.lit("part-"), "s_suppkey").alias("profile"))
     return profiles.show_profiles(items, registry, extras)
