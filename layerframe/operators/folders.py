@@ -80,6 +80,8 @@ def _settled(state: DataFrame, names: DataFrame, known: DataFrame | None, label:
 
     Rewriting looks links up in ``known``, or in what is settled of ``state`` itself.
     """
+    if known is None and _first_links(state, names).isEmpty():
+        return state  # as usual: no link lies on the way of another
     root = new_shared_path(state.sparkSession, label)
     latest = written_table(_with_first_link(state, names), f"{root}/0")
     done = latest.where("__via IS NULL").drop("__via")
@@ -117,12 +119,17 @@ def _settled(state: DataFrame, names: DataFrame, known: DataFrame | None, label:
 
 def _with_first_link(state: DataFrame, names: DataFrame) -> DataFrame:
     """``state`` with ``__via``, the shortest beginning of ``path`` that is a link."""
+    found = _first_links(state, names)
+    return lookup_join(state, found, "path", "left").select(*state.columns, "__via")
+
+
+def _first_links(state: DataFrame, names: DataFrame) -> DataFrame:
+    """(``path``, ``__via``) of the paths of ``state`` that meet a link."""
     paths = state.where("NOT lost AND path IS NOT NULL").select("path").distinct()
     begun = paths.select("path", beginnings(F.col("path")).alias("__via"))
-    found = lookup_join(begun, names, "__via", "left_semi").groupBy("path").agg(
+    return lookup_join(begun, names, "__via", "left_semi").groupBy("path").agg(
         F.min_by("__via", F.length("__via")).alias("__via")
     )
-    return lookup_join(state, found, "path", "left").select(*state.columns, "__via")
 
 
 def beginnings(path: Column) -> Column:
