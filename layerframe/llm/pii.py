@@ -35,7 +35,7 @@ PATTERNS = {
     "secret": rf"(?<![A-Za-z])(?i:(?:{_SETTING})\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[a-z+/_-]{{0,200}}\d)"
     r"|(?:password|passwd|pwd)\s{0,3}=\s{0,3}[\"']?)[A-Za-z0-9+/_-]{8,}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:.])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{{0,40}}\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:.])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)"
