@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
-from .pieces import PieceEncoder, byte_characters
+from .pieces import MOST_PIECES, PieceEncoder, byte_characters
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def encoder_of_ranks(ranks: dict[bytes, int], pattern: str) -> PieceEncoder:
+def encoder_of_ranks(ranks: dict[bytes, int], pattern: str, most: int = MOST_PIECES) -> PieceEncoder:
     """An encoder of the ``tokenizers`` library's BPE model that merges by ranks."""
     from tokenizers import models
 
@@ -42,12 +42,12 @@ def encoder_of_ranks(ranks: dict[bytes, int], pattern: str) -> PieceEncoder:
     ]
     vocabulary = {shown[token]: rank for token, rank in ranks.items()}
     model = models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True)
-    return PieceEncoder(model, vocabulary, pattern)
+    return PieceEncoder(model, vocabulary, pattern, most=most)
 
 
 @lru_cache(maxsize=4)
-def _cached_encoder(path: str, pattern: str) -> PieceEncoder:
-    return encoder_of_ranks(read_ranks(path), pattern)
+def _cached_encoder(path: str, pattern: str, most: int) -> PieceEncoder:
+    return encoder_of_ranks(read_ranks(path), pattern, most)
 
 
 @lru_cache(maxsize=4)
@@ -62,7 +62,12 @@ def _cached_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def encode_documents(
-    docs: DataFrame, path: str, pattern: str, offsets: bool = True, decoded: bool = False
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    offsets: bool = True,
+    decoded: bool = False,
+    most_pieces: int = MOST_PIECES,
 ) -> DataFrame:
     """``docs`` with the tokens of its whole texts.
 
@@ -74,14 +79,15 @@ def encode_documents(
     count as empty and have no tokens; strings that look like special tokens are
     ordinary text. ``path`` names a rank file that every executor can open. Rows
     are handed on in batches of bounded size, so memory does not grow with the
-    table; a row needs some times its text.
+    table; a row needs some times its text. A worker remembers the tokens of
+    ``most_pieces`` pieces, which costs it some 250 bytes each.
     """
     added = ["token_ids"] + ["token_starts"] * offsets + ["decoded"] * decoded
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     schema = T.StructType(kept.schema.fields + [T.StructField(c, T.BinaryType(), False) for c in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = _cached_encoder(path, pattern), _cached_bytes(path)
+        encoder, table = _cached_encoder(path, pattern, most_pieces), _cached_bytes(path)
         for batch in batches:
             texts = batch.column("text")
             for first, part in slices(texts):

@@ -71,12 +71,20 @@ class PieceEncoder:
     The pattern has to match every character.
     """
 
-    def __init__(self, model, vocabulary: dict[str, int], pattern: str, special: dict[str, int] | None = None):
+    def __init__(
+        self,
+        model,
+        vocabulary: dict[str, int],
+        pattern: str,
+        special: dict[str, int] | None = None,
+        most: int = MOST_PIECES,
+    ):
         import regex
         from tokenizers import Regex, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = model
+        self.most = most
         self.vocabulary = vocabulary
         self.special = special or {}
         self.lengths = np.zeros(max([*vocabulary.values(), *self.special.values()]) + 1, np.int64)
@@ -131,7 +139,7 @@ class PieceEncoder:
             new = {piece: self._tokens(piece) for piece in missing}
             if any(len(piece) > LONG_PIECE for piece in new):
                 return b"".join([known.get(p) or new[p] for p in pieces])
-            if len(known) + len(new) > MOST_PIECES:
+            if len(known) + len(new) > self.most:
                 new |= {piece: known[piece] for piece in set(pieces).intersection(known)}
                 known.clear()
             known |= new

@@ -77,7 +77,9 @@ def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(docs, path, public_tokenizers.PATTERN, offsets=True, decoded=True)
+    pattern = public_tokenizers.PATTERN
+    # Workers that other stages use too remember fewer pieces.
+    encoded = encode(docs, path, pattern, offsets=True, decoded=True, most_pieces=60_000)
     added = ("text", "n_chars", "token_ids", "token_starts", "n_tokens", "decoded_text", "decoded")
     return encoded.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in added], "token_ids", "token_starts",
