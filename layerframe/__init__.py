@@ -33,7 +33,7 @@ from layerframe.operators.overlay import fill_defaults, overlay_rows
 from layerframe.operators.snapshot import capture, dereference
 from layerframe.operators.state import active_state
 from layerframe.sources.corpus import list_items, load_items
-from layerframe.sources.sinks import save_new, save_new_table
+from layerframe.sources.sinks import save_new, save_new_files, save_new_table
 from layerframe.sources.states import (
     apply_to_state,
     create_state,
@@ -79,6 +79,7 @@ __all__ = [
     "resolve_links",
     "resolve_paths",
     "save_new",
+    "save_new_files",
     "save_new_table",
     "state_version",
     "strip_prefix",

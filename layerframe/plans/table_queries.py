@@ -36,6 +36,7 @@ from layerframe import (
     remove_from_state,
     render_doc,
     save_new,
+    save_new_files,
     switch_owner,
     tag_known,
 )
@@ -589,16 +590,33 @@ def load_page_contents(table: Tables) -> DataFrame:
     )
 
 
+_FILES_A_FOLDER = 10_000
+
+
 @query("""
-    SELECT regexp_extract(url, '://([^/]*)', 1) AS host, sum(strlen(html) + length(page_id::VARCHAR) + 3)::BIGINT AS n_bytes
-    FROM pages GROUP BY host
+    SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host, strlen(html) + 1 AS n_bytes FROM pages
 """)
 def list_page_files(table: Tables) -> DataFrame:
-    """Write the pages of each host as files, then list the tree from the tasks."""
-    root = _page_tree(table)
-    folders = table("pages").select(F.concat(F.lit("profile="), _host()).alias("profile")).distinct()
-    files = list_items(folders, root).where("NOT endswith(path, '.crc')")
-    return files.groupBy(_unlabelled("profile").alias("host")).agg(F.sum("n_bytes").alias("n_bytes"))
+    """Write each page as a file, then list the tree from the tasks."""
+    pages = table("pages")
+    root = new_shared_path(pages.sparkSession, "pages")
+    host = F.regexp_extract("url", "://([^/]*)", 1)
+    # Numbered as they are read, so that ids may repeat and no folder has very many files.
+    numbered = pages.select(
+        F.coalesce(F.concat(F.lit("host="), F.url_encode(host)), F.lit("none")).alias("profile"),
+        F.coalesce(F.col("page_id").cast("string"), F.lit("none")).alias("page"),
+        F.concat("html", F.lit("\n")).alias("content"),
+        F.monotonically_increasing_id().alias("n"),
+    )
+    shard = F.floor(F.col("n") / _FILES_A_FOLDER).cast("string")
+    name = F.concat_ws("/", "profile", shard, F.concat_ws(".", "page", "n"))
+    save_new_files(numbered.select(name.alias("name"), "content"), root)
+    page = F.substring_index(F.substring_index("path", "/", -1), ".", 1)
+    return list_items(numbered.select("profile").distinct(), root).select(
+        F.when(page != "none", page).cast("long").alias("page_id"),
+        F.when(F.col("profile") != "none", F.url_decode(_unlabelled("profile"))).alias("host"),
+        F.nullif("n_bytes", F.lit(0)).alias("n_bytes"),
+    )
 
 
 # --- snapshots --------------------------------------------------------------

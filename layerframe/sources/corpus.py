@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -11,7 +10,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerframe.sources.shared import new_shared_path, written_table
+from layerframe.sources.shared import arrow_uri, new_shared_path, written_table
 
 
 def load_items(
@@ -69,8 +68,7 @@ def list_items(profiles: DataFrame, root: str, with_content: bool = False) -> Da
     from the files of the last listing.
     """
 
-    # Hadoop's spellings of schemes, in the form Arrow knows.
-    uri = re.sub("^s3[an]://", "s3://", re.sub("^file:/+", "file:///", root))
+    uri = arrow_uri(root)
 
     def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(uri)

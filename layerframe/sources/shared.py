@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,6 +39,11 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{PREFIX}{label}-{uuid.uuid4().hex}"
 
 
+def arrow_uri(path: str) -> str:
+    """A path or URI with Hadoop's spellings of schemes in the form Arrow knows."""
+    return re.sub("^s3[an]://", "s3://", re.sub("^file:/+", "file:///", path))
+
+
 def written_table(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` once and go on from the files.
 

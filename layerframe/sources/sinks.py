@@ -14,11 +14,15 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from layerframe.operators.keys import Keys, key_list
+from layerframe.operators.keys import Keys, key_list, require_unique_counted
+from layerframe.sources.shared import arrow_uri
 
 
 def save_new(
@@ -33,22 +37,53 @@ def save_new(
     has all files from the moment it exists, on file systems that rename
     folders in one step; on others its ``_SUCCESS`` file comes last.
     """
-    spark = df.sparkSession
-    system, target = located(spark, path)
-    with claimed(spark, path):
-        if system.exists(target):
-            raise AnalysisException(f"{path} already exists")
-        name = f".{target.getName()}.writing-{uuid.uuid4().hex}"
-        staged = _beside(spark, target, name)
+    with _staged(df.sparkSession, path) as staged:
         writer = df.write.format(file_format).mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        try:
-            writer.save(staged.toString())
-            if not system.rename(staged, target):
-                raise AnalysisException(f"{path} could not be named")
-        finally:
-            system.delete(staged, True)
+        writer.save(staged.toString())
+
+
+def save_new_files(files: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
+    """Write each row as a file of its own below ``path``; an error if that exists.
+
+    ``name`` is the file's path below ``path``, ``content`` its text, written as
+    UTF-8; a NULL makes an empty file. Names that repeat or are NULL are an error.
+    The tasks write the files themselves, so that no name passes through the
+    driver; ``path`` must be one that Arrow can open on every executor. A file gets
+    its name when it is whole, and a task that runs again passes over what is there.
+    """
+    with _staged(files.sparkSession, path) as staged:
+        uri = arrow_uri(staged.toString())
+
+        def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            store, base = fs.FileSystem.from_uri(uri)
+            begun = f"{base}/{_BEGUN}/{uuid.uuid4().hex}"
+            store.create_dir(f"{base}/{_BEGUN}", recursive=True)
+            made = set()
+            for batch in batches:
+                for file, text in zip(batch["name"], batch["content"]):
+                    place = f"{base}/{file}"
+                    folder = place.rpartition("/")[0]
+                    if folder not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    if store.get_file_info(place).type != fs.FileType.NotFound:
+                        continue
+                    with store.open_output_stream(begun) as stream:
+                        stream.write((text or "").encode())
+                    store.move(begun, place)
+                yield pd.DataFrame({"n": [len(batch)]})
+
+        checked = require_unique_counted(files, name, "files")
+        rows = checked.select(F.col(name).alias("name"), F.col(content).cast("string").alias("content"))
+        rows.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+        system, begun = located(files.sparkSession, f"{staged.toString()}/{_BEGUN}")
+        system.mkdirs(begun)  # without rows no task has made the folder
+        system.delete(begun, True)
+
+
+_BEGUN = ".begun"
 
 
 def save_new_table(df: DataFrame, name: str, keys: Keys, buckets: int) -> None:
@@ -71,6 +106,22 @@ def save_new_table(df: DataFrame, name: str, keys: Keys, buckets: int) -> None:
         )
 
 
+@contextmanager
+def _staged(spark: SparkSession, path: str) -> Iterator[Any]:
+    """A folder beside ``path``, claimed, that gets its name when this ends well."""
+    system, target = located(spark, path)
+    with claimed(spark, path):
+        if system.exists(target):
+            raise AnalysisException(f"{path} already exists")
+        staged = _beside(spark, target, f".{target.getName()}.writing-{uuid.uuid4().hex}")
+        try:
+            yield staged
+            if not system.rename(staged, target):
+                raise AnalysisException(f"{path} could not be named")
+        finally:
+            system.delete(staged, True)
+
+
 @contextmanager
 def claimed(spark: SparkSession, path: str) -> Iterator[None]:
     """While this lasts nobody else can claim ``path``; an error if somebody has."""

@@ -1,10 +1,12 @@
 from pathlib import Path
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.errors import AnalysisException
 
-from layerframe import list_items, load_items, overlay_rows, save_new, save_new_table
+from layerframe import list_items, load_items, overlay_rows, save_new, save_new_files, save_new_table
+from layerframe.plans.table_queries import ORACLES, QUERIES
 from layerframe.sources.shared import new_shared_path, shared_dir, written_table
 
 
@@ -229,3 +231,33 @@ def test_folders_are_dealt_out_in_each_round(spark, tmp_path, monkeypatch):
     latest = max(Path(shared_dir(spark)).glob("layerframe-listing-*"), key=lambda p: p.stat().st_mtime)
     with_rows = [p for p in (latest / "4").glob("*.parquet") if spark.read.parquet(str(p)).count()]
     assert len(with_rows) >= 4
+
+
+def test_a_file_for_each_row(spark, tmp_path):
+    root = f"{tmp_path}/files"
+    files = spark.createDataFrame([("a/x/1", "één\n"), ("a/x/2", None), ("b/3", "three")], "name string, content string")
+    save_new_files(files, root)
+    found = {str(p.relative_to(root)): p.read_text() for p in Path(root).rglob("*") if p.is_file()}
+    assert found == {"a/x/1": "één\n", "a/x/2": "", "b/3": "three"}
+    assert [p.name for p in tmp_path.iterdir()] == ["files"]
+    with pytest.raises(AnalysisException, match="already exists"):
+        save_new_files(files, root)
+    with pytest.raises(Exception, match="NULL or repeated"):
+        save_new_files(files.union(files), f"{tmp_path}/twice")
+    save_new_files(files.limit(0), f"{tmp_path}/none")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["files", "none"]
+
+
+def test_each_page_is_listed(spark, tmp_path):
+    html = ["<p>é</p>", "two\nlines", "", None, "again", "again"]
+    urls = ["http://a.example:80/x", "https://a.example", "no host", None, "http://b/?q=://c/", "http://b/"]
+    ids = [1, 2, -3, 4, 5, 5]
+    pages = spark.createDataFrame(list(zip(ids, urls, html)), "page_id long, url string, html string")
+    pages.union(pages.limit(1).selectExpr("NULL", "url", "html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["list_page_files"](spark, str(tmp_path))
+    sql = ORACLES["list_page_files"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")
+    expected = duckdb.sql(sql)
+    assert sorted(expected.columns) == sorted(got.columns) == ["host", "n_bytes", "page_id"]
+    rows = [tuple(r) for r in got.select(*expected.columns).collect()]
+    assert sorted(rows, key=repr) == sorted(expected.fetchall(), key=repr)
+    assert len(rows) == 7
