@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layerframe.operators.keys import join_to_counted, merge_join
 from layerframe.operators.lookup import lookup_join
 from layerframe.sources.shared import new_shared_path, written_table
 
@@ -95,7 +96,7 @@ def _settled(state: DataFrame, names: DataFrame, known: DataFrame | None, label:
             F.col("hops").alias("__hops"),
             F.col("lost").alias("__lost"),
         )
-        stepped = waiting.join(via, "__via", "left")
+        stepped = merge_join(waiting, via, "__via", "left")
         if known is None:
             stepped = written_table(stepped, f"{root}/{rounds}-stepped")
         moved = stepped.where("__lost IS NOT NULL")
@@ -120,14 +121,14 @@ def _settled(state: DataFrame, names: DataFrame, known: DataFrame | None, label:
 def _with_first_link(state: DataFrame, names: DataFrame) -> DataFrame:
     """``state`` with ``__via``, the shortest beginning of ``path`` that is a link."""
     found = _first_links(state, names)
-    return lookup_join(state, found, "path", "left").select(*state.columns, "__via")
+    return lookup_join(state, found, "path", "left", large=True).select(*state.columns, "__via")
 
 
 def _first_links(state: DataFrame, names: DataFrame) -> DataFrame:
     """(``path``, ``__via``) of the paths of ``state`` that meet a link."""
     paths = state.where("NOT lost AND path IS NOT NULL").select("path").distinct()
     begun = paths.select("path", beginnings(F.col("path")).alias("__via"))
-    return lookup_join(begun, names, "__via", "left_semi").groupBy("path").agg(
+    return lookup_join(begun, names, "__via", "left_semi", large=True).groupBy("path").agg(
         F.min_by("__via", F.length("__via")).alias("__via")
     )
 
@@ -174,17 +175,15 @@ def linked_files(
     )
     latest = written_table(reached, f"{root}/0")
     everything, rounds = latest, 0
-    while True:
+    while n := latest.count():
         rounds += 1
-        entered = written_table(_entered(latest, edges), f"{root}/{rounds}")
-        if entered.isEmpty():
-            break
+        entered = written_table(_entered(latest, edges, n), f"{root}/{rounds}")
         everything = everything.unionByName(entered)
         latest = entered.where("status = 'file'")
     files = content.select(F.col(path).alias("__file")).where("__file IS NOT NULL")
     files = files.select("__file", beginnings(F.col("__file")).alias("node"))
     nodes = everything.where("status = 'file'")
-    found = files.join(nodes, "node").where(~_beyond(F.col("__file")))
+    found = merge_join(files, nodes, "node").where(~_beyond(F.col("__file")))
     name = F.expr("substring(__file, length(node) + 2)")
     files = found.select(
         "folder", _below(F.col("shown"), name).alias("inside"), F.col("__file").alias("path"), "status"
@@ -195,10 +194,10 @@ def linked_files(
     )
 
 
-def _entered(latest: DataFrame, edges: DataFrame) -> DataFrame:
+def _entered(latest: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """The folders and files to which the links below those of ``latest`` lead."""
     step = F.struct("node", F.col("__place").alias("place"))
-    met = edges.join(latest, "node").where(~_beyond(F.col("__place")))
+    met = join_to_counted(edges, latest, n, "node").where(~_beyond(F.col("__place")))
     met = met.withColumn("way", F.concat("way", F.array(step)))
     end = F.col("__end")
 

@@ -32,14 +32,16 @@ def lookup_join(
     salts: int = 1,
     salt_by: Keys | None = None,
     laid_out: bool = False,
+    large: bool = False,
 ) -> DataFrame:
     """Join ``rows`` to ``table``, spreading each key over ``salts`` tasks.
 
     The salt is a hash of ``salt_by`` (by default the whole row), so a retried
     task puts every row where it was before. ``table`` is repeated ``salts``
-    times.
+    times. A ``large`` table is never broadcast, however well it is compressed on disk.
     """
     on = key_list(on)
+    table = table.hint("merge") if large else table
     if laid_out:
         return _laid_out_join(rows, table, on, how)
     if salts <= 1:

@@ -14,6 +14,7 @@ from layerframe.operators.keys import (
     cast_to,
     common_schema,
     key_list,
+    merge_join,
     pair_rows,
     pick,
     require_unique,
@@ -126,7 +127,7 @@ def _absent_items(
     nothing = F.array().cast(array_type)
     absent = F.array_except(required, F.coalesce("__owned", nothing))
     return (
-        bare.join(owned, entity, "left")
+        merge_join(bare, owned, entity, "left")
         .withColumn(item, F.explode(absent))
         .drop("__owned")
     )

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from layerframe.operators.folders import linked_files, resolve_links, resolve_paths
 from layerframe.operators.keys import (
     Keys,
+    join_to_counted,
     key_list,
+    merge_join,
     require_unique,
     require_unique_counted,
 )
@@ -50,7 +52,7 @@ def dereference(
         # Checked on this side only: it sees every link and is shuffled on the
         # name in any case.
         sources = require_unique(sources, "target", "links")
-    first = lookup_join(edges, sources, "target").select(
+    first = lookup_join(edges, sources, "target", large=True).select(
         "src",
         "target",
         F.lit(1).cast("long").alias("hops"),
@@ -60,9 +62,9 @@ def dereference(
     latest = written_table(first, f"{root}/0")
     state, closed = latest, latest.where("NOT open")
     rounds = 0
-    while not latest.where("open").isEmpty():
+    while n := latest.where("open").count():
         rounds += 1
-        latest = written_table(_jump(latest, state), f"{root}/{rounds}")
+        latest = written_table(_jump(latest, state, n), f"{root}/{rounds}")
         state = closed.unionByName(latest)
         just_closed = latest.where("NOT open")
         if just_closed.isEmpty():
@@ -81,22 +83,18 @@ def dereference(
     )
 
 
-def _jump(latest: DataFrame, state: DataFrame) -> DataFrame:
+def _jump(latest: DataFrame, state: DataFrame, n: int) -> DataFrame:
     onward = state.select(
         F.col("src").alias("target"),
         F.col("target").alias("__target"),
         F.col("hops").alias("__hops"),
         F.col("open").alias("__open"),
     )
-    return (
-        latest.where("open")
-        .join(onward, "target")
-        .select(
-            "src",
-            F.col("__target").alias("target"),
-            (F.col("hops") + F.col("__hops")).alias("hops"),
-            F.col("__open").alias("open"),
-        )
+    return join_to_counted(onward, latest.where("open"), n, "target").select(
+        "src",
+        F.col("__target").alias("target"),
+        (F.col("hops") + F.col("__hops")).alias("hops"),
+        F.col("__open").alias("open"),
     )
 
 
@@ -139,13 +137,13 @@ def capture(
         F.col("path").alias("__path"), F.col("target").alias("folder"), "hops"
     )
     root = new_shared_path(targets.sparkSession, "capture")
-    here = written_table(lookup_join(asked, led, "__path", "inner").drop("__path"), f"{root}/ends")
+    here = written_table(lookup_join(asked, led, "__path", "inner", large=True).drop("__path"), f"{root}/ends")
     places = linked_files(here.select("folder").distinct(), ends, content, path)
     places = places.where("status = 'file'").select("folder", "inside", F.col("path").alias(path))
     # The contents are wide and joined only once, for the result; what is
     # absent is worked out from the narrow rows written here.
-    here = written_table(here.join(places, "folder").drop("folder"), f"{root}/files")
-    copied = lookup_join(here, content, path, "inner").drop(path)
+    here = written_table(merge_join(here, places, "folder").drop("folder"), f"{root}/files")
+    copied = lookup_join(here, content, path, "inner", large=True).drop(path)
     given = entities is not None
     if not given:
         entities = targets.select(*entity).distinct()

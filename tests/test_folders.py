@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from layerframe import capture, dereference
 from layerframe.operators.folders import linked_files, resolve_links, resolve_paths
+from layerframe.operators.keys import FEW_ROWS, join_to_counted
 
 
 def tree(spark, files, links):
@@ -119,3 +120,24 @@ def test_no_links_and_empty_tables(spark):
     assert capture(targets, table, content.limit(0), **args).isEmpty()
     filled = capture(targets, table, content.limit(0), **args, items=["i"], defaults={"content": F.lit("")})
     assert [r["filled"] for r in filled.collect()] == [True]
+
+
+def test_no_table_of_names_is_broadcast(spark):
+    content, table = tree(spark, ["/a/f", "/b/g"], [("/a/l", "/b"), ("/x", "/a")])
+    targets = spark.createDataFrame([("p", "i", "/x"), ("p", "j", "/a/f")], "scope string, item string, path string")
+    args = {"entity": "scope", "item": "item", "items": ["i", "j", "k"], "defaults": {"content": ""}}
+    taken = capture(targets, table, content, **args)
+    assert taken.count() == 4
+    ends = resolve_links(table, dereference(table))
+    below = linked_files(spark.createDataFrame([("/a",)], "folder string"), ends, content)
+    assert below.count() == 2
+    for made in (taken, below):  # the files are small, but how small says little of the rows
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_counted_rows_are_broadcast(spark):
+    rows = spark.range(9).withColumnRenamed("id", "k")
+    for n, way in ((FEW_ROWS, "BroadcastHashJoin"), (FEW_ROWS + 1, "SortMergeJoin")):
+        joined = join_to_counted(rows, rows.where("k > 5"), n, "k")
+        assert way in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 3
