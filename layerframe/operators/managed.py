@@ -11,6 +11,7 @@ from layerframe.operators.keys import (
     cast_to,
     common_schema,
     key_list,
+    merge_join,
     pair_rows,
     pick,
     require_known,
@@ -128,4 +129,4 @@ def _by_scope(
         names, current = names.withColumn("__spread", hashed), current.withColumn("__spread", hashed)
     names = names.select(*[F.col(k).alias(f"__scope_{k}") for k in keys])
     same = all_of([F.col(k) == F.col(f"__scope_{k}") for k in keys])
-    return current.join(names, same & _settled(is_owned), how).drop("__spread")
+    return merge_join(current, names, same & _settled(is_owned), how).drop("__spread")

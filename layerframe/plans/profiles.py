@@ -206,13 +206,9 @@ def deactivate(targets: DataFrame, scopes: DataFrame, log: DataFrame, order: Key
     active = scopes.select("scope").join(
         current_profiles(log, order).select("scope"), "scope", "left_semi"
     )
-    known = F.explode(F.array(*[F.lit(t) for t in fixed.ITEM_TARGETS.values()]))
-    return managed_remove(
-        targets,
-        active.select("scope", known.alias("target")),
-        ["scope", "target"],
-        _owned(),
-    )
+    # Scopes alone, for with each target of the map they would be many times as many.
+    known = F.col("target").isin(list(fixed.ITEM_TARGETS.values()))
+    return managed_remove(targets, active, "scope", _owned() & known)
 
 
 def activation_log(requests: DataFrame) -> DataFrame:

@@ -219,3 +219,23 @@ def test_show_tells_who_has_extras(spark):
         "gw": ("gateway", True, 1), "gw-plain": ("gateway", False, 1), "hand": ("manual", False, 1)
     }
     assert "has_extras" not in p.show_profiles(items, registry).columns
+
+
+def test_deactivate_pairs_scopes_alone(spark):
+    held = spark.createDataFrame(
+        [
+            ("w", ".mcp.json", "a/mcp.json", "a"),
+            ("w", "README", "a/README", "a"),
+            ("w", "CLAUDE.md", "mine", None),
+            ("v", ".mcp.json", "a/mcp.json", "a"),
+            (None, ".mcp.json", "a/mcp.json", "a"),
+            ("w", None, "a/none", "a"),
+        ],
+        TARGETS,
+    )
+    log = spark.createDataFrame([("w", "a", 1), ("v", "a", 1), ("v", None, 2)], LOG)
+    scopes = spark.createDataFrame([("w",), ("w",), ("v",), (None,)], "scope string")
+    left = p.deactivate(held, scopes, log, "ts")
+    assert rows(left) == rows(held.where("NOT (scope <=> 'w' AND target <=> '.mcp.json')"))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "BroadcastHashJoin LeftAnti" not in plan
