@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerframe.operators.keys import Keys, key_list, require_unique_counted
+from layerframe.operators.keys import Keys, key_list
 from layerframe.sources.shared import arrow_uri
 
 
@@ -53,6 +53,10 @@ def save_new_files(files: DataFrame, path: str, name: str = "name", content: str
     driver; ``path`` must be one that Arrow can open on every executor. A file gets
     its name when it is whole, and a task that runs again passes over what is there.
     """
+    # Before any task writes: one that still runs would make a deleted folder anew.
+    counts = files.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"))
+    if wrong := counts.where("name IS NULL OR n > 1").take(1):
+        raise AnalysisException(f"files: name is NULL or repeated: {wrong[0]['name']}")
     with _staged(files.sparkSession, path) as staged:
         uri = arrow_uri(staged.toString())
 
@@ -75,8 +79,7 @@ def save_new_files(files: DataFrame, path: str, name: str = "name", content: str
                     store.move(begun, place)
                 yield pd.DataFrame({"n": [len(batch)]})
 
-        checked = require_unique_counted(files, name, "files")
-        rows = checked.select(F.col(name).alias("name"), F.col(content).cast("string").alias("content"))
+        rows = files.select(F.col(name).alias("name"), F.col(content).cast("string").alias("content"))
         rows.mapInPandas(write, "n long").agg(F.sum("n")).collect()
         system, begun = located(files.sparkSession, f"{staged.toString()}/{_BEGUN}")
         system.mkdirs(begun)  # without rows no task has made the folder
