@@ -1,6 +1,8 @@
 """Near-duplicate embeddings by NN-descent.
 
-Equal vectors are one node. Each node starts with a short list of random others.
+Equal vectors are one node. Each node starts with a short list of random others;
+its room grows with the logarithm of the table, as descent over many vectors with
+lists that suit few misses pairs, and then had to go on with doubled lists.
 A round joins neighbours of neighbours: around each node those on its list, and
 those that have it on theirs, are compared with each other where one of the two is
 new, and every node keeps the nearest it has met. A list that is full of vectors
@@ -31,7 +33,10 @@ from .components import components
 
 THRESHOLD = 0.9
 NEIGHBOURS = 16
-"""Length of a list at first."""
+"""Length of a list at first, in tables of up to ``SMALL`` distinct vectors."""
+SMALL = 8_192
+LONGER = 4
+"""With each doubling of the table beyond that, lists are longer by so many at first."""
 MOST_NEIGHBOURS = 64
 """Lists double up to this length; what they can't hold, groups do."""
 ACQUAINTED = 6
@@ -259,7 +264,8 @@ def _merged(lists: DataFrame | None, offers: DataFrame, threshold: float, most:
             counts = np.bincount(number, minlength=len(bounds))
             last = np.cumsum(counts) - 1
             saturated = (counts == sizes) & (cosine[last] >= threshold)
-            sizes = np.where(saturated, np.minimum(2 * sizes, MOST_NEIGHBOURS), sizes)
+            doubled = np.maximum(np.minimum(2 * sizes, MOST_NEIGHBOURS), sizes)
+            sizes = np.where(saturated, doubled, sizes)
             offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -383,6 +389,11 @@ def _audit(totals: DataFrame, nodes: DataFrame, kind: np.dtype, threshold: float
     return min((float(s) for s in shares if s is not None), default=1.0)
 
 
+def _first_length(n: int) -> int:
+    """Length of a list at first: the more vectors there are, the longer lists have to be to lead to all."""
+    return min(NEIGHBOURS + int(LONGER * np.log2(max(n / SMALL, 1))), max(NEIGHBOURS, MOST_NEIGHBOURS))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: links and group.
 
@@ -409,8 +420,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = written(packed, "vectors")
     nodes = written(_numbered(rows, kind), "nodes")
     lists, recall = None, 0.0
+    first = _first_length(nodes.count())
     for attempt in range(ATTEMPTS):
-        most = NEIGHBOURS << attempt
+        most = first << attempt
         offers = _offers(_acquainted(nodes, attempt * STARTS, STARTS), nodes, None)
         lists = written(_merged(lists, offers, threshold, most), "lists")
         for turn in range(ROUNDS):

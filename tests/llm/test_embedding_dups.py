@@ -149,3 +149,21 @@ def test_no_row_and_no_table_holds_the_links_of_a_large_group(spark, monkeypatch
     embedding_dups.near_vectors(table)
     assert max(size or 0 for row in seen for size in row[1:]) <= embedding_dups.BLOCK
     assert max(row[0] for row in seen) < hot * (hot - 1) / 4
+
+
+def test_lists_are_longer_at_first_in_larger_tables(spark, monkeypatch):
+    """Otherwise descent fails its audit there, and is done again with doubled lists."""
+    assert [embedding_dups._first_length(n) for n in (0, 100, 8_192, 16_384, 51_282, 10**12)] == [16, 16, 16, 20, 26, 64]
+    lengths = set()
+    merge = embedding_dups._merged
+
+    def seen(lists, offers, threshold, most):
+        lengths.add(most)
+        return merge(lists, offers, threshold, most)
+
+    monkeypatch.setattr(embedding_dups, "_merged", seen)
+    monkeypatch.setattr(embedding_dups, "SMALL", 125)
+    table, _, pairs = skewed(spark, hot=100)
+    got = embedding_dups.near_vectors(table).where("vec_id >= 10000").collect()
+    assert sum(r["n_links"] >= 1 for r in got) >= 0.98 * 2 * pairs
+    assert lengths == {24}
